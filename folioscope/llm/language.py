@@ -30,11 +30,11 @@ from .common import map_rows, spread
 from .sentences import sentences
 
 #: Hash bits of an n-gram, longest n-gram, ridge, and what a change of language costs against a score difference of 1.
-BITS, LONGEST, RIDGE, SHARP, CHANGE = 16, 3, 0.3, 7.0, 2.4
+BITS, LONGEST, RIDGE, SHARP, CHANGE = 16, 3, 0.01, 7.0, 2.4
 #: Labelled rows of each table the classifier may be fitted on, in the order of a hash of their ids, and landmarks a language.
-FIT_ROWS, LANDMARKS = 1500, 40
-#: How far below the best score of the first fit a row's own label may lie; short titles need some room.
-DOUBT = 0.3
+FIT_ROWS, LANDMARKS = 2000, 120
+#: The share of the first fit's best score that a row's own label must reach; short titles need some room.
+DOUBT = 0.5
 #: Letters from which a sentence's own vote counts in the first look.
 VOTE = 8
 ATOM = re.compile(r"[.!?…।॥؟][\"”’»“)\]]*\s+|[。！？][”」』）]*\s*|\n+|(?<=[฀-๿”])[ \t]+(?=[^฀-๿ \t])|(?<=[^฀-๿\s])[ \t]+(?=[฀-๿])")
@@ -275,7 +275,7 @@ def training(spark: SparkSession, samples: DataFrame, languages: DataFrame, labe
             continue
         s, n = first.score([p for _, p in parts])
         for (x, p), row, k in zip(parts, s, n):
-            if k >= 6 and row[langs.index(x)] >= row.max() - DOUBT:
+            if k >= 6 and row[langs.index(x)] >= row.max() * DOUBT:
                 texts.append(p), labels.append(x)
     return fit(texts, labels, langs)
 

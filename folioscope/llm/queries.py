@@ -91,5 +91,18 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(table(spark, sf_dir, "documents"), _specs(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import findings
+
+    return findings(table(spark, sf_dir, "documents")).distinct()
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders."""
+    from .pii import masked
+
+    return masked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins, p9_found, p9_masked)}
