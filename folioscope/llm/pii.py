@@ -97,7 +97,7 @@ PARTICLE = r"(?:van der|van den|van|von der|von|zu|de la|de las|de los|de|del|de
 FAMILY = r"(?:" + PARTICLE + r" )?\p{Lu}[\p{L}’'-]*\p{L}"
 WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
 INITIALS = regex.compile(r"(?<![\p{L}\d.])(?:\p{Lu}\. ?){1,3}(?=\p{Lu})" + FAMILY)
-TURNED = regex.compile(r"(?<![\p{L}\d’'-])" + FAMILY + r", ((?:\p{Lu}[\p{L}’'-]*\p{L}|\p{Lu}\.)(?: (?:\p{Lu}[\p{L}-]*\p{L}|\p{Lu}\.(?! \p{Lu}))){0,1})(?![\p{L}])")
+TURNED = regex.compile(r"(?<![\p{L}\d’'-])(?:(?:VAN DER|VAN DEN|VAN|VON DER|VON|DE LA|DE LAS|DE|DEL|DI|DA|DU|van der|van den|von der|von) )?\p{Lu}[\p{L}’'-]*\p{L}" + r", ((?:\p{Lu}[\p{L}’'-]*\p{L}|\p{Lu}\.)(?: (?:\p{Lu}[\p{L}-]*\p{L}|\p{Lu}\.(?! \p{Lu}))){0,1})(?![\p{L}])")
 #: Titles and words that introduce a person.
 CUE = regex.compile(
     r"(?<![\p{L}\d])(?:(?:Dr|Mrs?|Ms|Prof|Sig|Sra?|Dra|Rev|Capt)\.?|Mme|Mlle|M\.|Frau|Herrn?|señora?|señor|senhora?|signora?|pani|panu|pan|fru|herr|by|signed by|issued to|belongs to|receipt for|reach|Name:|contact:|par|relu par|Traduit par|Satz:|Lektorat:|Traducción de|corrección de|спросить|Перевод:|вёрстка:|читает|на имя)\s"
