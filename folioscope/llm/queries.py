@@ -41,6 +41,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_segments(spark, sf_dir).filter(wrong).select("src", "row_id", "seg_start", "lang").distinct()
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of runs and pages with their restored text."""
+    from .encoding import damaged, training
+
+    runs, pages = table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "fixed_pages")
+    model = training(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "unit_texts").select("block_uid", "text"))
+    return damaged(runs, "text_runs", "run_uid", "text", model).unionByName(damaged(pages, "fixed_pages", "page_uid", "text", model))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("src", "row_id").distinct()
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every oversized block and narration segment."""
     from .chunks import narration_texts, split_items
@@ -105,4 +118,4 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins, p9_found, p9_masked)}
