@@ -41,6 +41,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_segments(spark, sf_dir).filter(wrong).select("src", "row_id", "seg_start", "lang").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running heads, page numbers, cut words and misread characters of every run."""
+    from .ocr import noise
+
+    return noise(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "fixed_pages").select("book_id", "height"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous readable paragraphs of every book with page runs."""
+    from .ocr import book_paragraphs
+
+    return book_paragraphs(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "fixed_pages").select("book_id", "height"))
+
+
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged records of runs and pages with their restored text."""
     from .encoding import damaged, training
@@ -118,4 +132,4 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_paragraphs, p3_found, p3_restored, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_bins, p9_found, p9_masked)}
