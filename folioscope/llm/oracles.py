@@ -15,11 +15,11 @@ chars AS (
   SELECT segment_uid, s, e, i, CASE WHEN unicode(ch[i]) > 65535 THEN 2 ELSE 1 END AS w
   FROM seg, unnest(range(1, len(ch) + 1)) AS r(i)
 ),
-placed AS (SELECT segment_uid, s, e, i, w, sum(w) OVER (PARTITION BY segment_uid, s, e ORDER BY i) - w AS at FROM chars)
+placed AS (SELECT segment_uid, s, e, i, w, sum(w) OVER (PARTITION BY segment_uid, s, e ORDER BY i) - w AS pos FROM chars)
 SELECT DISTINCT 'unit_texts' AS src, block_uid AS row_id FROM unit_texts, lim WHERE length(text) > u
 UNION ALL
 SELECT 'tts_segments', segment_uid FROM placed, lim
-WHERE at >= coalesce(s, 0) AND at + w <= coalesce(e, 2147483647)
+WHERE pos >= greatest(coalesce(s, 0), 0) AND pos + w <= coalesce(e, 2147483647)
 GROUP BY segment_uid, t HAVING count(DISTINCT i) > t
 """
 
