@@ -143,26 +143,39 @@ def fit(texts: list[str], labels: list[str], langs: list[str], landmarks: int =
         own = np.flatnonzero(y == c)
         chosen += [int(i) for i in own[:: max(1, len(own) // landmarks)][:landmarks]]
     m = len(chosen)
-    present = np.zeros((1 << BITS, m), np.float32)
     g, starts, _ = grams([texts[i] for i in chosen])
-    ends = np.append(starts[1:], len(g))
-    for j, (a, b) in enumerate(zip(starts, ends)):
-        present[g[a:b], j] = 1.0 / np.sqrt(max(1, b - a))
-    knm = np.zeros((len(texts), m), np.float64)
-    for base in range(0, len(texts), 2000):
-        g, starts, _ = grams(texts[base : base + 2000])
+    spans = np.append(starts, len(g))
+    seen, column = np.unique(g), np.repeat(np.arange(m), np.diff(spans))
+    place = np.full(1 << BITS, len(seen), np.int64)
+    place[seen] = np.arange(len(seen))
+    # One byte for each n-gram and landmark: some 40 MB for the n-grams of 1700 landmarks.
+    present = np.zeros((len(seen) + 1, m), np.uint8)
+    present[place[g], column] = 1
+    size = np.sqrt(np.maximum(1, np.diff(spans)))
+
+    def kernel(some: list[str]) -> np.ndarray:
+        g, starts, _ = grams(some)
         ends = np.append(starts[1:], len(g))
+        out = np.zeros((len(some), m))
         for i, (a, b) in enumerate(zip(starts, ends)):
             if b > a:
-                knm[base + i] = present[g[a:b]].sum(axis=0) / np.sqrt(b - a)
-    kmm = knm[chosen]
+                out[i] = present[place[g[a:b]]].sum(axis=0, dtype=np.uint16) / (size * np.sqrt(b - a))
+        return out
+
     weight = 1.0 / np.maximum(1, np.bincount(y, minlength=len(langs)))[y]  # languages count alike
     weight *= len(texts) / weight.sum()
-    target = np.zeros((len(texts), len(langs)))
-    target[np.arange(len(texts)), y] = 1.0
-    left = knm.T @ (knm * weight[:, None]) + RIDGE * kmm + 1e-6 * np.eye(m)
-    alpha = np.linalg.solve(left, knm.T @ (target * weight[:, None]))
-    return Model(langs, (present @ alpha.astype(np.float32)).astype(np.float32))
+    left, right = RIDGE * kernel([texts[i] for i in chosen]) + 1e-6 * np.eye(m), np.zeros((m, len(langs)))
+    for base in range(0, len(texts), 1000):
+        own = slice(base, base + 1000)
+        k = kernel(texts[own]) * np.sqrt(weight[own])[:, None]
+        target = np.zeros((len(k), len(langs)))
+        target[np.arange(len(k)), y[own]] = np.sqrt(weight[own])
+        left += k.T @ k
+        right += k.T @ target
+    alpha = np.linalg.solve(left, right) / size[:, None]
+    matrix = np.zeros((1 << BITS, len(langs)), np.float32)
+    np.add.at(matrix, g, alpha[column].astype(np.float32))
+    return Model(langs, matrix)
 
 
 def label_names(rows: Iterable[tuple[str, str, str]]) -> dict[str, str]:

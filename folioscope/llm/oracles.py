@@ -8,7 +8,7 @@ P4_FOUND = """
 WITH blocks AS (SELECT book_id, unit_index, block_index, max(text) AS text FROM unit_texts WHERE text IS NOT NULL GROUP BY ALL),
 lim AS (SELECT max(max_chars) FILTER (src = 'unit_texts') AS u, max(max_chars) FILTER (src = 'tts_segments') AS t FROM size_limits),
 seg AS (
-  SELECT segment_uid, s, e, string_split(text, '') AS ch
+  SELECT DISTINCT segment_uid, s, e, string_split(text, '') AS ch
   FROM tts_segments JOIN blocks ON tts_segments.book_id = blocks.book_id AND tts_segments.unit_index = blocks.unit_index AND b = block_index
 ),
 chars AS (
