@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..operators import edits, folds, progress, ranges, reports, search, toc
+from ..operators import edits, folds, nodes, progress, ranges, reports, search, toc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -463,6 +463,39 @@ def export_txt(spark, d):
     return book_texts(table(spark, d, "sections"), blocks(spark, d))
 
 
+def _pages(spark, d):
+    """One piece of HTML for each section, made of its blocks."""
+    tag = F.when(F.col("block_type") == "heading", "h2").when(F.col("block_type") == "blockquote", "blockquote").when(F.col("block_type") == "pre", "pre").otherwise("p")
+    one = F.concat(F.lit("<"), tag, F.lit(' id="'), F.coalesce("block_id", F.lit("")), F.lit('">'), T.escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    rows = blocks(spark, d).filter("text is not null").groupBy("book_id", "unit_index").agg(F.array_sort(F.collect_list(F.struct("block_index", "block_uid", one.alias("one")))).alias("r"))
+    return rows.select("book_id", "unit_index", F.array_join("r.one", "").alias("html"))
+
+
+@query()
+def html_nodes(spark, d):
+    return nodes.html_nodes(_pages(spark, d), ["book_id", "unit_index"], "html")
+
+
+@query(f"""WITH {BLOCKS_SQL} SELECT book_id, unit_index, count(*) AS headings FROM blocks WHERE block_type = 'heading' AND text IS NOT NULL GROUP BY ALL""")
+def node_query(spark, d):
+    return nodes.select(html_nodes(spark, d), tag="h2").groupBy("book_id", "unit_index").agg(F.count("*").alias("headings"))
+
+
+@query()
+def html_blocks(spark, d):
+    return nodes.html_blocks(_pages(spark, d), ["book_id", "unit_index"], "html")
+
+
+@query()
+def export_epub(spark, d):
+    from ..sinks.files import export_rows
+    from ..sinks.text import section_bodies
+
+    s = table(spark, d, "sections")
+    rows = s.select("book_id", "section_index", "linear", F.coalesce("toc_label", "title", "section_id").alias("label")).join(section_bodies(blocks(spark, d)), ["book_id", "section_index"], "left")
+    return export_rows(table(spark, d, "books"), rows).select("book_id", "file_name", F.octet_length("content").alias("size"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
