@@ -32,7 +32,7 @@ from .sentences import sentences
 #: Hash bits of an n-gram, longest n-gram, ridge, and what a change of language costs against a score difference of 1.
 BITS, LONGEST, RIDGE, SHARP, CHANGE = 16, 3, 0.01, 7.0, 2.4
 #: Labelled rows of each table the classifier may be fitted on, in the order of a hash of their ids, and landmarks a language.
-FIT_ROWS, LANDMARKS = 2000, 120
+FIT_ROWS, LANDMARKS = 3000, 160
 #: The share of the first fit's best score that a row's own label must reach; short titles need some room.
 DOUBT = 0.5
 #: Letters from which a sentence's own vote counts in the first look.
@@ -162,7 +162,7 @@ def fit(texts: list[str], labels: list[str], langs: list[str], landmarks: int =
                 out[i] = present[place[g[a:b]]].sum(axis=0, dtype=np.uint16) / (size * np.sqrt(b - a))
         return out
 
-    weight = 1.0 / np.maximum(1, np.bincount(y, minlength=len(langs)))[y]  # languages count alike
+    weight = np.maximum(1, np.bincount(y, minlength=len(langs)))[y] ** -0.5  # rare languages count for more
     weight *= len(texts) / weight.sum()
     left, right = RIDGE * kernel([texts[i] for i in chosen]) + 1e-6 * np.eye(m), np.zeros((m, len(langs)))
     for base in range(0, len(texts), 1000):
@@ -200,6 +200,17 @@ def atoms(text: str) -> list[str]:
     return out
 
 
+QUOTED = re.compile("“[^“”]{2,80}”|«[^«»]{2,80}»|„[^„“]{2,80}“|”[^”]{2,80}”|「[^「」]{2,80}」|\"[^\"]{2,80}\"")
+
+
+def unquoted(sentence: str) -> str:
+    """A sentence without the phrases it quotes, where enough of it is left to judge by."""
+    if not any(q in sentence for q in "“«„”「\""):
+        return sentence
+    rest = QUOTED.sub(" ", sentence)
+    return rest if sum(map(str.isalpha, rest)) >= 12 else sentence
+
+
 def path(scores: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Best language of each sentence if every change costs."""
     gain = SHARP * scores * np.minimum(1.0, letters / 25.0)[:, None]
@@ -225,7 +236,7 @@ def confidence(scores: np.ndarray) -> float:
 def segment(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int, float]]]:
     """For each text its stretches: start, end, language's index, confidence. A text of one language is one stretch from 0."""
     cut = [atoms(t) if t else [] for t in texts]
-    flat = [a for c in cut for a in c]
+    flat = [unquoted(a) for c in cut for a in c]
     scores, letters = model.score(flat)
     counts = np.fromiter(map(len, cut), np.int64, len(cut))
     starts = np.concatenate([[0], np.cumsum(counts)])
@@ -246,7 +257,7 @@ def segment(texts: list[str | None], model: Model) -> list[list[tuple[int, int,
             exact[int(i)] = sentences(texts[i])
         else:
             main[i] = own[0]
-    s, n = model.score([texts[i][a:b] for i, spans in exact.items() for a, b in spans])
+    s, n = model.score([unquoted(texts[i][a:b]) for i, spans in exact.items() for a, b in spans])
     at, out = 0, []
     for i, t in enumerate(texts):
         if not words[i]:

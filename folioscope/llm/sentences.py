@@ -115,7 +115,10 @@ def candidates(text: str) -> list[tuple[int, float]]:
         if blank.count("\n") > 1 or "\u2029" in blank:
             out[a] = 4.0
         elif THAI.match(text[a - 1]) or THAI.match(first_sign(text, b) or " "):
-            if THAI.match(first_sign(text, b) or " ") and (THAI.match(text[a - 1]) or text[a - 1].isdigit() or text[a - 1] in "”\"’).%"):
+            sign = first_sign(text, b)
+            if THAI.match(text[a - 1]) and sign and not THAI.match(sign) and (sign.isupper() or caseless(sign)):
+                out[a] = 2.0  # another script goes on
+            elif THAI.match(first_sign(text, b) or " ") and (THAI.match(text[a - 1]) or text[a - 1].isdigit() or text[a - 1] in "”\"’).%"):
                 out[a] = 3.0
     out.pop(n, None)
     return [*sorted(out.items()), (n, 0.0)]
