@@ -17,6 +17,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows, spread
@@ -78,9 +79,19 @@ def quotations(text: str) -> list[tuple[int, int, str]]:
             found.append((0, i + 1, ch))
     if cut_right and stack:
         found.append((stack[0][1], n, stack[0][0]))
+    for m in SPEECH.finditer(text):
+        # Speech that a dash opens ends at the dash, or else at the comma, before the words that report it.
+        end = SHUT.search(text, m.end(), m.start() + 400) or REPORT.search(text, m.end(), m.start() + 400)
+        if end and "\n\n" not in text[m.start() : end.start()]:
+            found.append((m.start(), end.start() + 1, "—"))
     return found
 
 
+SPEECH = regex.compile(r"(?:(?<=^\s*)|(?<=[.!?…”»\"]\s+)|(?<=\n))[–—―]\s?[¿¡«“\"]?\p{Lu}")
+SHUT = regex.compile(r"[–—―]\s?\p{Ll}")
+REPORT = regex.compile(r",\s\p{Ll}+\s")
+
+
 QUOTE = re.compile("[“”„«»「」『』\"()（）\\[\\]《》‹›]")
 
 
