@@ -49,7 +49,7 @@ MIXED = regex.compile(r"(?=[\w.@+-]*\p{Latin})(?=[\w.@+-]*[\p{Cyrillic}\p{Greek}
 AT = re.compile(r"(?<=[A-Za-z0-9_+-])(?:\s?[\[({<]\s?(?:at|AT|At|arroba|chiocciola)\s?[\])}>]\s?|\s@\s?|@\s|\s(?:at|AT)\s(?=[A-Za-z0-9-]+(?:\s(?:dot|DOT)\s|\s?[\[({]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}])))(?=[A-Za-z0-9])")
 DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s?[\[({<]\s?(?:dot|DOT|Dot|punkt|point|punto|ponto)\s?[\])}>]\s?)(?=[A-Za-z0-9])")
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s(?:dot|DOT)\s(?=[A-Za-z]{2,}\b)")
-SPELLED = re.compile(r"(?<!\w)(?:(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:[\s,.-]{1,2}(?=\w)|(?!\w))){7,15}")
+SPELLED = re.compile(r"(?<!\w)(?:(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:(?:-| |, )(?=\w)|(?!\w))){7,15}")
 
 #: Ends of file names that look like a domain's.
 FILES = ("png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "html", "xhtml", "css", "js", "ncx", "opf", "xml", "txt", "epub")
@@ -57,7 +57,7 @@ EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 #: Shapes of record numbers; a label before them decides.
 SHAPE = r"(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|[A-Z]\d[A-Z0-9]\d{5,7}|[A-Z]{1,2}\d{6,10}|\d{17}[\dXx]|\d{3}-\d{3}-\d{3} \d\d|\d{3}\.\d{3}\.\d{3}-\d\d|\d\d\.?\d{3}\.?\d{3}-[A-Z]|\d{8}[A-Z]|\d \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{3}[- ]\d\d[- ]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{4})?|\d\d \d{3} \d{3} \d{3}|\d\d \d\d \d{6}|\d{4} \d{6}|\d{6,8}-\d{4}|\d{9,13}|[A-Z0-9]{2,}\d[A-Z0-9 -]{4,16}\d)(?![\dA-Za-z])"
 LABEL = r"(?:[Pp]assport|[Cc]ard(?: holder)?|[Tt]ax|NI|[Ii]nsurance|[Ss]ecurity|[Ii]dentity|ID|DNI|NIE|CPF|RG|[Cc]odice fiscale|[Cc]arta d’identità|PESEL|NIP|[Dd]owód|[Aa]usweis\w*|[Ss]teuer\w*|[Pp]ass\w*nummer|[Vv]ersicherung\w*|sécurité sociale|[Pp]asseport|[Cc]arte|паспорт\w*|ИНН|СНИЛС|полис\w*|удостоверени\w*|[Pp]ersonnummer|身份证|护照|社保|個人番号|旅券|保険証|マイナンバー|पहचान|आधार|الهوية|جواز|ประจำตัว|บัตร|พาสปอร์ต)"
-ID = re.compile(LABEL + r"[^\d\n@]{0,28}?(?<![A-Za-z\d])(" + SHAPE + ")")
+ID = re.compile(LABEL + r"(?:[^\d\n@.!?]|(?<=[Nn]o)\.|(?<=[Nn]r)\.){0,28}?(?<![A-Za-z\d])(" + SHAPE + ")")
 SURE_ID = re.compile(r"(?<![A-Za-z\d./-])([A-Z]{2} \d\d \d\d \d\d [A-Z]|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|\d{3}\.\d{3}\.\d{3}-\d\d|\d{17}[\dX])(?![A-Za-z\d])")
 EXT = r"(?:,? ?(?:ext\.?|extension|x|доб\.?|Durchwahl|DW|poste|interno|int\.|ramal|wew\.?|ankn\.?|内线|内線|转|분기) ?\d{1,5})?"
 PHONES = [
@@ -76,7 +76,7 @@ PHONES = [
 ]
 PHONE = re.compile(r"(?<![A-Za-z0-9./+\-:(])(?:" + "|".join(PHONES) + r")(?![\d/]|[-.]\d)" + EXT)
 NOT_PHONE = re.compile(r"(?:ISBN|ISSN|[Oo]rder|[Ll]ot|[Ll]ines?|[Cc]all number|[Vv]ersion|[Pp]rinting|[Rr]esource|urn:\S*|checksum|No\.|no\.|nr\.|Nr\.|n\.º|№|[Ss]ignatur|Шифр|cote)[ :]*$")
-CAPS = r"\p{Lu}[\p{L}’'-]*\p{L}"
+CAPS = r"\p{Lu}[\p{L}’'-]*[\p{L}’']"
 TOWN = r"\p{Lu}[\p{L}’'-]+"
 ADDRESSES = [
     r"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Z]?, )?(?<![\d.,/-])\d{1,4}[A-Z]?,? (?:" + CAPS + r" ){1,3}(?:Street|St\.|Lane|Rd\.|Rd|Road|Row|Ct|Court|Avenue|Ave\.|Way|Place|Square|Terrace|Drive|Close|Crescent|Quay|Hill)(?![\p{L}])(?:, " + TOWN + r"(?: \d{4,6})?)?",
@@ -96,7 +96,7 @@ ADDRESS = regex.compile("|".join(f"(?:{p})" for p in ADDRESSES))
 PARTICLE = r"(?:van der|van den|van|von der|von|zu|de la|de las|de los|de|del|della|di|da|dos|du|af|VAN DER|VAN DEN|VAN|VON|DE LA|DE|DEL|DI|DA|DU)"
 FAMILY = r"(?:" + PARTICLE + r" )?\p{Lu}[\p{L}’'-]*\p{L}"
 WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
-INITIALS = regex.compile(r"(?<![\p{L}\d.])(?:\p{Lu}\. ?){1,3}(?=\p{Lu})" + FAMILY)
+INITIALS = regex.compile(r"(?<![\p{L}\d.])(?:\p{Lu}\. ?){2,3}" + FAMILY)
 TURNED = regex.compile(r"(?<![\p{L}\d’'-])(?:(?:VAN DER|VAN DEN|VAN|VON DER|VON|DE LA|DE LAS|DE|DEL|DI|DA|DU|van der|van den|von der|von) )?\p{Lu}[\p{L}’'-]*\p{L}" + r", ((?:\p{Lu}[\p{L}’'-]*\p{L}|\p{Lu}\.)(?: (?:\p{Lu}[\p{L}-]*\p{L}|\p{Lu}\.(?! \p{Lu}))){0,1})(?![\p{L}])")
 #: Titles and words that introduce a person.
 CUE = regex.compile(
