@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..operators import edits, folds, nodes, progress, ranges, reports, search, toc
+from ..operators import edits, folds, lookup, narration, nodes, progress, ranges, reports, search, toc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -463,6 +463,43 @@ def export_txt(spark, d):
     return book_texts(table(spark, d, "sections"), blocks(spark, d))
 
 
+_MARK = "[.,!?;:。，！？；：、]"
+
+
+@query(f"""WITH {BLOCKS_SQL} SELECT block_uid, least(greatest((length(text) - length(regexp_replace(text, '{T.CJK}', '', 'g'))) * 180 + len(regexp_extract_all(text, '[A-Za-z0-9]+')) * 260 + len(regexp_extract_all(text, '{_MARK}')) * 120, 450), 30000) AS ms FROM blocks WHERE text IS NOT NULL""")
+def duration_estimate(spark, d):
+    return blocks(spark, d).filter("text is not null").select("block_uid", narration.duration_ms(F.col("text")).alias("ms"))
+
+
+@query()
+def narration_atoms(spark, d):
+    return narration.atom_rows(blocks(spark, d))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT book_id, query_text, max_by(result_id, (searched_at, result_id)) AS result_id FROM (SELECT DISTINCT book_id, query_text, result_id, searched_at FROM search_results) GROUP BY ALL")
+def latest_search(spark, d):
+    return lookup.newest(table(spark, d, "search_results").select("book_id", "query_text", "result_id", "searched_at").distinct(), ["book_id", "query_text"], ["searched_at", "result_id"], "result_id")
+
+
+@query(f"WITH {BLOCKS_SQL}, f AS (SELECT book_id, unit_index, block_type, min(block_index) AS first FROM blocks WHERE block_type IS NOT NULL GROUP BY ALL) SELECT book_id, unit_index, string_agg(block_type, ',' ORDER BY first) AS block_types FROM f GROUP BY ALL")
+def kinds_in_order(spark, d):
+    rows = lookup.first_seen_order(blocks(spark, d).filter("block_type is not null"), ["book_id", "unit_index"], "block_type", "block_index")
+    return rows.select("book_id", "unit_index", F.array_join("block_types", ",").alias("block_types"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT book_id, max_by(block_uid, (length(text), -block_uid)) AS block_uid FROM blocks WHERE length(text) > 0 GROUP BY book_id")
+def longest_block(spark, d):
+    return lookup.best(blocks(spark, d).withColumn("n", F.length("text")).withColumn("o", F.col("block_uid")), ["book_id"], "n", "o", "block_uid")
+
+
+@query("""WITH p AS (SELECT DISTINCT page_uid, book_id, page_index, label FROM fixed_pages), t AS (SELECT book_id, page_index, label FROM p WHERE label IS NOT NULL AND page_index % 5 = 0)
+SELECT page_uid, book_id, page_index, (SELECT max_by(label, (t.page_index, label)) FROM t WHERE t.book_id = p.book_id AND t.page_index <= p.page_index) AS label FROM p""")
+def toc_at_page(spark, d):
+    p = table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label").distinct()
+    entries = p.filter("label is not null and page_index % 5 = 0").select("book_id", F.col("page_index").alias("toc_index"), "label", "page_index")
+    return lookup.entry_at_page(entries, p)
+
+
 def _pages(spark, d):
     """One piece of HTML for each section, made of its blocks."""
     tag = F.when(F.col("block_type") == "heading", "h2").when(F.col("block_type") == "blockquote", "blockquote").when(F.col("block_type") == "pre", "pre").otherwise("p")

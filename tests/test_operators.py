@@ -67,3 +67,28 @@ def test_folds():
 def test_packing_of_blocks(spark):
     df = spark.createDataFrame([(1, 0, i, "x" * n) for i, n in enumerate((5, 6, 30, 4, 6))], BLOCKS)
     assert [r.batch_index for r in folds.batches_of(df, 10).orderBy("block_index").collect()] == [0, 1, 2, 3, 3]
+
+
+def test_styles():
+    from folioscope.functions import css
+
+    s = css.Sheet("p.a{color:red} .b.a{margin:1em;color:blue !important} /* x */ @import url('q.css'); h1{x:y}")
+    assert s.style("p", "a b") == {"color": "blue", "margin": "1em"} and s.style("div", "a") == {}
+    assert css.imports('@import "a.css"; @import url(b.css);') == ["a.css", "b.css"] and css.length("2em", 10) == 20 and css.length("auto") is None
+    assert css.declarations("a:url(x;y);B : c;;") == {"a": "url(x;y)", "b": "c"}
+
+
+def test_atoms_and_places():
+    from folioscope.operators import narration
+
+    t = "He said “No. Never.” Then left. Done"
+    assert [(t[a:b].strip(), q) for a, b, q in narration.atoms(t)] == [("He said", False), ("“No. Never.”", True), ("Then left.", False), ("Done", False)]
+    assert narration.fnv1a("a") == 0xE40C292C and -1 <= narration.pan("x") <= 1
+
+
+def test_kept_contents(spark):
+    from folioscope.operators import lookup
+
+    rows = spark.createDataFrame([(1, 0, "a", "A", []), (1, 1, "b", "B", [0]), (1, 2, "c", "C", [0, 1])], "book_id long, toc_index int, section_id string, label string, ancestors array<int>")
+    kept = spark.createDataFrame([(1, "a"), (1, "c")], "book_id long, section_id string")
+    assert {r.label: r.depth for r in lookup.kept_toc(rows, kept).collect()} == {"A": 0, "C": 1}
