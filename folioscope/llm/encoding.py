@@ -288,7 +288,8 @@ def damaged(df: DataFrame, src: str, key: str, text: str, model: Chains) -> Data
         model.judge([w for ws in found for w in ws])
         rows = []
         for i, t, ws in zip(ids, texts, found):
-            bad = damaged_words(t, ws, model)
+            # Each line is judged by itself: a page may hold lines of several scripts.
+            bad = damaged_words(t, ws, model) if "\n" not in t else [w for line in t.split("\n") if not line.isascii() for w in damaged_words(line, WORD.findall(line), model)]
             if bad:
                 fixed = WORD.sub(lambda m: model.known[m.group()][1] or m.group(), t)
                 rows.append((src, i, fixed, all(model.known[w][1] is not None for w in bad)))
