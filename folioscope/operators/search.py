@@ -75,8 +75,8 @@ def chunks_containing(chunks: DataFrame, query: str) -> DataFrame:
     return chunks.filter(F.contains(F.lower("text"), F.lit(q))).withColumn("score", F.lit(1)) if q else chunks.limit(0).withColumn("score", F.lit(1))
 
 
-def citation(title, block_id, unit_index):
-    """Label and link of a block."""
+def citation(title, block_id, unit_index, scheme: str = "book"):
+    """Label and link of a block; the link's scheme is the reading application's."""
     label = F.concat_ws(" · ", title, block_id)
     safe = F.replace(F.url_encode(F.coalesce(block_id, F.lit(""))), F.lit("+"), F.lit("%20"))
-    return label, F.concat(F.lit("rebook://j/"), unit_index.cast("string"), F.lit("/"), safe)
+    return label, F.concat(F.lit(f"{scheme}://j/"), unit_index.cast("string"), F.lit("/"), safe)

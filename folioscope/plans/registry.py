@@ -121,7 +121,7 @@ def search_chunks_contains(spark, d):
 
 
 @query(f"""WITH {BLOCKS_SQL}, t AS (SELECT b.*, s.title FROM blocks b LEFT JOIN sections s ON b.book_id = s.book_id AND b.unit_index = s.section_index WHERE contains(lower(text), 'compass'))
-SELECT block_uid, concat_ws(' · ', title, block_id) AS label, 'rebook://j/' || unit_index || '/' || url_encode(coalesce(block_id, '')) AS link FROM t""")
+SELECT block_uid, concat_ws(' · ', title, block_id) AS label, 'book://j/' || unit_index || '/' || url_encode(coalesce(block_id, '')) AS link FROM t""")
 def search_citations(spark, d):
     s = table(spark, d, "sections").select("book_id", F.col("section_index").alias("unit_index"), "title")
     found = blocks(spark, d).filter(F.contains(F.lower("text"), F.lit("compass"))).join(s, ["book_id", "unit_index"], "left")
