@@ -82,9 +82,9 @@ def _slim(spark, d):
     return blocks(spark, d).select("book_id", "unit_index", "block_index", "text")
 
 
-@query(_search_sql("the"))
+@query(_search_sql("en"))
 def search_book(spark, d):
-    return search.search_book(_slim(spark, d), "The")
+    return search.search_book(_slim(spark, d), "En")
 
 
 @query(_search_sql("the", keep="NOT regexp_matches(substring(text, start_offset, 1), '[\\p{L}\\p{N}_]') AND NOT regexp_matches(substring(text, start_offset + 4, 1), '[\\p{L}\\p{N}_]') OR start_offset = 0 AND NOT regexp_matches(substring(text, 4, 1), '[\\p{L}\\p{N}_]')", tail=""))
