@@ -496,7 +496,7 @@ def longest_block(spark, d):
 SELECT page_uid, book_id, page_index, (SELECT max_by(label, (t.page_index, label)) FROM t WHERE t.book_id = p.book_id AND t.page_index <= p.page_index) AS label FROM p""")
 def toc_at_page(spark, d):
     p = table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label").distinct()
-    entries = p.filter("label is not null and page_index % 5 = 0").select("book_id", F.col("page_index").alias("toc_index"), "label", "page_index")
+    entries = p.filter("label is not null").select("book_id", F.col("page_index").alias("toc_index"), "label", "page_index")
     return lookup.entry_at_page(entries, p)
 
 

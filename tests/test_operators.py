@@ -92,3 +92,13 @@ def test_kept_contents(spark):
     rows = spark.createDataFrame([(1, 0, "a", "A", []), (1, 1, "b", "B", [0]), (1, 2, "c", "C", [0, 1])], "book_id long, toc_index int, section_id string, label string, ancestors array<int>")
     kept = spark.createDataFrame([(1, "a"), (1, "c")], "book_id long, section_id string")
     assert {r.label: r.depth for r in lookup.kept_toc(rows, kept).collect()} == {"A": 0, "C": 1}
+
+
+def test_every_labelled_page_is_an_entry(spark, tmp_path):
+    from folioscope.plans import registry
+
+    labels = ["i", None, "iii", "iv", "1", "2", None]
+    rows = [(k, 1, k, x) for k, x in enumerate(labels)] + [(5, 1, 5, "2"), (9, 2, 1, None), (10, 2, 3, "4")]
+    spark.createDataFrame(rows, "page_uid long, book_id long, page_index int, label string").write.parquet(str(tmp_path / "fixed_pages.parquet"))
+    got = {r.page_uid: r.label for r in registry.queries()["toc_at_page"](spark, str(tmp_path)).collect()}
+    assert got == {0: "i", 1: "i", 2: "iii", 3: "iv", 4: "1", 5: "2", 6: "2", 9: None, 10: "4"}
