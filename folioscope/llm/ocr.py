@@ -1,8 +1,9 @@
 """Noise in text from scanned pages: running heads, page numbers, cut words and misread characters; and the text
 repaired into paragraphs.
 
-A lexicon of word counts over all runs is kept as a table of fixed size (counts by hash of the word), so that it can be
-broadcast whatever the corpus. Each page is one stream of its body lines with the line ends taken out. Decoding walks the stream
+A lexicon of word frequencies over all runs is kept as a table of fixed size (frequencies by hash of the word), so that it can be
+broadcast whatever the corpus. Rules compare the frequencies of a word's readings with each other, never a count with a
+fixed number, so a page is judged alike in a corpus of any size. Each page is one stream of its body lines with the line ends taken out. Decoding walks the stream
 word by word and takes the cheapest reading: the word as it stands, a confusion of characters undone, two pieces
 merged over a line end with or without a hyphen, or one piece split in two; every reading costs the rarity of its words
 and a price for the edit. Paragraph boundaries are chosen by dynamic programming over the lines from indents, gaps, short lines,
@@ -29,6 +30,8 @@ from pyspark.sql import Window as W
 
 #: Slots of the lexicon; its size is fixed (4 MB), whatever the corpus.
 SLOTS = 1 << 22
+#: The lexicon's frequencies are per so many words.
+PER = 1e6
 #: What scanning makes of characters: the misread form and what it stands for.
 CONFUSIONS = [
     ("c", "e"), ("ri", "n"), ("!", "i"), ("o", "a"), ("0", "o"), ("f", "t"), ("cl", "d"), ("5", "s"), ("ii", "u"), ("1", "l"), ("b", "h"), ("9", "g"),
@@ -51,6 +54,8 @@ HANGING = frozenset("und oder bzw et ou and or och eller y o e i oraz lub и и
 AMONG = regex.compile(r"(?:(?<=\p{Ll})[0-9!|](?=\p{Ll}))")
 SIGN_INSIDE = regex.compile(r"[0-9!|]")
 PLAIN_LETTERS = regex.compile(r"^[\p{Latin}\p{Cyrillic}0-9!|’'-]+$")
+#: Scripts without blanks between words: a line may end in a word, and no word is broken by it.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 SHORT = frozenset("a à e i o y è é и в с к о у а".split())
 
 
@@ -63,8 +68,8 @@ def words(text: str) -> list[str]:
 
 
 def lexicon(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts by slot over all rows. Each batch counts its own words first; the sums that reach the driver are at most
-    as many as there are slots."""
+    """Frequencies per PER words by slot over all rows, as tenths of log2. Each batch counts its own words first; the sums that
+    reach the driver are at most as many as there are slots, and one for the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -76,6 +81,7 @@ def lexicon(df: DataFrame, text: str = "text") -> np.ndarray:
                 head, dash, _ = w.partition("-")
                 if dash:
                     sums[slot(head + "-")] += n
+            sums[-1] = total.total()
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["slot", "n"])
 
@@ -90,25 +96,30 @@ def lexicon(df: DataFrame, text: str = "text") -> np.ndarray:
     sums = df.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()
     out = np.zeros(SLOTS, np.uint8)
-    n = rows.column("n").to_numpy()
-    out[rows.column("slot").to_numpy()] = np.minimum(255, np.round(10 * np.log2(n + 1.0))).astype(np.uint8)
+    at, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy()
+    words = at >= 0
+    if words.any():
+        rate = n[words] * (PER / n[~words].sum())
+        out[at[words]] = np.minimum(255, np.round(10 * np.log2(rate + 1.0))).astype(np.uint8)
     return out
 
 
 class Reader:
     """Reads words by a lexicon; remembers what it read."""
 
-    #: Price of an edit in bits, and how many bits likelier than the word as it stands another reading must be.
-    EDIT, MARGIN, LEAST = 1.0, 3.6, 2.3
+    #: How many bits likelier than the word as it stands another reading must be, for each edit, and one of a word with a
+    #: figure or mark inside; a whole word than either of its pieces; each of two words than both run together.
+    MARGIN, SIGN_MARGIN, JOIN, SPLIT = 3.6, 0.9, 3.0, 5.0
 
     def __init__(self, table: np.ndarray, repair: bool = False):
         self.table, self.repair = table, repair
         self.known: dict[str, tuple[str | None, int]] = {}
         self.counts: dict[str, float] = {}
+        self.most = float(table.max()) / 10.0
         self.verdicts: dict[str, tuple[bool, tuple[tuple[int, int, str], ...]]] = {}
 
     def bits(self, word: str) -> float:
-        """log2 of the count of a word plus one."""
+        """log2 of the frequency of a word per PER words plus one."""
         v = self.counts.get(word)
         if v is None:
             if len(self.counts) > 200_000:
@@ -128,12 +139,15 @@ class Reader:
     def _verdict(self, token: str) -> tuple[bool, tuple[tuple[int, int, str], ...]]:
         # Marks at the ends belong to the sentence unless the word needs them.
         bare = token.strip("!|’'")
-        form = bare if self.bits(bare.lower()) >= 1.6 else token.rstrip("’'|")
+        form = token.rstrip("’'|")
+        if form != bare and self.read(form, self.bits(bare.lower()) + self.MARGIN - self.SIGN_MARGIN)[0] is None:
+            form = bare
         if not PIECE.search(form) or not PLAIN_LETTERS.match(form):
             return False, ()
         bad, fixes = False, []
-        for p in form.split("-") if "-" in form and self.bits(form.lower()) < 2.3 else [form]:
-            better, _ = self.read(p)
+        for p in form.split("-"):
+            # A part is seen by itself and in the compound.
+            better, _ = self.read(p, math.log2(2.0 ** self.bits(p.lower()) + 2.0 ** self.bits(form.lower()) - 1.0) if "-" in form else 0.0)
             if better is not None:
                 bad = True
                 fixes.append((token.find(p), len(p), case_like(better, p)))
@@ -143,68 +157,72 @@ class Reader:
                 fixes.append((token.find(p), len(p), " ".join(two)))
         return bad, tuple(fixes)
 
-    def read(self, word: str) -> tuple[str | None, int]:
-        """A better reading of a word and where its edit lies, or (None, -1)."""
-        hit = self.known.get(word)
+    def read(self, word: str, own: float = 0.0) -> tuple[str | None, int]:
+        """A better reading of a word and where its edit lies, or (None, -1). own: bits that the word has at least."""
+        hit = self.known.get((word, own))
         if hit is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            hit = self.known[word] = self._read(word)
+            hit = self.known[word, own] = self._read(word, own)
         return hit
 
-    def _read(self, word: str) -> tuple[str | None, int]:
+    def _read(self, word: str, own: float) -> tuple[str | None, int]:
         low = word.lower()
-        own = self.bits(low)
-        if len(low) < 2 or own >= 9.0 and low.isalpha():
+        own = max(own, self.bits(low))
+        if len(low) < 2:
             return None, -1
         if sum(map(str.isalpha, low)) < max(1, len(low) // 2) or low.isdigit():
             return None, -1
-        least, margin = (1.0, 0.9) if SIGN_INSIDE.search(low) else (self.LEAST + self.EDIT, self.MARGIN)
-        best, at, score = None, -1, max(own + margin, least)
+        best, at, score = None, -1, own + (self.SIGN_MARGIN if SIGN_INSIDE.search(low) else self.MARGIN)
+        if score >= self.most:
+            return None, -1
         forms = list(edits(low))
         for form, i in forms:
             v = self.bits(form)
             if v > score:
                 best, at, score = form, i, v
-        if best is None and len(low) >= 6 and own < 2.4:
+        twice = score + self.MARGIN
+        if best is None and len(low) >= 6 and twice < self.most:
             for form, i in forms[:60]:
                 for form2, _ in edits(form):
-                    v = self.bits(form2) - self.EDIT
-                    if v > score + 1.0:
-                        best, at, score = form2, i, v
+                    v = self.bits(form2)
+                    if v > twice:
+                        best, at, twice = form2, i, v
         return best, at
 
     def cut(self, left: str, right: str | None) -> bool:
         """Whether a hyphen at a line's end only cuts a word: the merged reading against the compound's."""
         a, b = left.lower(), (right or "").lower()
         if right is None or not b:
-            return not (self.bits(a + "-") >= 2.5 and self.bits(a) < 9 and self.bits(a + "-") + 1 >= self.bits(a))
+            return not (self.bits(a + "-") > 0 and self.bits(a + "-") + 1 >= self.bits(a))
         merged, compound = self.bits(a + b), self.bits(a + "-" + b)
         if b in HANGING and merged < self.bits(a) + 1.0:
             return False
-        if merged < 1.5 and compound < 1.5:
-            fixed, _ = self.read(a + b)
-            if fixed is not None:
-                return True
-            compound = self.bits(a + "-") - 2.0 if self.bits(b) > 4 else 0.0
+        fixed, _ = self.read(a + b, compound)
+        if fixed is not None:
+            return True
+        compound = max(compound, min(self.bits(a + "-"), self.bits(b)) - 2.0)
         return merged + 0.5 >= compound
 
     def join(self, left: str, right: str) -> bool:
-        """Whether two pieces without a hyphen are one word: as good as never said apart, known as one."""
+        """Whether two pieces without a hyphen are one word: seldom said apart by what is said of them as one."""
         a, b = left.lower(), right.lower()
-        return len(a) > 1 and len(b) > 1 and self.bits(a) < 1.6 and self.bits(b) < 1.6 and self.bits(a + b) >= 4.0
+        if UNSPACED.search(a + b):
+            return False
+        return len(a) > 1 and len(b) > 1 and self.bits(a + b) >= max(self.bits(a), self.bits(b)) + self.JOIN
 
     def split(self, word: str) -> tuple[str, str] | None:
         """Two words that were run together."""
         low = word.lower()
-        if len(low) < 7 or self.bits(low) > 1.6:
+        if len(low) < 7:
             return None
-        best, score = None, 2 * 6.0
+        least = self.bits(low) + self.SPLIT
+        best, score = None, 2 * least
         for i in range(2, len(low) - 1):
             a, b = low[:i], low[i:]
             if (len(a) > 2 or a in SHORT) and len(b) > 2:
                 v = self.bits(a) + self.bits(b)
-                if min(self.bits(a), self.bits(b)) > 6.0 and v > score:
+                if min(self.bits(a), self.bits(b)) > least and v > score:
                     best, score = (word[:i], word[i:]), v
         return best
 

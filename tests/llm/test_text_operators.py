@@ -109,3 +109,27 @@ def test_pages(spark):
     paras = [r.paragraph for r in ocr.book_paragraphs(df, sizes).orderBy("page_index", "para_index").collect()]
     assert len(paras) == 41 and paras[0] == " ".join(body) and "behind the almanac and XIV" in paras[-1]
     assert ocr.noise(df.limit(0), sizes).count() == 0
+
+
+def test_a_page_is_judged_alike_in_a_corpus_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    body = ["the tide turned behind the pier and the whole", "town opened the almanac behind the old pier."]
+    texts = [t for _ in range(40) for t in body] + ["the tide turned bchind the alm", "anac and the o1d pier, as told", "the tide turned bchind the alma-", "nac and XIV"]
+    rows = [(uid, 1, uid // 2, uid % 2, t, [10.0, 0.0, 0.0, 10.0, 60.0, 94.0 + 14 * (uid % 2)], 10.0, True) for uid, t in enumerate(texts)]
+    once = spark.createDataFrame(rows, "run_uid long, book_id long, page_index int, run_index int, text string, transform_matrix array<double>, font_size double, has_eol boolean")
+    often = once.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).withColumn("run_uid", F.col("run_uid") + 1000 * F.col("copy")).withColumn("book_id", 1 + F.col("copy")).drop("copy")
+    sizes = spark.createDataFrame([(1, 792.0)], "book_id long, height double")
+    assert (ocr.lexicon(once) == ocr.lexicon(often)).all()
+    found = [{(r.run_uid % 1000, r.noise) for r in ocr.noise(df, sizes).collect()} for df in (once, often)]
+    assert found[0] == found[1] == {(80, "misread"), (80, "broken_word"), (81, "misread"), (82, "misread"), (82, "broken_word")}
+
+
+def test_lines_of_scripts_without_blanks_break_no_word(spark):
+    import numpy as np
+
+    table = np.zeros(ocr.SLOTS, np.uint8)
+    for w, n in {"readers": 60, "天花板下": 60, "reade": 1, "天花": 1}.items():
+        table[ocr.slot(w)] = round(10 * np.log2(n + 1))
+    r = ocr.Reader(table)
+    assert r.join("reade", "rs") and not r.join("天花", "板下")
