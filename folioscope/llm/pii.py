@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from .common import map_rows, spread
 from .lookalike import CYRILLIC, GREEK
 
-#: Given names of several languages, lower case.
+#: Common given names of several languages, lower case. They only add to a score: names() finds others by their place.
 GIVEN = frozenset(
-    """maren petra jory saskia fenna ottoline liesl corin ilse odette élodie łucja zdenka noor ruben emeric anselm bram åsa jürgen tavish íñigo
-    anna maria eva elena laura julia sofia sara emma lena nina clara marta lucia paula alice agnes ingrid astrid greta karin birgit helga ursula monika
+    """anna maria eva elena laura julia sofia sara emma lena nina clara marta lucia paula alice agnes ingrid astrid greta karin birgit helga ursula monika
     katarina magdalena agnieszka ewa jan piotr tomasz marek pavel ivan peter paul john james mary elizabeth david michael thomas robert william george
     henry charles arthur martin stefan hans klaus jürgen wolfgang pierre jean louis marie claire sophie camille juan carlos luis miguel josé pedro
     joão ana beatriz giovanni marco luca paolo francesca giulia chiara erik lars sven nils olof birgitta mats johan агния тихон есения иван анна мария
@@ -110,10 +110,51 @@ OTHERS = [
     regex.compile(r"पर ([\p{Devanagari}\p{M}]+ [\p{Devanagari}\p{M}]+) का नाम"),
     regex.compile(r"باسم ([\p{Arabic}\p{M}]+ [\p{Arabic}\p{M}]+)(?=[.،\s]|$)"),
     regex.compile(r"คุณ([ก-๎]+ [ก-๎]+?)(?=โทร|[\s0-9(+.]|$)"),
+    regex.compile(r"(?:寄件人|姓名|联系人|署名|借阅人|氏名|名前|宛名|お名前|借主)[:：]\s?([\p{Han}\p{Hiragana}\p{Katakana}ー・々]{2,8})(?=[。，、,.\s]|$)"),
+    regex.compile(r"(?<![\p{Han}\p{Hiragana}\p{Katakana}])(\p{Han}{2,4})(?:先生|女士|小姐|様|さん|氏|殿)(?!\p{Han})"),
+    regex.compile(r"(?<![\p{Devanagari}\p{M}])(?:श्री|श्रीमती|सुश्री|कुमारी|डॉ\.?) ([\p{Devanagari}\p{M}]+ [\p{Devanagari}\p{M}]+?)(?= जी(?![\p{Devanagari}\p{M}])|[,।\n(]|$)"),
+    regex.compile(r"(?<![\p{Arabic}\p{M}])(?:السيدة?|الأستاذة?|الدكتورة?|الآنسة|الاسم:) ([\p{Arabic}\p{M}]+ [\p{Arabic}\p{M}]+)(?=[.،,؛\n(]|$)"),
+    regex.compile(r"(?<![ก-๎])(?:นาย|นาง|นางสาว|ดร\.) ?([ก-๎]+ [ก-๎]+?)(?=โทร|[\s0-9(+.]|$)"),
     regex.compile(r"(?<![\p{L}.])((?:[А-ЯЁ]\. ?){1,2}[А-ЯЁ][а-яё]+(?:ск(?:ий|ая|ой)|цк(?:ий|ая)|н(?:ый|ая)|[оеё]ва?|[иы]на?|цева?|ко|ых|дзе|ян|шин|юк))(?![а-яё])"),
 ]
 
 
+#: Particles between given and family names.
+PARTICLES = frozenset("van der den de la las los von del della di da dos du af zu".split())
+#: Words that are no part of a name, however they are written.
+NO_NAME = frozenset(
+    """the a an and or of in on at to for by with from is was were be this that it he she they we you i my his her their our no not all one two three as but if when where why how who what which there here
+    der die das den dem des ein eine einen einer eines und oder in im am an auf zu zum zur mit von vom für bei nach vor über unter ist war nicht kein keine sie er es wir ihr ihre sein seine wie wo wer was als aus
+    le la les un une des du de et ou en au aux à par pour avec sur dans est il elle on nous vous je ne pas son sa ses ce cette qui que où comment
+    el los las unos unas y o e del al con por para sobre sin es no su sus él ella lo se que quién dónde cómo
+    il lo gli i uno di da del della dei delle che non con per su è ed ma si suo sua chi dove come
+    o os as um uma do da dos das em no na nos nas ao à com por para é não que seu sua quem onde como
+    i w z na do nie się jest to że od po za przy pod nad o u jak kto gdzie co
+    och en ett den det de i på av till med för från är var inte som han hon vi hur vem vad där
+    и в на с к по за от до не что как это он она они мы вы я у о из под над кто где""".split()
+)
+RUN_GAP = regex.compile(r" |(?<=\p{Lu})\. ")
+#: The place of a name: a word for oneself before it, a colon or a preposition of giving, another finding close behind.
+SELF = regex.compile(r"(?:^|[\n.!?”\"»“] ?)(?:I|Ich|Moi|Je|Yo|Eu|Io|Ja|Jag|Я), $")
+COLON = regex.compile(r":[ \n]$")
+GIVEN_TO = regex.compile(r"(?<!\p{L})(?:to|for|by|reach|an|für|von|à|pour|par|a|para|por|per|da|till|för|av|dla|przez|для)\s$")
+TITLE = regex.compile(r"(?<!\p{L})(?:(?:Dr|Mrs?|Ms|Prof|Sig)\.|Mme|Mlle|Frau|Herrn?|señora?|senhora?|signora?|pani|pana?|fru|herr|belongs to|reach|contact)\s$")
+NEAR = regex.compile(r"[^.!?\n\x00]{0,12}[,;:(]?[ \n]?\x00")
+AND = regex.compile(r" (?:and|und|et|y|e|i|och|и) ")
+OPENING = regex.compile(r"(?:^|[.!?…][\"”»“]?\s+|\n)$")
+BEHIND = regex.compile(r"[ \t]*(?:\r?\n|$)")
+
+
+PART = r"(?:(?:van der|van den|van|von der|von|de la|de|del|di|da|du|af|zu) )?"
+LOWER = r"\p{Ll}(?:\p{Ll}|[’'-](?!s(?!\p{L})))+"
+#: After the first a name may be followed by anything, after the second only by a finding.
+LOWER_CUED = regex.compile(
+    r"(?<!\p{L})(?:(?:Dr|Mrs?|Ms|Prof|Sig|Sra?|Dra)\.?|Mme|Mlle|Frau|Herrn?|señora?|senhora?|signora?|pani|pana?|fru|herr|(?:signed|translated|typeset|proofread|written|lent|borrowed|Translated|Signed) by|issued to|belongs to|receipt for|"
+    r"(?:traduit|relu|signé|Traduit|Relu) par|Satz:|Lektorat:|Traducción de|corrección de|Name:|contact:|(?:I|Ich|Moi|Yo|Eu|Io),) (" + LOWER + " " + PART + LOWER + r")(?!\p{L})"
+)
+LOWER_PLACE = regex.compile(r"(?:(?<!\p{L})(?:to|for|reach|contact|an|à|a|till|för|reads?:|:)\s|(?<=\p{L}|,)\n)(" + LOWER + "(?: " + PART + LOWER + r"){1,2}?)(?=,|\n| (?:at|was)\b|’s|[.;(]|$)")
+
+
 class Tape:
     """A text and, once anything changed length, the source span of each character."""
 
@@ -224,6 +265,8 @@ def names(s: str) -> list[tuple[int, int]]:
         if words[-1].casefold() not in PLACES and words[-1].strip(".").casefold() not in PLACES:
             add(*m.span(1))
     words = list(WORD.finditer(s))
+    for m in placed(s, words, found):
+        add(*m)
     for k, w in enumerate(words[:-1]):
         if w.group().casefold() not in GIVEN:
             continue
@@ -234,7 +277,7 @@ def names(s: str) -> list[tuple[int, int]]:
         while j < len(words) and s[words[j - 1].end() : words[j].start()] == " " and words[j].group().casefold() in GIVEN and j - k < 3:
             j += 1
         first, particle = j, False
-        while j < len(words) and s[words[j - 1].end() : words[j].start()] == " " and words[j].group().casefold() in ("van", "der", "den", "de", "la", "von", "del", "di", "da", "zu", "du", "af"):
+        while j < len(words) and s[words[j - 1].end() : words[j].start()] == " " and words[j].group().casefold() in PARTICLES:
             j, particle = j + 1, True
         if j >= len(words) or s[words[j - 1].end() : words[j].start()] != " ":
             continue
@@ -250,6 +293,52 @@ def names(s: str) -> list[tuple[int, int]]:
     return found
 
 
+def placed(s: str, words: list[re.Match], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Names by their form and place: runs of two to four capitalised words are scored by what stands around them; words in
+    lower case only count where a title or preposition stands before them and another finding behind."""
+    small = Counter(w.group() for w in words if w.group().islower())
+    n, runs, k = len(words), [], 0
+    while k < n:
+        j, text = k, words[k].group()
+        if text[0].isupper() and text.casefold() not in NO_NAME:
+            last = k
+            while j + 1 < n and RUN_GAP.fullmatch(s, words[j].end(), words[j + 1].start()) and ((w := words[j + 1].group())[0].isupper() and w.casefold() not in NO_NAME or w in PARTICLES):
+                j += 1
+                if words[j].group()[0].isupper():
+                    last = j
+            runs.append((k, last))
+            j = last
+        k = j + 1
+    two = [(i, j) for i, j in runs if 1 <= j - i <= 4]
+    starts, ends = {words[i].start() for i, _ in two} | {a for a, _ in found}, {words[j].end() for _, j in two} | {b for _, b in found}
+    families = {s[a:b].rpartition(" ")[2] for a, b in found}
+    out = []
+    for i, j in two:
+        a, b = words[i].start(), words[j].end()
+        own = [w.group() for w in words[i : j + 1]]
+        family = own[-1].removesuffix("’s").removesuffix("'s")
+        if family.casefold() in PLACES or len(family) < 3 or any(w.isupper() and len(w) > 1 for w in own):
+            continue
+        before, score = s[max(0, a - 24) : a], 1.0
+        line, behind = a == 0 or s[a - 1] == "\n", BEHIND.match(s, b)
+        score += 2.0 * bool(NEAR.match(s, b)) + 2.0 * bool(SELF.search(before)) + bool(COLON.search(before)) + bool(GIVEN_TO.search(before)) + 3.0 * bool(TITLE.search(before))
+        if line and behind:
+            score += 1.5 + 0.5 * (s[:a].rstrip()[-1:].isalpha() or s[:a].rstrip()[-1:] == ",")
+        follow, ahead = AND.match(s, b), next((m for m in AND.finditer(s, max(0, a - 6), a) if m.end() == a), None)
+        if follow and follow.end() in starts or ahead and ahead.start() in ends:
+            score += 1.5 + 0.5 * bool(OPENING.search(before) or ahead)
+        score += 1.5 * (own[0].casefold() in GIVEN) + any(w in PARTICLES for w in own) + (family in families)
+        score -= sum(1.5 for w in own if small[w.casefold()] and w not in PARTICLES)
+        if score >= 3.0:
+            out.append((a, b))
+    for pattern in (LOWER_CUED, LOWER_PLACE):
+        for m in pattern.finditer(s):
+            own = [w for w in m.group(1).split(" ") if w not in PARTICLES]
+            if len(own) > 1 and all(len(w) > 2 and small[w] <= s.count(m.group(1)) and w not in NO_NAME for w in own) and own[-1] not in PLACES and (pattern is LOWER_CUED or NEAR.match(s, m.end(1))):
+                out.append(m.span(1))
+    return out
+
+
 def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     if text is None:
         return None

@@ -123,3 +123,17 @@ def test_reader_undoes_confusions():
     r = ocr.Reader(table)
     assert r.read("bchind")[0] == "behind" and r.read("a1manac")[0] == "almanac" and r.read("behind")[0] is None
     assert not r.cut("lamp", "lit") and r.cut("proces", "sion")
+
+
+def test_names_without_a_list_are_found_by_their_place():
+    def names(text):
+        return [text[a:b] for k, a, b in pii.find(text) if k == "name"]
+
+    assert not {"corvane", "ysolde", "tamsin", "brannoc"} & pii.GIVEN
+    assert names("Please return the volume to Corvane Hulmbeck, 14 Old Harbour Street, Dralowen.") == ["Corvane Hulmbeck"]
+    assert names("The tide fell. I, Ysolde van der Mark, lent this book.") == ["Ysolde van der Mark"]
+    assert names("Ysolde Hulmbeck and Tamsin O’Quay shared a card.") == ["Ysolde Hulmbeck", "Tamsin O’Quay"]
+    assert names("Mit freundlichen Grüßen\nBrannoc Tamsin Hulmbeck\nLindmoorweg 7, 00123 Varnheim") == ["Brannoc Tamsin Hulmbeck"]
+    assert names("Mme ysolde de la mark a relu la page. That copy belongs to tamsin hulmbeck’s aunt.") == ["ysolde de la mark", "tamsin hulmbeck"]
+    assert names("姓名：王小明。田中太郎さん、श्री राम शर्मा, ") == ["王小明", "田中太郎", "राम शर्मा"]
+    assert names("The Old Tower stood by common consent. Eine Laterne und drei Seiten Korrekturen. Ein Bündel Briefe.") == []
