@@ -30,7 +30,7 @@ def row(path: str, data: bytes) -> dict:
         return {"path": path, "error": f"{type(e).__name__}: {e}"[:500], "metadata": [], "sections": [], "toc": [], "pages": [], "resources": []}
     named = lambda keys, rows: [dict(zip(keys, r)) for r in rows]
     return {
-        "path": path, "book_format": b.format, "error": None, "metadata": list(b.metadata.items()),
+        "path": path, "book_format": b.format, "error": b.error, "metadata": list(b.metadata.items()),
         "sections": named(("section_id", "linear", "media_type", "content"), b.sections), "toc": named(("depth", "label", "href"), b.toc),
         "pages": named(("label", "href"), b.pages), "resources": named(("resource_id", "href", "media_type", "size"), b.resources),
     }

@@ -140,3 +140,84 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable(), q.stop()
     got = {r.book: str(r.ts) for r in events.upserted(spark, str(tmp_path / "out"), ["book"], "ts").collect()}
     assert got == {1: "2030-01-01 00:00:01", 2: "2030-01-01 00:01:00"}
+
+
+def indx(entries: list[tuple[bytes, int, bytes]], tags: list[tuple[int, int, int]], labels: bytes = b"") -> list[bytes]:
+    """Records of an index: entries as name, control byte and values; tags as tag, numbers a value, mask."""
+    tagx = b"TAGX" + struct.pack(">II", 12 + 4 * (len(tags) + 1), 1) + b"".join(bytes((*t, 0)) for t in tags) + bytes((0, 0, 0, 1))
+    head = bytearray(56)
+    head[:4] = b"INDX"
+    struct.pack_into(">I", head, 4, 56)
+    struct.pack_into(">III", head, 20, 0, 1, 65001)
+    struct.pack_into(">I", head, 52, int(bool(labels)))
+    body, places = bytearray(56), []
+    for name, control, values in entries:
+        places.append(len(body))
+        body += bytes((len(name),)) + name + bytes((control,)) + values
+    body[:4] = b"INDX"
+    struct.pack_into(">II", body, 20, len(body), len(places))
+    body += b"IDXT" + struct.pack(f">{len(places)}H", *places)
+    return [bytes(head) + tagx, bytes(body), *([labels] if labels else [])]
+
+
+def test_fragments_go_into_their_skeletons():
+    v = lambda *n: b"".join(bytes((x >> 7, x & 127 | 128)) for x in n)
+    shell, parts = b"<html><body></body></html>", [b"<p>one</p>", b"<p>two</p>", b"<p>three</p>"]
+    text = shell + parts[0] + parts[1] + shell + parts[2]
+    second = len(shell) + len(parts[0]) + len(parts[1])
+    skel = indx([(b"S0", 3, v(2) + v(0, len(shell))), (b"S1", 3, v(1) + v(second, len(shell)))], [(1, 1, 1), (6, 2, 2)])
+    # The last entry gives the bytes of its values in place of their number.
+    frag = indx([(b"0000000012", 4, v(0, 10)), (b"0000000022", 4, v(10, 10)), (b"%010d" % (second + 12), 12, bytes((132,)) + v(0, 12))], [(6, 2, 12)])
+    labels = b"".join(bytes((len(x) | 128,)) + x for x in (b"A &amp; B", b"Sub", b"Last"))
+    ncx = indx([(b"0", 23, v(0) + v(0) + v(0, 0) + v(1)), (b"1", 15, v(10) + v(1) + v(1, 3) + v(0)), (b"2", 7, v(14) + v(0) + v(2, 0))], [(3, 1, 1), (4, 1, 2), (6, 2, 4), (21, 1, 8), (22, 1, 16)], labels)
+    head = bytearray(16 + 264)
+    struct.pack_into(">HHIHH", head, 0, 1, 0, len(text), 1, 4096)
+    head[16:20] = b"MOBI"
+    struct.pack_into(">IIII", head, 20, 264, 2, 65001, 0)
+    struct.pack_into(">I", head, 36, 8)
+    struct.pack_into(">III", head, 244, 2 + len(skel) + len(frag), 2 + len(skel), 2)
+    records = [bytes(head), text, *skel, *frag, *ncx]
+    pdb = bytearray(78) + bytearray(8 * len(records))
+    pdb[60:68] = b"BOOKMOBI"
+    struct.pack_into(">H", pdb, 76, len(records))
+    for i in range(len(records)):
+        struct.pack_into(">I", pdb, 78 + 8 * i, len(pdb) + sum(map(len, records[:i])))
+    b = formats.parse("x.azw3", bytes(pdb) + b"".join(records))
+    assert [s[3] for s in b.sections] == ["<html><body><p>one</p><p>two</p></body></html>", "<html><body><p>three</p></body></html>"]
+    assert b.toc == [(0, "A & B", "0#kindle:pos:fid:0000:off:0000000000"), (1, "Sub", "0#kindle:pos:fid:0001:off:0000000003"), (0, "Last", "1#kindle:pos:fid:0002:off:0000000000")]
+
+
+def pdf_page(filters: bytes, content: bytes, font: bytes, more: bytes = b"") -> bytes:
+    body = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R >> >> >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj\n"
+    return body + b"4 0 obj << %s /Length %d >> stream\n%s\nendstream endobj\n5 0 obj << /Type /Font %s >> endobj\n" % (filters, len(content), content, font) + more
+
+
+def test_pdf_filters_and_font_maps():
+    assert formats.unfilter(bytes.fromhex("800B6050220C0C8501"), "LZWDecode") == bytes((45, 45, 45, 45, 45, 65, 45, 45, 45, 66))
+    shown = b"BT /F1 12 Tf (Hello) Tj ET"
+    codes = [256, *shown, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big")
+    b = formats.parse("x.pdf", pdf_page(b"/Filter /LZWDecode", packed, b"/Subtype /Type1"))
+    assert b.sections[0][3] == "Hello" and b.error is None
+    rows, before = b"", bytes(13)
+    for at in (0, 13):
+        line = shown[at : at + 13]
+        rows += b"\x02" + bytes((x - y) & 255 for x, y in zip(line, before))
+        before = line
+    b = formats.parse("x.pdf", pdf_page(b"/Filter [/FlateDecode] /DecodeParms [<< /Predictor 12 /Columns 13 >>]", zlib.compress(rows), b"/Subtype /Type1"))
+    assert b.sections[0][3] == "Hello"
+    assert formats.unpredict(bytes((1, 1, 1, 5, 1, 1)), b"<< /Predictor 2 /Columns 3 >>") == bytes((1, 2, 3, 5, 6, 7))
+    wide = b"BT /F1 12 Tf <000100020011> Tj [<0012> -300 <0020>] TJ ET"
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <041F> <0002> <00660069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<D83DDE00> <0062>] endbfrange"
+    map_at = b"6 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(cmap), cmap)
+    b = formats.parse("x.pdf", pdf_page(b"", wide, b"/Subtype /Type0 /ToUnicode 6 0 R", map_at))
+    assert b.sections[0][3] == "Пfibc 😀" and b.error is None
+
+
+def test_what_of_a_pdf_cannot_be_read_is_an_error():
+    no_map = books.row("x.pdf", pdf_page(b"", b"BT /F1 12 Tf <00010002> Tj ET", b"/Subtype /Type0"))
+    assert "font" in no_map["error"] and len(no_map["sections"]) == 1
+    for name, content in ((b"/Crypt", b"x"), (b"/FlateDecode", b"damaged"), (b"/LZWDecode", b"\xff\xff\xff")):
+        r = books.row("x.pdf", pdf_page(b"/Filter " + name, content, b"/Subtype /Type1"))
+        assert r["error"] and r["sections"][0]["content"] == "", name
