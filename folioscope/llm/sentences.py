@@ -6,8 +6,8 @@ sum; a span is scored by its length, the word it opens with, the word it closes
 parentheses are balanced, including speech that a dash opens. Speech stays with the words that report it.
 
 Null, empty and blank texts have no sentence. Text without any mark is one sentence. A heading is one unit.
-Offsets count code points, from the first to after the last character that is no white space. Every span is scored
-against all starts up to REACH candidates back and against the last place where all quotations were closed.
+Offsets count code points, from the first to after the last character that is no white space. The sum
+is the best over all starts: those up to REACH candidates back are scored at once, others only if what their length costs leaves them a chance.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -81,8 +82,12 @@ def quotations(text: str) -> list[tuple[int, int, str]]:
         found.append((stack[0][1], n, stack[0][0]))
     for m in SPEECH.finditer(text):
         # Speech that a dash opens ends at the dash, or else at the comma, before the words that report it.
-        end = SHUT.search(text, m.end(), m.start() + 400) or REPORT.search(text, m.end(), m.start() + 400)
-        if end and "\n\n" not in text[m.start() : end.start()]:
+        # The near ones first: a dash further on in the paragraph may open other speech.
+        blank = GAP.search(text, m.end())
+        stop = blank.start() if blank else n
+        near = min(stop, m.start() + 400)
+        end = SHUT.search(text, m.end(), near) or REPORT.search(text, m.end(), near) or SHUT.search(text, m.end(), stop) or REPORT.search(text, m.end(), stop)
+        if end:
             found.append((m.start(), end.start() + 1, "—"))
     return found
 
@@ -90,6 +95,7 @@ def quotations(text: str) -> list[tuple[int, int, str]]:
 SPEECH = regex.compile(r"(?:(?<=^\s*)|(?<=[.!?…”»\"]\s+)|(?<=\n))[–—―]\s?[¿¡«“\"]?\p{Lu}")
 SHUT = regex.compile(r"[–—―]\s?\p{Ll}")
 REPORT = regex.compile(r",\s\p{Ll}+\s")
+GAP = regex.compile(r"\n\n|\r\n\r")
 
 
 QUOTE = re.compile("[“”„«»「」『』\"()（）\\[\\]《》‹›]")
@@ -243,14 +249,35 @@ def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]
                 s += 0.0
         return s
 
+    firsts, priors, top = [], np.zeros(n + 1), [0.0]
+    for a in starts if n > REACH + 1 else ():
+        while a < len(text) and text[a].isspace():
+            a += 1
+        firsts.append(a)
+    bodies = np.array(firsts)
+    seen = np.cumsum([False, *map(str.isalnum, text)]) if firsts else None
+
+    def far(j: int) -> list[int]:
+        """Starts more than REACH back that may give a better score. A span scores what its length, and signs alone, cost at best."""
+        k = j - REACH
+        size = ends[j] - firsts[k - 1]
+        if size >= 70 and top[k - 1] + local[j] - 0.12 * math.log(size / 70.0) ** 2 <= best[j]:
+            return []
+        sizes = np.maximum(ends[j] - bodies[:k], 1)
+        bare = seen[bodies[:k]] >= seen[ends[j]]
+        return np.flatnonzero(priors[:k] + local[j] - 0.12 * np.log(sizes / 70.0) ** 2 - 8.0 * bare > best[j]).tolist()
+
     for j in range(n):
-        for i in range(max(0, j - REACH), j + 1):
-            prior = 0.0 if i == 0 else best[i - 1]
-            if prior == -math.inf:
-                continue
-            v = prior + span(i, j) + local[j]
-            if v > best[j]:
-                best[j], back[j] = v, i
+        for near in (True, False):
+            for i in range(max(0, j - REACH), j + 1) if near else far(j) if j > REACH else ():
+                prior = 0.0 if i == 0 else best[i - 1]
+                if prior == -math.inf:
+                    continue
+                v = prior + span(i, j) + local[j]
+                if v > best[j]:
+                    best[j], back[j] = v, i
+        priors[j + 1] = best[j]
+        top.append(max(top[-1], best[j]))
     out, j = [], n - 1
     while j >= 0:
         i = back[j]

@@ -137,3 +137,11 @@ def test_names_without_a_list_are_found_by_their_place():
     assert names("Mme ysolde de la mark a relu la page. That copy belongs to tamsin hulmbeck’s aunt.") == ["ysolde de la mark", "tamsin hulmbeck"]
     assert names("姓名：王小明。田中太郎さん、श्री राम शर्मा, ") == ["王小明", "田中太郎", "राम शर्मा"]
     assert names("The Old Tower stood by common consent. Eine Laterne und drei Seiten Korrekturen. Ein Bündel Briefe.") == []
+
+
+def test_a_sentence_may_hold_any_number_of_ends():
+    quoted = "“" + "It rang. " * 30 + "It stopped.”"
+    assert cut_of(quoted + " Then he left.") == [quoted, "Then he left."]
+    speech = "– Vänta " + "och vänta " * 60 + "nu! Klockan ringer – sade färjkarlen."
+    assert sentences.quotations(speech) == [(0, speech.index("–", 1) + 1, "—")]
+    assert len(cut_of(". " * 400)) == 1
