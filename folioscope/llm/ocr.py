@@ -10,7 +10,7 @@ and a price for the edit. Paragraph boundaries are chosen by dynamic programming
 and how sentences end and begin; paragraphs that run over pages are joined by their numbers afterwards.
 
 Null and blank texts are runs without noise. Null geometry is replaced by what the run's place and type size say.
-Books without page sizes take the lowest line of the book. Deliveries of the same run count once in the result.
+Books without page sizes take the lowest line of the book. A run without book or page lies on a page of its own. Deliveries of the same run count once in the result.
 """
 
 from __future__ import annotations
@@ -367,7 +367,7 @@ def paragraphs(lines: list[dict]) -> list[list[dict]]:
     best, back = [0.0] * (n + 1), [0] * (n + 1)
     for j in range(1, n + 1):
         best[j] = -math.inf
-        for i in range(max(0, j - 60), j):
+        for i in range(j):
             v = best[i] + (gain[i - 1] if i else 0.0) - (0.7 if j - i == 1 and widths[i] < 0.4 * full else 0.0)
             if v > best[j]:
                 best[j], back[j] = v, i
@@ -390,7 +390,9 @@ def pages(runs: DataFrame, sizes: DataFrame) -> DataFrame:
         F.element_at("transform_matrix", 5).alias("x"), F.when(~F.isnan(lowest), lowest).alias("y"),
     )
     n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * runs.sparkSession.sparkContext.defaultParallelism)
-    return slim.join(heights, "book_id", "left").repartition(n, "book_id", "page_index").sortWithinPartitions("book_id", "page_index", "run_index", "run_uid")
+    # Runs without a page spread by themselves; each is a page of its own.
+    placed = F.when(F.col("book_id").isNull() | F.col("page_index").isNull(), F.col("run_uid"))
+    return slim.withColumn("alone", placed).join(heights, "book_id", "left").repartition(n, "book_id", "page_index", "alone").sortWithinPartitions("book_id", "page_index", "alone", "run_index", "run_uid")
 
 
 def _by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -398,11 +400,11 @@ def _by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tu
     key, runs = None, []
     for batch in batches:
         cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        for book, at, *run in zip(*(cols[n] for n in ("book_id", "page_index", "run_uid", "text", "has_eol", "font_size", "x", "y", "height"))):
-            if (book, at) != key:
+        for book, at, alone, *run in zip(*(cols[n] for n in ("book_id", "page_index", "alone", "run_uid", "text", "has_eol", "font_size", "x", "y", "height"))):
+            if (book, at, alone) != key:
                 if runs:
                     yield key, runs
-                key, runs = (book, at), []
+                key, runs = (book, at, alone), []
             if not runs or runs[-1][UID] != run[UID]:
                 runs.append(run)
     if runs:
@@ -436,32 +438,34 @@ STRIDE = 256
 
 
 def book_paragraphs(runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """book_id, page_index and para_index of a paragraph's first line, and its repaired text.
+    """book_id, page_index and para_index of a paragraph's first line, and its repaired text; a run without book or page is a
+    paragraph of its own, by run_uid (null for others).
 
     A page's first paragraph goes on from the page before if that one's last line doesn't end a sentence or this one
     begins in lower case. Numbers are found in strides of STRIDE pages, and only a row for each stride is carried through a book."""
     shared = runs.sparkSession.sparkContext.broadcast(lexicon(runs))
-    schema = "book_id long, page_index int, para int, text string, goes_on boolean, stays_open boolean"
+    schema = "book_id long, page_index int, alone long, para int, text string, goes_on boolean, stays_open boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value, repair=True)
-        for (book, at), own in _by_page(batches):
+        for (book, at, alone), own in _by_page(batches):
             groups = paragraphs(page(own, reader)[1])
             rows = []
             for i, g in enumerate(groups):
                 text = "".join(x["text"] + x["glue"] for x in g)
                 first = next((c for c in text if c.isalnum()), "")
-                rows.append((book, at, i, text, i == 0 and first.islower(), i == len(groups) - 1 and not ENDS.search(text)))
+                rows.append((book, at, alone, i, text, i == 0 and first.islower(), i == len(groups) - 1 and not ENDS.search(text)))
             if rows:
                 cols = zip(*rows)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     from .common import shared_folder
 
     shared_folder(runs.sparkSession)
-    rows = pages(runs, sizes).filter(F.col("book_id").isNotNull() & F.col("page_index").isNotNull()).mapInArrow(run, schema)
-    rows = rows.withColumn("stride", F.floor(F.col("page_index") / STRIDE)).checkpoint()
+    every = pages(runs, sizes).mapInArrow(run, schema).checkpoint()
+    loose = every.filter(F.col("alone").isNotNull()).select("book_id", "page_index", F.col("para").alias("para_index"), F.trim("text").alias("paragraph"), F.lit(1).alias("n_parts"), F.col("alone").alias("run_uid"))
+    rows = every.filter(F.col("alone").isNull()).drop("alone").withColumn("stride", F.floor(F.col("page_index") / STRIDE))
     near = W.partitionBy("book_id", "stride").orderBy("page_index", "para")
     # Whether the paragraph before was left open; at a stride's start that is known only after the strides are lined up.
     last = rows.groupBy("book_id", "stride").agg(F.max_by("stays_open", F.struct("page_index", "para")).alias("open_after"))
@@ -475,4 +479,4 @@ def book_paragraphs(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     carry = ends.withColumn("carried", F.last("top", True).over(W.partitionBy("book_id").orderBy("stride").rowsBetween(W.unboundedPreceding, -1))).select("book_id", "stride", "carried")
     marked = marked.join(carry, ["book_id", "stride"]).withColumn("start", F.coalesce("start", "carried", here))
     parts = marked.groupBy("book_id", "start").agg(F.array_sort(F.collect_list(F.struct("page_index", "para", "text"))).alias("p"))
-    return parts.select("book_id", F.col("start.page_index").alias("page_index"), F.col("start.para").alias("para_index"), F.trim(F.array_join("p.text", "")).alias("paragraph"), F.size("p").alias("n_parts"))
+    return parts.select("book_id", F.col("start.page_index").alias("page_index"), F.col("start.para").alias("para_index"), F.trim(F.array_join("p.text", "")).alias("paragraph"), F.size("p").alias("n_parts"), F.lit(None).cast("long").alias("run_uid")).unionByName(loose)

@@ -133,3 +133,13 @@ def test_lines_of_scripts_without_blanks_break_no_word(spark):
         table[ocr.slot(w)] = round(10 * np.log2(n + 1))
     r = ocr.Reader(table)
     assert r.join("reade", "rs") and not r.join("天花", "板下")
+
+
+def test_runs_without_a_page_and_long_paragraphs(spark):
+    schema = "run_uid long, book_id long, page_index int, run_index int, text string, transform_matrix array<double>, font_size double, has_eol boolean"
+    place = lambda k: [10.0, 0.0, 0.0, 10.0, 60.0, 60.0 + 6.0 * k]
+    rows = [(k, 1, 0, k, f"and the long line {'x' * 20} goes on", place(k), 10.0, True) for k in range(90)]
+    rows += [(900, None, 3, 0, "No book here.", None, 10.0, True), (901, None, 3, 0, "No book either.", None, 10.0, True), (902, 1, None, 0, "No page here.", None, 10.0, True), (900, None, 3, 0, "No book here.", None, 10.0, True)]
+    got = ocr.book_paragraphs(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 792.0)], "book_id long, height double")).collect()
+    assert {(r.run_uid, r.book_id, r.page_index, r.paragraph) for r in got if r.run_uid} == {(900, None, 3, "No book here."), (901, None, 3, "No book either."), (902, 1, None, "No page here.")}
+    assert sum(r.run_uid is None for r in got) == 1 and len(got) == 4
