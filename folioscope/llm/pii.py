@@ -2,8 +2,9 @@
 
 A tape carries a text with the source span of each of its characters. Transducers rewrite it: forms of any width
 become plain, characters without width go, digits of any script become ASCII, look-alike letters inside Latin words become
-Latin, disguised at and dot signs and spelled digits become what they stand for. Detectors run over the rewritten
+Latin, disguised at and dot signs and digits spelled as words become what they stand for. Detectors run over the rewritten
 tape, the surest first, each over what the ones before have left; spans map back to the source characters.
+A detector with a costly pattern only runs where one of the words or signs stands that its matches can't be without.
 
 Null and empty texts have no finding and stay as they are. Overlapping findings can't occur. Repeated rows give
 repeated results; other columns are untouched.
@@ -14,8 +15,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,22 +38,51 @@ GIVEN = frozenset(
 )
 #: Words behind a given name that make a place, ship or house of it.
 PLACES = frozenset("island street lane row road rd ct court avenue ave market bridge house inn lantern hall press square harbour bay point hill tower gate lighthouse library mill".split())
-#: Digit words of some languages.
-DIGITS = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zero uno due tre quattro cinque sei sette otto nove", "zero um dois três quatro cinco seis sete oito nove") for i, w in enumerate(words.split())} | {"oh": "0"}
+#: Digit words of 14 languages, from nought to nine.
+DIGIT_WORDS = """zero one two three four five six seven eight nine
+null eins zwei drei vier fünf sechs sieben acht neun
+zéro un deux trois quatre cinq six sept huit neuf
+cero uno dos tres cuatro cinco seis siete ocho nueve
+zero um dois três quatro cinco seis sete oito nove
+zero uno due tre quattro cinque sei sette otto nove
+zero jeden dwa trzy cztery pięć sześć siedem osiem dziewięć
+noll ett två tre fyra fem sex sju åtta nio
+ноль один два три четыре пять шесть семь восемь девять
+零 一 二 三 四 五 六 七 八 九
+ゼロ いち に さん よん ご ろく なな はち きゅう
+ศูนย์ หนึ่ง สอง สาม สี่ ห้า หก เจ็ด แปด เก้า
+शून्य एक दो तीन चार पाँच छह सात आठ नौ
+صفر واحد اثنان ثلاثة أربعة خمسة ستة سبعة ثمانية تسعة"""
+DIGITS = {w: str(i) for line in DIGIT_WORDS.splitlines() for i, w in enumerate(line.split())} | {"oh": "0", "zwo": "2", "нуль": "0", "〇": "0", "पांच": "5"}
+UNSPACED_DIGITS = {w: d for w, d in DIGITS.items() if regex.match(r"[\p{Han}\p{Katakana}\p{Thai}〇]", w)}
+SPACED_DIGITS = {w: d for w, d in DIGITS.items() if w not in UNSPACED_DIGITS and not regex.match(r"\p{Hiragana}", w)}
 
 PLAIN = {c: unicodedata.normalize("NFKC", chr(c)) for c in chain(range(0xFF01, 0xFF5F), range(0xFFE0, 0xFFE7))}
 PLAIN |= {c: str(unicodedata.digit(chr(c))) for c in range(0x660, 0x10000) if unicodedata.category(chr(c)) == "Nd"}
 PLAIN |= {c: " " for c in (0xA0, 0x202F, 0x2007, 0x2009, 0x200A, 0x2002, 0x2003, 0x3000, 0x205F)}
-PLAIN |= {0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-", 0x30FC: "ー", 0xFF0D: "-", 0x2019: "’"}
+PLAIN |= {0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-", 0xFF0D: "-"}
 PLAIN = {k: v for k, v in PLAIN.items() if len(v) == 1}
 FORMS = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(PLAIN)) + "]")
 NO_WIDTH = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁩﻿]")
 LATIN_OF = str.maketrans({k: v for k, v in (CYRILLIC | GREEK).items() if len(v) == 1})
 MIXED = regex.compile(r"(?=[\w.@+-]*\p{Latin})(?=[\w.@+-]*[\p{Cyrillic}\p{Greek}])[\w.@+-]+")
+_L, _C = "[A-Za-z\u00c0-\u024f]", "[\u0370-\u03ff\u0400-\u052f]"
+#: Whether a text may hold such a word: letters of two scripts side by side.
+MIXED_GATE = re.compile(f"{_L}[.@+0-9_-]*{_C}|{_C}[.@+0-9_-]*{_L}")
+OTHER_LETTERS = re.compile(_C)
 AT = re.compile(r"(?<=[A-Za-z0-9_+-])(?:\s?[\[({<]\s?(?:at|AT|At|arroba|chiocciola)\s?[\])}>]\s?|\s@\s?|@\s|\s(?:at|AT)\s(?=[A-Za-z0-9-]+(?:\s(?:dot|DOT)\s|\s?[\[({]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}])))(?=[A-Za-z0-9])")
+AT_KEYS = (*(b + gap + "at" for b in "[({<" for gap in ("", " ")), "arroba", "chiocciola")
 DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s?[\[({<]\s?(?:dot|DOT|Dot|punkt|point|punto|ponto)\s?[\])}>]\s?)(?=[A-Za-z0-9])")
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s(?:dot|DOT)\s(?=[A-Za-z]{2,}\b)")
-SPELLED = re.compile(r"(?<!\w)(?:(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:(?:-| |, )(?=\w)|(?!\w))){7,15}")
+_ONE = r"(?:" + "|".join(sorted(SPACED_DIGITS, key=len, reverse=True)) + r")(?!\w)"
+#: Digits as words, perhaps with figures among them, parted by a blank, comma or dash; in scripts without blanks, side by side.
+SPELLED = re.compile(r"(?<!\w)(?:plus[ -])?(?:" + _ONE + r"|\d{1,4}(?!\w))(?:(?:-| |, ?)(?:" + _ONE + r"|\d{1,4}(?!\w)))+", re.I)
+SPELLED_UNSPACED = re.compile("(?:" + "|".join(sorted(UNSPACED_DIGITS, key=len, reverse=True)) + "){6,}")
+UNSPACED_FIRST = re.compile("[" + "".join({w[0] for w in UNSPACED_DIGITS}) + "]")
+SPELLED_WORD = re.compile("|".join([r"\d", *sorted(DIGITS, key=len, reverse=True)]), re.I)
+#: Digit words from which on a number counts as spelled, and the digits of a telephone number.
+SPELLED_LEAST, PHONE_DIGITS = 4, range(7, 16)
+FIGURE = re.compile("[0-9]")
 
 #: Ends of file names that look like a domain's.
 FILES = ("png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "html", "xhtml", "css", "js", "ncx", "opf", "xml", "txt", "epub")
@@ -57,7 +90,12 @@ EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 #: Shapes of record numbers; a label before them decides.
 SHAPE = r"(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|[A-Z]\d[A-Z0-9]\d{5,7}|[A-Z]{1,2}\d{6,10}|\d{17}[\dXx]|\d{3}-\d{3}-\d{3} \d\d|\d{3}\.\d{3}\.\d{3}-\d\d|\d\d\.?\d{3}\.?\d{3}-[A-Z]|\d{8}[A-Z]|\d \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{3}[- ]\d\d[- ]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{4})?|\d\d \d{3} \d{3} \d{3}|\d\d \d\d \d{6}|\d{4} \d{6}|\d{6,8}-\d{4}|\d{9,13}|[A-Z0-9]{2,}\d[A-Z0-9 -]{4,16}\d)(?![\dA-Za-z])"
 LABEL = r"(?:[Pp]assport|[Cc]ard(?: holder)?|[Tt]ax|NI|[Ii]nsurance|[Ss]ecurity|[Ii]dentity|ID|DNI|NIE|CPF|RG|[Cc]odice fiscale|[Cc]arta d’identità|PESEL|NIP|[Dd]owód|[Aa]usweis\w*|[Ss]teuer\w*|[Pp]ass\w*nummer|[Vv]ersicherung\w*|sécurité sociale|[Pp]asseport|[Cc]arte|паспорт\w*|ИНН|СНИЛС|полис\w*|удостоверени\w*|[Pp]ersonnummer|身份证|护照|社保|個人番号|旅券|保険証|マイナンバー|पहचान|आधार|الهوية|جواز|ประจำตัว|บัตร|พาสปอร์ต)"
-ID = re.compile(LABEL + r"(?:[^\d\n@.!?]|(?<=[Nn]o)\.|(?<=[Nn]r)\.){0,28}?(?<![A-Za-z\d])(" + SHAPE + ")")
+#: The most signs between a label and its number; a parameter.
+LABEL_REACH = 28
+#: Each match of LABEL begins with one of these.
+LABEL_KEYS = """Passport passport Card card Tax tax NI Insurance insurance Security security Identity identity ID DNI NIE CPF RG Codice codice Carta carta PESEL NIP Dowód dowód Ausweis ausweis Steuer steuer
+    Pass pass Versicherung versicherung sécurité Passeport passeport Carte carte паспорт ИНН СНИЛС полис удостоверени Personnummer personnummer 身份证 护照 社保 個人番号 旅券 保険証 マイナンバー पहचान आधार الهوية جواز ประจำตัว บัตร พาสปอร์ต""".split()
+ID = re.compile(LABEL + r"(?:[^\d\n@.!?]|(?<=[Nn]o)\.|(?<=[Nn]r)\.){0,%d}?(?<![A-Za-z\d])(" % LABEL_REACH + SHAPE + ")")
 SURE_ID = re.compile(r"(?<![A-Za-z\d./-])([A-Z]{2} \d\d \d\d \d\d [A-Z]|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]|\d{3}\.\d{3}\.\d{3}-\d\d|\d{17}[\dX])(?![A-Za-z\d])")
 EXT = r"(?:,? ?(?:ext\.?|extension|x|доб\.?|Durchwahl|DW|poste|interno|int\.|ramal|wew\.?|ankn\.?|内线|内線|转|분기) ?\d{1,5})?"
 PHONES = [
@@ -92,7 +130,18 @@ ADDRESSES = [
     r"\d+(?:/\d+)?(?:ถนน|ซอย)[ก-๛]{2,60}? ?\d{5}",
     r"(?:\d+،? )?شارع [\p{Arabic} ]{2,30}?(?:،|,)? ?\d+(?:، ?[\p{Arabic} ]{2,30}?(?: \d{5,6})?)?(?=[.،\s]|$)|منزل \d+، [^.\n]{2,50}? \d{5,6}",
 ]
-ADDRESS = regex.compile("|".join(f"(?:{p})" for p in ADDRESSES))
+#: For each pattern signs of which its matches hold one.
+ADDRESS_KEYS = [
+    ("Street", "St.", "Lane", "Rd", "Road", "Row", "Ct", "Court", "Ave", "Way", "Place", "Square", "Terrace", "Drive", "Close", "Crescent", "Quay", "Hill"),
+    ("str.", "straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "markt", "steig"),
+    ("rue", "av.", "avenue", "bd", "boulevard", "place", "quai", "chemin", "impasse", "allée", "cours", "ruelle"),
+    ("C/", "Calle", "Av", "Plaza", "Paseo", "Rua", "R.", "Travessa", "Largo", "Praça", "Via", "Piazza", "Corso", "Vicolo"),
+    ("gatan", "vägen", "gränd", "torget", "stigen", "backen"),
+    ("ul.", "al.", "pl.", "os."),
+    ("ул.", "пер.", "пр.", "просп.", "наб.", "пл.", "пр-т.", "ш."),
+    ("号",), ("〒",), ("मकान",), ("ถนน", "ซอย"), ("شارع", "منزل"),
+]
+ADDRESS = [regex.compile(p) for p in ADDRESSES]
 PARTICLE = r"(?:van der|van den|van|von der|von|zu|de la|de las|de los|de|del|della|di|da|dos|du|af|VAN DER|VAN DEN|VAN|VON|DE LA|DE|DEL|DI|DA|DU)"
 FAMILY = r"(?:" + PARTICLE + r" )?\p{Lu}[\p{L}’'-]*\p{L}"
 WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
@@ -103,7 +152,9 @@ CUE = regex.compile(
     r"(?<![\p{L}\d])(?:(?:Dr|Mrs?|Ms|Prof|Sig|Sra?|Dra|Rev|Capt)\.?|Mme|Mlle|M\.|Frau|Herrn?|señora?|señor|senhora?|signora?|pani|panu|pan|fru|herr|by|signed by|issued to|belongs to|receipt for|reach|Name:|contact:|par|relu par|Traduit par|Satz:|Lektorat:|Traducción de|corrección de|спросить|Перевод:|вёрстка:|читает|на имя)\s"
     r"(\p{Lu}[\p{L}’'-]*\p{L}(?: (?:" + PARTICLE + r" )?\p{Lu}[\p{L}’'-]*\p{L}){1,2}|(?:\p{Lu}\. ?){1,2}" + FAMILY + ")"
 )
-LOWER_CUE = regex.compile(r"(?:\b(?:by|to|for|de|par|von|of|mit|an|à|a|till|pani|Frau|señora|Mme|Dr\.|Mrs\.?|Name|Satz|Lektorat|contact|reads|spytać|reach|and|und|y|et|I,)|[:\n]|[.!?][\"”»“]?\s|^) ?$")
+#: Each match of CUE begins with one of these; of LOWER_CUED too, with the others.
+CUE_KEYS = """Dr Mr Ms Prof Sig Sr Dra Rev Capt Mme Mlle M. Frau Herr señor senhor signor pan fru herr by signed issued belongs receipt reach Name: contact: par relu Traduit Satz: Lektorat: Traducción corrección спросить Перевод: вёрстка: читает на""".split()
+LOWER_KEYS = CUE_KEYS + "translated typeset proofread written lent borrowed Translated Signed traduit signé Relu I, Ich, Moi, Yo, Eu, Io,".split()
 OTHERS = [
     regex.compile(r"收件人[:： ]?(\p{Han}{2,4})(?=[。，,.\s]|$)"),
     regex.compile(r"の([\p{Han}ノヶ々ケ]{2,4}[\p{Han}\p{Hiragana}ノヶ々]{0,5})(?:様|さん|氏)"),
@@ -119,6 +170,13 @@ OTHERS = [
 ]
 
 
+#: For each pattern signs of which its matches hold one.
+OTHERS_KEYS = [
+    ("收件人",), ("様", "さん", "氏"), (" का नाम",), ("باسم ",), ("คุณ",), ("寄件人", "姓名", "联系人", "署名", "借阅人", "氏名", "名前", "宛名", "お名前", "借主"),
+    ("先生", "女士", "小姐", "様", "さん", "氏", "殿"), ("श्री", "सुश्री", "कुमारी", "डॉ"), ("السيد", "الأستاذ", "الدكتور", "الآنسة", "الاسم:"), ("นาย", "นาง", "ดร."),
+    ("ий", "ая", "ой", "ый", "ов", "ев", "ёв", "ин", "ын", "ко", "их", "ых", "дзе", "ян", "юк"),
+]
+
 #: Particles between given and family names.
 PARTICLES = frozenset("van der den de la las los von del della di da dos du af zu".split())
 #: Words that are no part of a name, however they are written.
@@ -133,13 +191,18 @@ NO_NAME = frozenset(
     och en ett den det de i på av till med för från är var inte som han hon vi hur vem vad där
     и в на с к по за от до не что как это он она они мы вы я у о из под над кто где""".split()
 )
-RUN_GAP = regex.compile(r" |(?<=\p{Lu})\. ")
+#: Words with capitals in a row, with particles between them; the runs are cut up in placed().
+RUN = regex.compile(
+    r"(?<![\p{L}\p{M}’'-])\p{Lu}[\p{L}\p{M}’'-]*(?:(?: |(?<=\p{Lu})\. )(?:\p{Lu}[\p{L}\p{M}’'-]*|(?:van|der|den|de|la|las|los|von|del|della|di|da|dos|du|af|zu)(?![\p{L}\p{M}’'-])))+"
+)
 #: The place of a name: a word for oneself before it, a colon or a preposition of giving, another finding close behind.
 SELF = regex.compile(r"(?:^|[\n.!?”\"»“] ?)(?:I|Ich|Moi|Je|Yo|Eu|Io|Ja|Jag|Я), $")
 COLON = regex.compile(r":[ \n]$")
 GIVEN_TO = regex.compile(r"(?<!\p{L})(?:to|for|by|reach|an|für|von|à|pour|par|a|para|por|per|da|till|för|av|dla|przez|для)\s$")
 TITLE = regex.compile(r"(?<!\p{L})(?:(?:Dr|Mrs?|Ms|Prof|Sig)\.|Mme|Mlle|Frau|Herrn?|señora?|senhora?|signora?|pani|pana?|fru|herr|belongs to|reach|contact)\s$")
 NEAR = regex.compile(r"[^.!?\n\x00]{0,12}[,;:(]?[ \n]?\x00")
+#: Words before which a given name names a ship or house.
+SHIP = regex.compile(r"(?i)(?:ferry|ship|inn|house|schooner|brig|boat|village|port) $")
 AND = regex.compile(r" (?:and|und|et|y|e|i|och|и) ")
 OPENING = regex.compile(r"(?:^|[.!?…][\"”»“]?\s+|\n)$")
 BEHIND = regex.compile(r"[ \t]*(?:\r?\n|$)")
@@ -178,21 +241,39 @@ class Tape:
             self.text = "".join(out) + self.text[at:]
             self.start, self.end = starts + self.start[at:], ends + self.end[at:]
 
+    def replace(self, spans: list[tuple[int, int]], new) -> list[tuple[int, int]]:
+        """Replace spans that don't overlap, and tell where they are afterwards."""
+        if not spans:
+            return []
+        if self.start is None:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
+        out, starts, ends, at, size, places = [], [], [], 0, 0, []
+        for a, b in sorted(spans):
+            to = new(self.text[a:b])
+            out += [self.text[at:a], to]
+            size += a - at
+            places.append((size, size + len(to)))
+            size += len(to)
+            # A part of a replaced number stands for the whole of it.
+            starts += self.start[at:a] + [self.start[a]] * len(to)
+            ends += self.end[at:a] + [self.end[b - 1]] * len(to)
+            at = b
+        self.text = "".join(out) + self.text[at:]
+        self.start, self.end = starts + self.start[at:], ends + self.end[at:]
+        return places
+
     def source(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
 def tape(text: str) -> Tape:
-    if text.isascii() or not FORMS.search(text):
-        t = Tape(text)
-    else:
-        t = Tape(text.translate(PLAIN))  # one for one
+    t = Tape(text if text.isascii() else FORMS.sub(lambda m: PLAIN[ord(m.group())], text))  # one for one
     if NO_WIDTH.search(t.text):
         t.rewrite(NO_WIDTH, "")
-    if not t.text.isascii() and MIXED.search(t.text):
+    if not t.text.isascii() and OTHER_LETTERS.search(t.text) and MIXED_GATE.search(t.text):
         t.text = MIXED.sub(lambda m: m.group().translate(LATIN_OF), t.text)  # one for one
     low = t.text.lower()
-    if "@" in low or "at" in low or "arroba" in low:
+    if "@" in low or " at " in low and "dot" in low or any(k in low for k in AT_KEYS):
         t.rewrite(AT, "@")
     if "dot" in low or "@" in t.text:
         t.rewrite(DOT, ".")
@@ -201,57 +282,113 @@ def tape(text: str) -> Tape:
     return t
 
 
+def spelled(s: str) -> list[tuple[int, int]]:
+    """Spans of numbers that are spelled as words, at least half of their digits."""
+    out = []
+    if len(list(filter(SPACED_DIGITS.__contains__, s.casefold().replace("-", " ").replace(",", " ").split()))) >= SPELLED_LEAST:
+        for m in SPELLED.finditer(s):
+            words = SPELLED_WORD.findall(m.group())
+            if SPELLED_LEAST <= sum(not w.isdigit() for w in words) >= len(words) / 2:
+                out.append(m.span())
+    if not s.isascii() and UNSPACED_FIRST.search(s):
+        out += [m.span() for m in SPELLED_UNSPACED.finditer(s)]
+    return out
+
+
+def in_figures(text: str) -> str:
+    return "+" * text.casefold().startswith("plus") + "".join(w if w.isdigit() and w.isascii() else DIGITS[w.casefold()] for w in SPELLED_WORD.findall(text))
+
+
+@cache
+def scanner() -> ahocorasick.Automaton:
+    """Finds all words that patterns can't be without in one pass; each tells its length and the patterns it belongs to."""
+    owners: dict[str, set] = {}
+    for name, keys in (("id", LABEL_KEYS), ("cue", CUE_KEYS), ("lower", LOWER_KEYS), *((("address", i), k) for i, k in enumerate(ADDRESS_KEYS)), *((("other", i), k) for i, k in enumerate(OTHERS_KEYS))):
+        for k in keys:
+            owners.setdefault(k, set()).add(name)
+    found = ahocorasick.Automaton()
+    for k, names in owners.items():
+        found.add_word(k, (len(k) - 1, tuple(names)))
+    found.make_automaton()
+    return found
+
+
+def scan(s: str) -> dict:
+    """Where the words of each pattern stand."""
+    places: dict = {}
+    for end, (size, names) in scanner().iter(s):
+        for name in names:
+            places.setdefault(name, []).append(end - size)
+    return places
+
+
+def at_keys(s: str, places: list[int], pattern) -> Iterator[re.Match]:
+    """The matches of a pattern at some places, from left to right, none inside another."""
+    stop = 0
+    for i in sorted(set(places)):
+        if i >= stop and (m := pattern.match(s, i)):
+            stop = m.end()
+            yield m
+
+
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, each that begins in an earlier one left out."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda x: x[0]):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """Kind, start and end of each finding, in order."""
     if not text:
         return []
     t = tape(text)
+    numbers = t.replace(spelled(t.text), in_figures)
     s, out = t.text, []
 
-    def take(kind: str, a: int, b: int) -> None:
+    def take(kind: str, spans: list[tuple[int, int]]) -> None:
         nonlocal s
-        out.append((kind, *t.source(a, b)))
-        s = s[:a] + "\x00" * (b - a) + s[b:]
-
+        if spans:
+            parts, at = [], 0
+            for a, b in spans:
+                out.append((kind, *t.source(a, b)))
+                parts += [s[at:a], "\x00" * (b - a)]
+                at = b
+            s = "".join(parts) + s[at:]
+
+    keys = scan(s)
     if "@" in s:
-        for m in list(EMAIL.finditer(s)):
-            if m.group().rpartition(".")[2].lower() not in FILES:
-                take("email", *m.span())
-    for m in list(ID.finditer(s)):
-        take("id", *m.span(1))
-    for m in list(SURE_ID.finditer(s)):
-        take("id", *m.span(1))
-    for m in list(ADDRESS.finditer(s)):
-        take("address", *m.span())
-    low = s.lower()
-    for m in list(SPELLED.finditer(low)) if len(low) == len(s) else ():
-        a, b = m.span()
-        b = a + len(m.group().rstrip(" ,.-"))
-        digits = "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", s[a:b]))
-        if 7 <= len(digits) <= 15:
-            take("phone", a, b)
-    for m in list(PHONE.finditer(s)):
-        if 7 <= sum(map(str.isdigit, m.group())) <= 18 and not NOT_PHONE.search(s[max(0, m.start() - 24) : m.start()]):
-            take("phone", *m.span())
-    for m in names(s):
-        take("name", *m)
+        take("email", [m.span() for m in EMAIL.finditer(s) if m.group().rpartition(".")[2].lower() not in FILES])
+    if FIGURE.search(s):
+        take("id", [m.span(1) for m in at_keys(s, keys.get("id", ()), ID)])
+        take("id", [m.span(1) for m in SURE_ID.finditer(s)])
+        take("address", apart([m.span() for i, p in enumerate(ADDRESS) if ("address", i) in keys for m in p.finditer(s)]))
+        phones = [m.span() for m in PHONE.finditer(s) if 7 <= sum(map(str.isdigit, m.group())) <= 18 and not NOT_PHONE.search(s[max(0, m.start() - 24) : m.start()])]
+        # What is left of spelled numbers has no notation of its own.
+        phones += [(a, b) for a, b in numbers if b - a in PHONE_DIGITS and "\x00" not in s[a:b] and not any(x < b and a < y for x, y in phones)]
+        take("phone", apart(phones))
+    take("name", sorted(names(s, keys)))
     return sorted(out, key=lambda x: x[1])
 
 
 def trimmed(s: str, a: int, b: int) -> tuple[int, int]:
     for tail in ("’s", "'s", "’", "'"):
-        if s[a:b].endswith(tail):
+        if s.endswith(tail, a, b):
             return a, b - len(tail)
     return a, b
 
 
-def names(s: str) -> list[tuple[int, int]]:
+def names(s: str, keys: dict) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
+    taken = bytearray(len(s))
 
     def add(a: int, b: int) -> None:
         a, b = trimmed(s, a, b)
-        if all(b <= x or a >= y for x, y in found):
+        if a < b and taken.find(1, a, b) < 0:
             found.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
 
     for m in TURNED.finditer(s):
         given = m.group(1).split(" ")[0].casefold()
@@ -260,62 +397,61 @@ def names(s: str) -> list[tuple[int, int]]:
             add(*m.span())
     for m in INITIALS.finditer(s):
         add(*m.span())
-    for m in CUE.finditer(s):
+    for m in at_keys(s, keys.get("cue", ()), CUE):
         words = m.group(1).split(" ")
         if words[-1].casefold() not in PLACES and words[-1].strip(".").casefold() not in PLACES:
             add(*m.span(1))
-    words = list(WORD.finditer(s))
-    for m in placed(s, words, found):
+    for m in placed(s, keys, found):
         add(*m)
-    for k, w in enumerate(words[:-1]):
-        if w.group().casefold() not in GIVEN:
-            continue
-        a, j = w.start(), k + 1
-        capital = w.group()[0].isupper()
-        if not capital and not LOWER_CUE.search(s[max(0, a - 12) : a] if a else ""):
-            continue
-        while j < len(words) and s[words[j - 1].end() : words[j].start()] == " " and words[j].group().casefold() in GIVEN and j - k < 3:
-            j += 1
-        first, particle = j, False
-        while j < len(words) and s[words[j - 1].end() : words[j].start()] == " " and words[j].group().casefold() in PARTICLES:
-            j, particle = j + 1, True
-        if j >= len(words) or s[words[j - 1].end() : words[j].start()] != " ":
-            continue
-        family = words[j].group()
-        if len(family) < 3 or family.casefold() in PLACES or capital and not family[0].isupper():
-            continue
-        if k and words[k - 1].group().casefold() in ("ferry", "ship", "inn", "house", "schooner", "brig", "boat", "village", "port"):
-            continue
-        add(a, words[j].end())
-    for p in OTHERS:
-        for m in p.finditer(s):
-            add(*m.span(1))
+    for i, p in enumerate(OTHERS):
+        if ("other", i) in keys:
+            for m in p.finditer(s):
+                add(*m.span(1))
     return found
 
 
-def placed(s: str, words: list[re.Match], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def runs(s: str) -> list[list[tuple[int, int]]]:
+    """Places of the words of each run of capitalised words with particles between them, that begins and ends with a
+    capital; words that are no part of a name part the runs."""
+    out = []
+    for m in RUN.finditer(s):
+        own: list[tuple[int, int]] = []
+        for w in WORD.finditer(s, *m.span()):
+            if w.group()[0].isupper() and w.group().casefold() not in NO_NAME or own and w.group() in PARTICLES:
+                own.append(w.span())
+                continue
+            out.append(own)
+            own = []
+        out.append(own)
+    for own in out:
+        while own and s[own[-1][0]].islower():
+            own.pop()
+    return [own for own in out if own]
+
+
+def ends_line(s: str, a: int) -> str:
+    """The last sign before a place that is no blank."""
+    while a and s[a - 1].isspace():
+        a -= 1
+    return s[a - 1 : a]
+
+
+def placed(s: str, keys: dict, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Names by their form and place: runs of two to four capitalised words are scored by what stands around them; words in
     lower case only count where a title or preposition stands before them and another finding behind."""
-    small = Counter(w.group() for w in words if w.group().islower())
-    n, runs, k = len(words), [], 0
-    while k < n:
-        j, text = k, words[k].group()
-        if text[0].isupper() and text.casefold() not in NO_NAME:
-            last = k
-            while j + 1 < n and RUN_GAP.fullmatch(s, words[j].end(), words[j + 1].start()) and ((w := words[j + 1].group())[0].isupper() and w.casefold() not in NO_NAME or w in PARTICLES):
-                j += 1
-                if words[j].group()[0].isupper():
-                    last = j
-            runs.append((k, last))
-            j = last
-        k = j + 1
-    two = [(i, j) for i, j in runs if 1 <= j - i <= 4]
-    starts, ends = {words[i].start() for i, _ in two} | {a for a, _ in found}, {words[j].end() for _, j in two} | {b for _, b in found}
+
+    @cache
+    def small() -> Counter:
+        """How often each word in lower case stands in the text."""
+        return Counter(w for w in WORD.findall(s) if w.islower())
+
+    two = [own for own in runs(s) if 2 <= len(own) <= 5]
+    starts, ends = {own[0][0] for own in two} | {a for a, _ in found}, {own[-1][1] for own in two} | {b for _, b in found}
     families = {s[a:b].rpartition(" ")[2] for a, b in found}
     out = []
-    for i, j in two:
-        a, b = words[i].start(), words[j].end()
-        own = [w.group() for w in words[i : j + 1]]
+    for places in two:
+        a, b = places[0][0], places[-1][1]
+        own = [s[x:y] for x, y in places]
         family = own[-1].removesuffix("’s").removesuffix("'s")
         if family.casefold() in PLACES or len(family) < 3 or any(w.isupper() and len(w) > 1 for w in own):
             continue
@@ -323,19 +459,24 @@ def placed(s: str, words: list[re.Match], found: list[tuple[int, int]]) -> list[
         line, behind = a == 0 or s[a - 1] == "\n", BEHIND.match(s, b)
         score += 2.0 * bool(NEAR.match(s, b)) + 2.0 * bool(SELF.search(before)) + bool(COLON.search(before)) + bool(GIVEN_TO.search(before)) + 3.0 * bool(TITLE.search(before))
         if line and behind:
-            score += 1.5 + 0.5 * (s[:a].rstrip()[-1:].isalpha() or s[:a].rstrip()[-1:] == ",")
+            above = ends_line(s, a)
+            score += 1.5 + 0.5 * (above.isalpha() or above == ",")
         follow, ahead = AND.match(s, b), next((m for m in AND.finditer(s, max(0, a - 6), a) if m.end() == a), None)
         if follow and follow.end() in starts or ahead and ahead.start() in ends:
             score += 1.5 + 0.5 * bool(OPENING.search(before) or ahead)
-        score += 1.5 * (own[0].casefold() in GIVEN) + any(w in PARTICLES for w in own) + (family in families)
-        score -= sum(1.5 for w in own if small[w.casefold()] and w not in PARTICLES)
-        if score >= 3.0:
+        given = own[0].casefold() in GIVEN
+        score += 1.5 * given + any(w in PARTICLES for w in own) + (family in families)
+        if given and not SHIP.search(before):
+            score += 2.0
+        if score >= 3.0 and score - sum(1.5 for w in own if w not in PARTICLES and small()[w.casefold()]) >= 3.0:
             out.append((a, b))
-    for pattern in (LOWER_CUED, LOWER_PLACE):
-        for m in pattern.finditer(s):
-            own = [w for w in m.group(1).split(" ") if w not in PARTICLES]
-            if len(own) > 1 and all(len(w) > 2 and small[w] <= s.count(m.group(1)) and w not in NO_NAME for w in own) and own[-1] not in PLACES and (pattern is LOWER_CUED or NEAR.match(s, m.end(1))):
-                out.append(m.span(1))
+    whole = cache(s.count)
+    for m in chain(at_keys(s, keys.get("lower", ()), LOWER_CUED), LOWER_PLACE.finditer(s) if "\x00" in s else ()):
+        if m.re is LOWER_PLACE and not NEAR.match(s, m.end(1)):
+            continue
+        own = [w for w in m.group(1).split(" ") if w not in PARTICLES]
+        if len(own) > 1 and all(len(w) > 2 and w not in NO_NAME for w in own) and own[-1] not in PLACES and all(small()[w] <= whole(m.group(1)) for w in own):
+            out.append(m.span(1))
     return out
 
 
