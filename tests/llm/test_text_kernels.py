@@ -115,14 +115,10 @@ def test_lookalike_table_is_consistent():
 
 
 def test_reader_undoes_confusions():
-    import numpy as np
-
-    table = np.zeros(ocr.SLOTS, np.uint8)
-    for w, n in {"behind": 500, "the": 5000, "almanac": 200, "lamp-lit": 50, "lamp-": 50, "lamp": 80, "lit": 60, "procession": 90}.items():
-        table[ocr.slot(w)] = min(255, round(10 * np.log2(n + 1)))
-    r = ocr.Reader(table)
+    rates = {"behind": 500, "the": 5000, "almanac": 200, "lamp-lit": 50, "lamp-": 50, "lamp": 80, "lit": 60, "procession": 90}
+    r = ocr.Reader(ocr.Lexicon.of(rates))
     assert r.read("bchind")[0] == "behind" and r.read("a1manac")[0] == "almanac" and r.read("behind")[0] is None
-    assert not r.cut("lamp", "lit") and r.cut("proces", "sion")
+    assert r.cut("lamp", "lit") < 0 <= r.cut("proces", "sion")
 
 
 def test_names_without_a_list_are_found_by_their_place():

@@ -120,19 +120,14 @@ def test_a_page_is_judged_alike_in_a_corpus_of_any_size(spark):
     once = spark.createDataFrame(rows, "run_uid long, book_id long, page_index int, run_index int, text string, transform_matrix array<double>, font_size double, has_eol boolean")
     often = once.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).withColumn("run_uid", F.col("run_uid") + 1000 * F.col("copy")).withColumn("book_id", 1 + F.col("copy")).drop("copy")
     sizes = spark.createDataFrame([(1, 792.0)], "book_id long, height double")
-    assert (ocr.lexicon(once) == ocr.lexicon(often)).all()
+    assert ocr.lexicon(once) == ocr.lexicon(often)
     found = [{(r.run_uid % 1000, r.noise) for r in ocr.noise(df, sizes).collect()} for df in (once, often)]
     assert found[0] == found[1] == {(80, "misread"), (80, "broken_word"), (81, "misread"), (82, "misread"), (82, "broken_word")}
 
 
-def test_lines_of_scripts_without_blanks_break_no_word(spark):
-    import numpy as np
-
-    table = np.zeros(ocr.SLOTS, np.uint8)
-    for w, n in {"readers": 60, "天花板下": 60, "reade": 1, "天花": 1}.items():
-        table[ocr.slot(w)] = round(10 * np.log2(n + 1))
-    r = ocr.Reader(table)
-    assert r.join("reade", "rs") and not r.join("天花", "板下")
+def test_lines_of_scripts_without_blanks_break_no_word():
+    r = ocr.Reader(ocr.Lexicon.of({"readers": 60, "天花板下": 60, "reade": 1, "天花": 1}))
+    assert r.join("reade", "rs") > 0 > r.join("天花", "板下")
 
 
 def test_runs_without_a_page_and_long_paragraphs(spark):
