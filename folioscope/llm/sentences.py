@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ from pyspark.sql import DataFrame
 from .common import map_rows, spread
 
 REACH = 24
+#: A blank line ends a sentence inside a quotation of so many characters or more; how far ahead speech that a dash opens is first looked for its
+#: end (then to the paragraph's end); how much text before a full stop is read for the word it closes. Parameters.
+LONG_QUOTE, NEAR_SPEECH, WORD_BACK = 600, 400, 40
 #: Abbreviations after which the sentence goes on, mostly titles and labels of a number or name.
 OPEN_ENDED = frozenset(
     """dr dra drs mr mrs ms st ste sr sra srta prof hr hrn fr frl m mm mme mlle me mgr sig sigg dott dott.ssa avv ing don
@@ -40,6 +45,8 @@ MONTH = re.compile("(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez)[a-zä]*
 CLOSERS = "\"'”’»›)]}」』）】〉》“‘«"
 MARK = re.compile(r"(?:[.!?…؟۔।॥]+|[。！？．｡]+)[\"”’»›)\]}」』）】〉》“«]*(?:(?<=[.!?…])\s?[»”](?=\s|[.,]|$))?[.]?")
 BLANK = re.compile(r"\s+")
+#: Blanks that hold more than spaces.
+BROKEN = re.compile(r"(?<!\s) *[^\S ]\s*")
 DASHES = "–—―‒-"
 #: Quotation marks: what closes what.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "”": "”", '"': '"', "(": ")", "（": "）", "[": "]", "《": "》", "‹": "›"}
@@ -70,7 +77,7 @@ def quotations(text: str) -> list[tuple[int, int, str]]:
         before = text[i - 1] if i else " "
         after = text[i + 1] if i + 1 < n else " "
         hit = next((k for k in range(len(stack) - 1, -1, -1) if ch in PAIRS.get(stack[k][0], "")), -1)
-        if hit >= 0 and not (ch in "”\"" and before.isspace() and not after.isspace() and stack[hit][0] != ch and False):
+        if hit >= 0:
             sign, start = stack[hit]
             del stack[hit:]
             found.append((start, i + 1, sign))
@@ -85,7 +92,7 @@ def quotations(text: str) -> list[tuple[int, int, str]]:
         # The near ones first: a dash further on in the paragraph may open other speech.
         blank = GAP.search(text, m.end())
         stop = blank.start() if blank else n
-        near = min(stop, m.start() + 400)
+        near = min(stop, m.start() + NEAR_SPEECH)
         end = SHUT.search(text, m.end(), near) or REPORT.search(text, m.end(), near) or SHUT.search(text, m.end(), stop) or REPORT.search(text, m.end(), stop)
         if end:
             found.append((m.start(), end.start() + 1, "—"))
@@ -122,7 +129,8 @@ def candidates(text: str) -> list[tuple[int, float]]:
         if marks[0] == "．" and (nxt.isdigit() or not CJK.match(nxt)):
             continue
         out[end] = score
-    for m in BLANK.finditer(text):
+    thai = THAI.search(text) is not None
+    for m in (BLANK if thai else BROKEN).finditer(text):
         a, b = m.span()
         if a == 0 or b == n or a in out:
             if a in out and "\n\n" in m.group():
@@ -131,7 +139,7 @@ def candidates(text: str) -> list[tuple[int, float]]:
         blank = m.group()
         if blank.count("\n") > 1 or "\u2029" in blank:
             out[a] = 4.0
-        elif THAI.match(text[a - 1]) or THAI.match(first_sign(text, b) or " "):
+        elif thai and (THAI.match(text[a - 1]) or THAI.match(first_sign(text, b) or " ")):
             sign = first_sign(text, b)
             if THAI.match(text[a - 1]) and sign and not THAI.match(sign) and (sign.isupper() or caseless(sign)):
                 out[a] = 2.0  # another script goes on
@@ -143,7 +151,7 @@ def candidates(text: str) -> list[tuple[int, float]]:
 
 def closing(text: str, end: int, nxt: str) -> float:
     """What the word before a full stop says against an end here."""
-    body = text[max(0, end - 40) : end].rstrip(CLOSERS + " ")
+    body = text[max(0, end - WORD_BACK) : end].rstrip(CLOSERS + " ")
     if not body.endswith(".") or body.endswith(".."):
         return 0.0
     word = re.split(r"[\s(\[«“„\"—–/  ’']+", body[:-1])[-1].casefold()
@@ -191,6 +199,11 @@ def opening(text: str, at: int) -> float:
     return 0.5 if nxt else -6.0
 
 
+SOLID = re.compile(r"[^\W_]")
+SPEECH_SHUT = re.compile(r"[,!?…]?\s[–—―]\s?[^\W\d_]")
+SPEECH_TOLD = re.compile(r",\s+[^\W\d_A-ZÅÄÖ]\w+[^,]*$")
+
+
 def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]]:
     """Start and end of each sentence."""
     if not text or not text.strip():
@@ -201,21 +214,30 @@ def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]
     cand = candidates(text)
     ends = [c[0] for c in cand]
     quotes = quotations(text)
+    # Quotations around each candidate, short and long ones, as running sums; and those that end at a place.
+    around, closed = [[0] * (len(ends) + 1) for _ in range(2)], {}
+    for a, b, sign in quotes:
+        lo, hi = bisect_right(ends, a), bisect_left(ends, b)
+        if lo < hi:
+            around[b - a >= LONG_QUOTE][lo] += 1
+            around[b - a >= LONG_QUOTE][hi] -= 1
+        closed.setdefault(b, []).append(sign)
+    short, long = (list(accumulate(x)) for x in around)
     # Local scores of ending at each candidate.
     local = []
-    for end, score in cand[:-1]:
+    for k, (end, score) in enumerate(cand[:-1]):
         nxt = first_sign(text, end)
-        s = score + closing(text, end, nxt) + opening(text, end)
-        blank = text[end : end + 4].startswith(("\n\n", "\r\n\r"))
-        for a, b, sign in quotes:
-            if a < end < b:
-                s -= 14.0 if b - a < 600 or not blank else 2.0
-            elif end == b or end == b + 1 and text[b] in ".。":
-                if sign in "(（[":
-                    if end == b and not MARK.match(text[b - 2 : b]) and text[b - 2] not in ".!?。！？…":
-                        s -= 6.0
-                elif text[end : end + 1] in ("と", "っ"):
-                    s -= 12.0
+        s = score + closing(text, end, nxt) + opening(text, end) - 14.0 * short[k]
+        if long[k]:
+            s -= long[k] * (2.0 if text[end : end + 4].startswith(("\n\n", "\r\n\r")) else 14.0)
+        for b in (end, end - 1):
+            if b in closed and (b == end or text[b] in ".。"):
+                for sign in closed[b]:
+                    if sign in "(（[":
+                        if end == b and not MARK.match(text[b - 2 : b]) and text[b - 2] not in ".!?。！？…":
+                            s -= 6.0
+                    elif text[end : end + 1] in ("と", "っ"):
+                        s -= 12.0
         local.append(s)
     local.append(0.0)
     n = len(ends)
@@ -223,16 +245,19 @@ def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]
     starts = [0, *ends]
     speech_at = {a: (b, sign) for a, b, sign in quotes}
 
+    firsts = []  # of each start, without blanks
+    for a in starts:
+        while a < len(text) and text[a].isspace():
+            a += 1
+        firsts.append(a)
+
     def span(i: int, j: int) -> float:
         """Joint score of the text between starts[i] and ends[j]."""
-        a, b = starts[i], ends[j]
-        while a < b and text[a].isspace():
-            a += 1
+        a, b = firsts[i], ends[j]
         if a >= b:
             return -20.0
-        body = text[a:b]
-        s = -0.12 * (math.log(len(body) / 70.0)) ** 2
-        if not any(c.isalnum() for c in body):
+        s = -0.12 * math.log((b - a) / 70.0) ** 2
+        if not text[a].isalnum() and not SOLID.search(text, a, b):
             s -= 8.0
         rest = text[b : b + 1]
         if a in speech_at and speech_at[a][1] not in "(（[":
@@ -240,22 +265,15 @@ def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]
             # Speech at the opening whose end is the span's end: words that report it may follow.
             if close == b and j < n - 1 and rest and not rest.isspace() and caseless(rest):
                 s -= 8.0
-        if body[0] in "–—―" and j < n - 1:
-            inner = body[1:]
-            shut = re.search(r"[,!?…]?\s[–—―]\s?[^\W\d_]", inner)
-            if not shut and not re.search(r",\s+[^\W\d_A-ZÅÄÖ]\w+[^,]*$", inner) and "\n" not in text[b : b + 2]:
+        if text[a] in "–—―" and j < n - 1:
+            inner = text[a + 1 : b]
+            if not SPEECH_SHUT.search(inner) and not SPEECH_TOLD.search(inner) and "\n" not in text[b : b + 2]:
                 s -= 7.0
-            elif shut and i < j and False:
-                s += 0.0
         return s
 
-    firsts, priors, top = [], np.zeros(n + 1), [0.0]
-    for a in starts if n > REACH + 1 else ():
-        while a < len(text) and text[a].isspace():
-            a += 1
-        firsts.append(a)
+    priors, top = np.zeros(n + 1), [0.0]
     bodies = np.array(firsts)
-    seen = np.cumsum([False, *map(str.isalnum, text)]) if firsts else None
+    seen = np.cumsum([False, *map(str.isalnum, text)]) if n > REACH + 1 else None
 
     def far(j: int) -> list[int]:
         """Starts more than REACH back that may give a better score. A span scores what its length, and signs alone, cost at best."""
