@@ -91,6 +91,24 @@ def estimated_width(s: Column, font_size: float = 1.0) -> Column:
     return (blanks * 0.32 + han * 1.0 + (size - blanks - han) * 0.54) * font_size
 
 
+def wrapped_lines(s: Column, width: float) -> Column:
+    """Lines a text takes when its words are put one after the other as long as they fit, by estimated widths at a type size of 1. A
+    word wider than a line begins a line of its own and runs over as many as it needs. Widths are kept to six decimals."""
+    words = F.filter(F.split(F.regexp_replace(s, SPACE + "+", " "), " "), lambda x: x != "")
+    w = F.lit(float(width))
+    sized = F.transform(words, lambda x: F.round(estimated_width(x).cast("double"), 6))
+
+    def step(acc, size):
+        joined = F.when(acc["filled"] == 0, size).otherwise(F.round(acc["filled"] + 0.32 + size, 6))
+        rest = F.round(size - w * F.floor(size / w), 6)
+        over = F.struct((acc["lines"] + F.when(acc["filled"] > 0, 1).otherwise(0) + F.ceil(size / w).cast("int") - 1).alias("lines"), F.when(rest == 0, w).otherwise(rest).alias("filled"))
+        fits = F.struct(acc["lines"].alias("lines"), joined.alias("filled"))
+        new = F.struct((acc["lines"] + 1).alias("lines"), size.alias("filled"))
+        return F.when(size > w, over).when(joined <= w, fits).otherwise(new)
+
+    return F.aggregate(sized, F.struct(F.lit(1).alias("lines"), F.lit(0.0).alias("filled")), step)["lines"]
+
+
 def path_of(href: Column) -> Column:
     """Path of a reference: trimmed, without fragment, with forward slashes, without dot segments."""
     plain = F.regexp_replace(F.regexp_replace(F.trim(href), "#.*$", ""), r"\\", "/")

@@ -40,8 +40,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+BLOCK_COLUMNS = ("block_uid", "book_id", "unit_index", "block_index", "block_id", "block_type", "text")
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks as delivered, some several times. What is worked out of them is brought down to one row for each block by once()."""
+    return table(spark, d, "unit_texts").select(*BLOCK_COLUMNS)
+
+
+def once(df: DataFrame, *key: str) -> DataFrame:
+    """Deliveries of one id hold the same, so any one stands for all: rows meet by id, never by text."""
+    return df.dropDuplicates(list(key) or ["block_uid"])
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "unit_texts").select("block_uid", "book_id", "unit_index", "block_index", "block_id", "block_type", "text").distinct()
+    return once(raw(spark, d))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +63,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid_segments(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.validated(segments(spark, d), blocks(spark, d))
+    return ranges.validated(segments(spark, d), raw(spark, d))
 
 
 def toc_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +92,7 @@ SELECT book_id, unit_index, block_index, start_offset, match_index, {SHOWN.forma
 
 
 def _slim(spark, d):
-    return blocks(spark, d).select("book_id", "unit_index", "block_index", "text")
+    return raw(spark, d).select("book_id", "unit_index", "block_index", "text")
 
 
 @query(_search_sql("en"))
@@ -89,7 +102,7 @@ def search_book(spark, d):
 
 @query(_search_sql("the", keep="NOT regexp_matches(substring(text, start_offset, 1), '[\\p{L}\\p{N}_]') AND NOT regexp_matches(substring(text, start_offset + 4, 1), '[\\p{L}\\p{N}_]') OR start_offset = 0 AND NOT regexp_matches(substring(text, 4, 1), '[\\p{L}\\p{N}_]')", tail=""))
 def search_whole_word(spark, d):
-    return search.with_excerpt(search.hits(_slim(spark, d), "the", whole_word=True), 3).drop("text")
+    return search.hits(_slim(spark, d), "the", whole_word=True)
 
 
 @query(_search_sql("Das", low="text"))
@@ -117,14 +130,14 @@ def search_units_grouped(spark, d):
 
 @query(f"WITH {BLOCKS_SQL} SELECT block_uid, book_id, 1 AS score FROM blocks WHERE contains(lower(text), 'broken compass')")
 def search_chunks_contains(spark, d):
-    return search.chunks_containing(blocks(spark, d).select("block_uid", "book_id", "text"), "  Broken Compass ").drop("text")
+    return once(search.chunks_containing(raw(spark, d).select("block_uid", "book_id", "text"), "  Broken Compass ").drop("text"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, t AS (SELECT b.*, s.title FROM blocks b LEFT JOIN sections s ON b.book_id = s.book_id AND b.unit_index = s.section_index WHERE contains(lower(text), 'compass'))
 SELECT block_uid, concat_ws(' · ', title, block_id) AS label, 'book://j/' || unit_index || '/' || url_encode(coalesce(block_id, '')) AS link FROM t""")
 def search_citations(spark, d):
     s = table(spark, d, "sections").select("book_id", F.col("section_index").alias("unit_index"), "title")
-    found = blocks(spark, d).filter(F.contains(F.lower("text"), F.lit("compass"))).join(s, ["book_id", "unit_index"], "left")
+    found = once(search.holding(raw(spark, d), "compass").drop("text")).join(s, ["book_id", "unit_index"], "left")
     label, link = search.citation(F.col("title"), F.col("block_id"), F.col("unit_index"))
     return found.select("block_uid", label.alias("label"), link.alias("link"))
 
@@ -139,34 +152,39 @@ _HTML = f"'<p class=\"b\">' || {_ESC.format('text')} || '</p><script>x < y</scri
 
 def _html(spark, d):
     body = F.concat(F.lit('<p class="b">'), T.escape_html(F.col("text")), F.lit("</p><script>x < y</script>"))
-    return blocks(spark, d).filter(F.col("text").isNotNull()).select("block_uid", body.alias("html"))
+    return raw(spark, d).filter(F.col("text").isNotNull()).select("block_uid", body.alias("html"))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT block_uid, {_ESC.format('text')} AS escaped FROM blocks WHERE text IS NOT NULL")
 def escape_html(spark, d):
-    return blocks(spark, d).filter(F.col("text").isNotNull()).select("block_uid", T.escape_html(F.col("text")).alias("escaped"))
+    return once(raw(spark, d).filter(F.col("text").isNotNull()).select("block_uid", T.escape_html(F.col("text")).alias("escaped")))
 
 
 @query(f"""WITH {BLOCKS_SQL}, h AS (SELECT block_uid, {_HTML} AS html FROM blocks WHERE text IS NOT NULL)
 SELECT block_uid, trim(regexp_replace({_UNESC.format("regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')")}, '{_SP}+', ' ', 'g')) AS readable FROM h""")
 def html_readable_text(spark, d):
-    return _html(spark, d).select("block_uid", T.readable_text(F.col("html")).alias("readable"))
+    return once(_html(spark, d).select("block_uid", T.readable_text(F.col("html")).alias("readable")))
 
 
 @query(f"""WITH {BLOCKS_SQL}, h AS (SELECT block_uid, {_HTML} AS html FROM blocks WHERE text IS NOT NULL)
 SELECT block_uid, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '{_SP}+', ' ', 'g')) AS stripped FROM h""")
 def html_strip_markup(spark, d):
-    return _html(spark, d).select("block_uid", T.strip_markup(F.col("html")).alias("stripped"))
+    return once(_html(spark, d).select("block_uid", T.strip_markup(F.col("html")).alias("stripped")))
 
 
-@query()
+_EXPORT = "regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>', '', 'g'), '(?i)<br\\s*/?>', chr(10), 'g')"
+_EXPORT = f"regexp_replace(regexp_replace({_EXPORT}, '(?i)</(?:p|div|h[1-6]|li|tr|section|article|blockquote)\\s*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"""WITH {BLOCKS_SQL}, h AS (SELECT block_uid, {_HTML} AS html FROM blocks WHERE text IS NOT NULL), u AS (SELECT block_uid, {_UNESC.format(_EXPORT)} AS t FROM h)
+SELECT block_uid, trim(regexp_replace(regexp_replace(regexp_replace(t, '&[A-Za-z]+;', ' ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS exported FROM u""")
 def html_export_text(spark, d):
-    return _html(spark, d).select("block_uid", T.export_text(F.col("html")).alias("exported"))
+    return once(_html(spark, d).select("block_uid", T.export_text(F.col("html")).alias("exported")))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT block_uid, trim(regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g')) AS readable, trim(regexp_replace(coalesce(text, ''), '[\\t\\n\\f\\r ]+', ' ', 'g')) AS plain FROM blocks")
 def normalize_text(spark, d):
-    return blocks(spark, d).select("block_uid", T.normalize_readable(F.col("text")).alias("readable"), T.normalize_whitespace(F.col("text")).alias("plain"))
+    return once(raw(spark, d).select("block_uid", T.normalize_readable(F.col("text")).alias("readable"), T.normalize_whitespace(F.col("text")).alias("plain")))
 
 
 _UNITS = """(length(t) - length(regexp_replace(t, '{sp}', '', 'g'))) * 0.25 + (length(t) - length(regexp_replace(t, '{cjk}', '', 'g'))) * 1.0 + (length(t) - length(regexp_replace(t, '[A-Za-z0-9]', '', 'g'))) * 0.55
@@ -175,22 +193,30 @@ _UNITS = """(length(t) - length(regexp_replace(t, '{sp}', '', 'g'))) * 0.25 + (l
 
 @query(f"WITH {BLOCKS_SQL}, x AS (SELECT block_uid, coalesce(text, '') AS t FROM blocks) SELECT block_uid, round(CAST({_UNITS} AS DOUBLE), 4) AS units FROM x")
 def text_units(spark, d):
-    return blocks(spark, d).select("block_uid", F.round(T.text_units(F.col("text")).cast("double"), 4).alias("units"))
+    return once(raw(spark, d).select("block_uid", F.round(T.text_units(F.col("text")).cast("double"), 4).alias("units")))
 
 
 @query(f"""WITH {BLOCKS_SQL}, x AS (SELECT block_uid, text AS t FROM blocks WHERE text IS NOT NULL),
 c AS (SELECT block_uid, length(t) AS n, length(t) - length(regexp_replace(t, '{_SP}', '', 'g')) AS sp, length(t) - length(regexp_replace(t, '[\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS han FROM x)
 SELECT block_uid, round(CAST(sp * 0.32 + han * 1.0 + (n - sp - han) * 0.54 AS DOUBLE), 4) AS width FROM c""")
 def estimated_width(spark, d):
-    return blocks(spark, d).filter(F.col("text").isNotNull()).select("block_uid", F.round(T.estimated_width(F.col("text")).cast("double"), 4).alias("width"))
+    return once(raw(spark, d).filter(F.col("text").isNotNull()).select("block_uid", F.round(T.estimated_width(F.col("text")).cast("double"), 4).alias("width")))
 
 
-@query()
-def wrapped_line_count(spark, d):
-    import pandas as pd
+_TOKENS = f"list_filter(string_split(regexp_replace(text, '{_SP}+', ' ', 'g'), ' '), lambda x: x <> '')"
+_WIDTH = "(length(w) - length(regexp_replace(w, '[\\x{4E00}-\\x{9FFF}]', '', 'g'))) * 1.0 + length(regexp_replace(w, '[\\x{4E00}-\\x{9FFF}]', '', 'g')) * 0.54"
+
 
-    lines = F.pandas_udf(lambda s: pd.Series([folds.wrapped_lines(t, 40.0) for t in s]), "int")
-    return blocks(spark, d).filter(F.col("text").isNotNull()).select("block_uid", lines("text").alias("lines"))
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, t AS (SELECT block_uid, {_TOKENS} AS words FROM blocks WHERE text IS NOT NULL),
+x AS (SELECT block_uid, i, round(CAST({_WIDTH} AS DOUBLE), 6) AS width FROM (SELECT block_uid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM t)),
+f AS (SELECT block_uid, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS lines, CAST(0.0 AS DOUBLE) AS filled FROM t
+ UNION ALL SELECT x.block_uid, x.i,
+  CASE WHEN width > 40 THEN f.lines + (CASE WHEN filled > 0 THEN 1 ELSE 0 END) + CAST(ceil(width / 40) AS BIGINT) - 1 WHEN (CASE WHEN filled = 0 THEN width ELSE round(filled + 0.32 + width, 6) END) <= 40 THEN f.lines ELSE f.lines + 1 END,
+  CASE WHEN width > 40 THEN (CASE WHEN round(width - 40 * floor(width / 40), 6) = 0 THEN 40 ELSE round(width - 40 * floor(width / 40), 6) END) WHEN (CASE WHEN filled = 0 THEN width ELSE round(filled + 0.32 + width, 6) END) <= 40 THEN (CASE WHEN filled = 0 THEN width ELSE round(filled + 0.32 + width, 6) END) ELSE width END
+ FROM f JOIN x ON x.block_uid = f.block_uid AND x.i = f.i + 1)
+SELECT block_uid, CAST(arg_max(lines, i) AS INTEGER) AS lines FROM f GROUP BY block_uid""")
+def wrapped_line_count(spark, d):
+    return once(raw(spark, d).filter(F.col("text").isNotNull()).select("block_uid", T.wrapped_lines(F.col("text"), 40.0).alias("lines")))
 
 
 @query("""SELECT book_id, lower(CASE WHEN trim(coalesce(lang, '')) = '' THEN 'und' ELSE split_part(replace(trim(lang), '_', '-'), '-', 1) END) AS language,
@@ -241,7 +267,7 @@ def first_n_sections(spark, d):
 @query(f"""WITH {BLOCKS_SQL}, t AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book_id, unit_index ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM blocks WHERE text IS NOT NULL)
 SELECT book_id, unit_index, block_index, length(text) > 800 - spent AS truncated, CASE WHEN length(text) > 800 - spent THEN rtrim(substring(text, 1, CAST(800 - spent AS BIGINT))) ELSE text END AS clipped FROM t WHERE spent < 800""")
 def budget_clip(spark, d):
-    return progress.clip(_slim(spark, d).filter("text is not null"), ["book_id", "unit_index"], ["block_index"], 800).select("book_id", "unit_index", "block_index", "truncated", "clipped")
+    return progress.clip(blocks(spark, d).filter("text is not null"), ["book_id", "unit_index"], ["block_index"], 800).select("book_id", "unit_index", "block_index", "truncated", "clipped")
 
 
 @query("""WITH w AS (SELECT *, CASE WHEN linear = 'no' THEN 0 ELSE greatest(coalesce(size_bytes, 0), 0) END AS weight FROM sections),
@@ -251,9 +277,14 @@ def density_sample(spark, d):
     return progress.density_sample(table(spark, d, "sections")).select("book_id", "section_index", "weight")
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, w AS (SELECT *, CASE WHEN linear = 'no' THEN 0 ELSE greatest(coalesce(size_bytes, 0), 0) END AS weight FROM sections),
+k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY section_index) - 1 AS taken, coalesce(sum(weight) OVER (PARTITION BY book_id ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before FROM w WHERE weight > 0),
+x AS (SELECT book_id, unit_index, coalesce(text, '') AS t FROM blocks), u AS (SELECT book_id, unit_index AS section_index, sum(CAST({_UNITS} AS DOUBLE)) AS units FROM x GROUP BY ALL),
+dens AS (SELECT k.book_id, sum(coalesce(units, 0)) / sum(weight) AS density FROM k LEFT JOIN u USING (book_id, section_index) WHERE taken < 4 AND bytes_before < 96000 GROUP BY ALL),
+tot AS (SELECT book_id, CAST(sum(weight) AS BIGINT) AS bytes FROM w GROUP BY ALL)
+SELECT book_id, bytes, round(density, 6) AS density, greatest(1, CAST(ceil(coalesce(density, 0.5) * bytes / 412.67) AS BIGINT)) AS pages FROM tot LEFT JOIN dens USING (book_id)""")
 def page_estimate(spark, d):
-    units = blocks(spark, d).groupBy("book_id", F.col("unit_index").alias("section_index")).agg(F.sum(T.text_units(F.col("text")).cast("double")).alias("units"))
+    units = once(raw(spark, d).select("block_uid", "book_id", F.col("unit_index").alias("section_index"), T.text_units(F.col("text")).cast("double").alias("units"))).groupBy("book_id", "section_index").agg(F.sum("units").alias("units"))
     return progress.page_estimate(table(spark, d, "sections"), units, 412.67).select("book_id", "bytes", F.round("density", 6).alias("density"), "pages")
 
 
@@ -343,7 +374,7 @@ def segment_validation(spark, d):
 SELECT segment_uid, result_id, greatest(v.start_offset, r_start) AS start_offset, least(v.end_offset, r_end) AS end_offset FROM valid v JOIN found USING (book_id, unit_index, block_index)
 WHERE v.start_offset < r_end AND r_start < v.end_offset""")
 def marks_overlap_ranges(spark, d):
-    b = blocks(spark, d).select("book_id", "unit_index", "block_index", "block_id")
+    b = raw(spark, d).select("book_id", "unit_index", "block_index", "block_id")
     found = table(spark, d, "search_results").select("result_id", "book_id", "unit_index", "block_id", F.col("start_offset").alias("r_start"), F.col("end_offset").alias("r_end")).join(b, ["book_id", "unit_index", "block_id"]).drop("block_id").distinct()
     marks = valid_segments(spark, d).select("segment_uid", *ranges.BLOCK, F.col("start_offset").alias("m_start"), F.col("end_offset").alias("m_end"))
     return ranges.overlaps(marks, found).select("segment_uid", "result_id", "start_offset", "end_offset")
@@ -384,7 +415,7 @@ r AS (SELECT *, {_REACHED.replace('ORDER BY start_offset, end_offset', 'ORDER BY
 SELECT book_id, count(*) AS segments, count(*) FILTER (size IS NULL) AS unknown_blocks, count(*) FILTER (start_offset >= end_offset) AS invalid, count(*) FILTER (start_offset < 0 OR end_offset > size) AS out_of_range,
  count(*) FILTER (start_offset < reached) AS overlaps, count(*) FILTER (start_offset > coalesce(reached, 0)) AS gaps, count(*) FILTER (end_offset - start_offset BETWEEN 1 AND 5) AS tiny FROM r GROUP BY book_id""")
 def segment_quality(spark, d):
-    return ranges.quality(segments(spark, d), blocks(spark, d))
+    return ranges.quality(segments(spark, d), raw(spark, d))
 
 
 @query(f"""WITH {VALID_SQL}, n AS (SELECT *, lead(segment_uid) OVER w AS next_uid, lead(start_offset) OVER w AS next_start, lead(speaker) OVER w AS next_speaker FROM valid WINDOW w AS (PARTITION BY book_id, unit_index, block_index ORDER BY start_offset, end_offset, segment_uid))
@@ -395,12 +426,15 @@ def adjacent_same_speaker(spark, d):
 
 @query(f"WITH {BLOCKS_SQL}, {SEGS_SQL} SELECT segment_uid FROM segs ANTI JOIN blocks USING (book_id, unit_index, block_index)")
 def unknown_block_segments(spark, d):
-    return segments(spark, d).join(blocks(spark, d), ranges.BLOCK, "left_anti").select("segment_uid")
+    return segments(spark, d).join(raw(spark, d).select(*ranges.BLOCK), ranges.BLOCK, "left_anti").select("segment_uid")
 
 
 # ---------------------------------------------------------------- folds, edits
 
 
+_SENT = "list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?；;]+[。！？.!?；;]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
 @query()
 def split_sentences(spark, d):
     return folds.narration(blocks(spark, d))
@@ -417,7 +451,7 @@ def pack_batches(spark, d):
 
 @query(f"WITH {BLOCKS_SQL} SELECT block_uid FROM blocks WHERE block_type IN ('paragraph', 'heading', 'listItem', 'blockquote') AND length(trim(text)) >= 2 AND regexp_matches(text, '\\p{{L}}')")
 def translatable_items(spark, d):
-    return edits.translatable(blocks(spark, d)).select("block_uid")
+    return edits.translatable(raw(spark, d)).select("block_uid").distinct()
 
 
 @query(f"""WITH {BLOCKS_SQL}, last AS (SELECT book_id, unit_index, block_id, max_by(excerpt, (searched_at, excerpt)) AS new_text FROM search_results WHERE excerpt IS NOT NULL GROUP BY ALL)
@@ -468,7 +502,7 @@ _MARK = "[.,!?;:。，！？；：、]"
 
 @query(f"""WITH {BLOCKS_SQL} SELECT block_uid, least(greatest((length(text) - length(regexp_replace(text, '{T.CJK}', '', 'g'))) * 180 + len(regexp_extract_all(text, '[A-Za-z0-9]+')) * 260 + len(regexp_extract_all(text, '{_MARK}')) * 120, 450), 30000) AS ms FROM blocks WHERE text IS NOT NULL""")
 def duration_estimate(spark, d):
-    return blocks(spark, d).filter("text is not null").select("block_uid", narration.duration_ms(F.col("text")).alias("ms"))
+    return once(raw(spark, d).filter("text is not null").select("block_uid", narration.duration_ms(F.col("text")).alias("ms")))
 
 
 @query()
@@ -483,16 +517,16 @@ def latest_search(spark, d):
 
 @query(f"WITH {BLOCKS_SQL}, f AS (SELECT book_id, unit_index, block_type, min(block_index) AS first FROM blocks WHERE block_type IS NOT NULL GROUP BY ALL) SELECT book_id, unit_index, string_agg(block_type, ',' ORDER BY first) AS block_types FROM f GROUP BY ALL")
 def kinds_in_order(spark, d):
-    rows = lookup.first_seen_order(blocks(spark, d).filter("block_type is not null"), ["book_id", "unit_index"], "block_type", "block_index")
+    rows = lookup.first_seen_order(raw(spark, d).filter("block_type is not null"), ["book_id", "unit_index"], "block_type", "block_index")
     return rows.select("book_id", "unit_index", F.array_join("block_types", ",").alias("block_types"))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, max_by(block_uid, (length(text), -block_uid)) AS block_uid FROM blocks WHERE length(text) > 0 GROUP BY book_id")
 def longest_block(spark, d):
-    return lookup.best(blocks(spark, d).withColumn("n", F.length("text")).withColumn("o", F.col("block_uid")), ["book_id"], "n", "o", "block_uid")
+    return lookup.best(raw(spark, d).withColumn("n", F.length("text")).withColumn("o", F.col("block_uid")), ["book_id"], "n", "o", "block_uid")
 
 
-@query("""WITH p AS (SELECT DISTINCT page_uid, book_id, page_index, label FROM fixed_pages), t AS (SELECT book_id, page_index, label FROM p WHERE label IS NOT NULL AND page_index % 5 = 0)
+@query("""WITH p AS (SELECT DISTINCT page_uid, book_id, page_index, label FROM fixed_pages), t AS (SELECT book_id, page_index, label FROM p WHERE label IS NOT NULL)
 SELECT page_uid, book_id, page_index, (SELECT max_by(label, (t.page_index, label)) FROM t WHERE t.book_id = p.book_id AND t.page_index <= p.page_index) AS label FROM p""")
 def toc_at_page(spark, d):
     p = table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label").distinct()
