@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import shared_folder
 from .sentences import EITHER, OPEN_ENDED
 
 #: The lexicon's frequencies are per so many words. Words rarer than LEAST aren't kept: at most PER / LEAST words are, some 36 MB.
@@ -446,9 +447,10 @@ def page(runs: list[tuple], reader: Reader) -> tuple[list[tuple[int, str]], list
 def repaired(body: list[tuple], stream: Stream, whole: dict, repairs: dict, size: float) -> list[dict]:
     """The body's lines with the readings of the best path. A word that was put together stands where it began."""
     lines, gone, joined = [], set(), {k: (i, j, new) for i, (j, new) in whole.items() for k in range(i, j)}
+    touched = {stream.line[t] for t in (*joined, *repairs)}
     for k, r in enumerate(body):
         text, out, at, closed = r[TEXT], [], 0, True
-        for t, m in zip(range(stream.first[k], stream.first[k + 1]), TOKEN.finditer(text)):
+        for t, m in zip(range(stream.first[k], stream.first[k + 1]), TOKEN.finditer(text)) if k in touched else ():
             if t in gone:  # it went to the line where its word began
                 out.append(text[at : m.start()])
                 at = m.end()
@@ -554,11 +556,16 @@ def paragraphs(lines: list[dict]) -> list[list[dict]]:
     return out[::-1]
 
 
+#: Up to so many books' page sizes are broadcast (some 20 MB).
+FEW_BOOKS = 100_000
+
+
 def pages(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Runs with their place and the height of the book's pages, all runs of a page together and in order.
 
     The key of the exchange is the page, so a book of any size spreads. Sizes, with the places near the pages' edges where
-    lines recur (some tens at most), are one row for each book: the engine broadcasts them if it finds them small, and joins by key otherwise."""
+    lines recur (some tens at most), are one row for each book: up to FEW_BOOKS are broadcast, more joined by key."""
+    shared_folder(runs.sparkSession)
     heights = sizes.filter(F.col("height") > 0).groupBy("book_id").agg(F.max("height").alias("height"))
     lowest = F.element_at("transform_matrix", 6)
     y = F.when(~F.isnan(lowest), lowest)
@@ -573,7 +580,8 @@ def pages(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     # Runs without a page spread by themselves; each is a page of its own.
     placed = F.when(F.col("book_id").isNull() | F.col("page_index").isNull(), F.col("run_uid"))
     recurs = F.col("places").isNull() | F.array_contains("places", F.floor(F.col("y") / NEARBY).cast("int"))
-    rows = slim.withColumn("alone", placed).join(heights.join(places, "book_id", "left"), "book_id", "left").withColumn("recurs", recurs).drop("places")
+    books = heights.join(places, "book_id", "left").checkpoint()
+    rows = slim.withColumn("alone", placed).join(F.broadcast(books) if books.count() <= FEW_BOOKS else books, "book_id", "left").withColumn("recurs", recurs).drop("places")
     return rows.repartition(n, "book_id", "page_index", "alone").sortWithinPartitions("book_id", "page_index", "alone", "run_index", "run_uid")
 
 
@@ -626,9 +634,6 @@ def book_paragraphs(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     A page's first paragraph goes on from the page before if that one's last line doesn't end a sentence, or ends in an abbreviation or
     ordinal and this one begins in lower case. That is decided on one row without text for each page, in strides of STRIDE pages, of which only a row each is carried
     through a book. Text moves only for the paragraphs at a page's ends."""
-    from .common import shared_folder
-
-    shared_folder(runs.sparkSession)
     shared = runs.sparkSession.sparkContext.broadcast(lexicon(runs))
     schema = "book_id long, page_index int, alone long, para int, n int, text string, goes_on boolean, stays_open int"
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32())
