@@ -97,7 +97,13 @@ class ByteBPE:
         keys = list(ranks)
         self.ids = np.array([ranks[k] for k in keys], np.int32)
         self.hash = PerfectHash(keys)
+        self.forget()
+
+    def forget(self) -> None:
+        """Nothing resolved yet: of pre-tokens, of byte strings; and the ids of single bytes."""
         self.known: dict[str, tuple[int, ...]] = {}
+        self.ranked: dict[bytes, int] = {}
+        self.single = [self.rank(bytes([b])) for b in range(256)]
 
     @classmethod
     def load(cls, name: str, folder: str = TOKENIZERS) -> ByteBPE:
@@ -110,37 +116,40 @@ class ByteBPE:
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Merge the lowest rank first, the leftmost of equals; n log n in the bytes."""
-        n = len(raw)
-        part = [raw[i : i + 1] for i in range(n)]
+        n, ranked, single = len(raw), self.ranked, self.single
+        if len(ranked) > CACHE:
+            ranked.clear()
+        part, ids = [raw[i : i + 1] for i in range(n)], [single[b] for b in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, bytes]] = []
-        pairs: dict[bytes, int] = {}
 
         def offer(i: int) -> None:
             j = after[i]
             if j < n:
                 both = part[i] + part[j]
-                r = pairs.get(both)
+                r = ranked.get(both)
                 if r is None:
-                    r = pairs[both] = self.rank(both)
+                    r = self.rank(both)
+                    if len(both) <= KEEP_CHARS:
+                        ranked[both] = r
                 if r >= 0:
                     heapq.heappush(heap, (r, i, both))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, both = heapq.heappop(heap)
+            r, i, both = heapq.heappop(heap)
             j = after[i] if part[i] else n
             if j >= n or part[i] + part[j] != both:
                 continue
-            part[i], part[j] = both, b""
+            part[i], part[j], ids[i] = both, b"", r
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return tuple(self.rank(p) for p in part if p)
+        return tuple(x for x, p in zip(ids, part) if p)
 
     def resolve(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -168,10 +177,11 @@ class ByteBPE:
         return sum(map(len, self.pieces(text))) if text else 0
 
     def __getstate__(self):
-        return {"ids": self.ids, "hash": self.hash, "known": {}}
+        return {"ids": self.ids, "hash": self.hash}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
+        self.forget()
 
 
 _compiled: list = []
@@ -198,16 +208,16 @@ def encode_corpus(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKEN
     return map_rows(spread(df.select(key, text)), f"{key} {kind}, ids array<int>", text, kernel)
 
 
-def counter(name: str, folder: str = TOKENIZERS):
-    """A function from a list of texts to their token counts, for any of the public formats."""
-    if os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
-        bpe = ByteBPE.load(name, folder)
+def counter(name: str, folder: str = TOKENIZERS, shared=None):
+    """A function from a list of texts to their token counts, for any of the public formats. shared: a broadcast ByteBPE."""
+    if shared is not None or os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
+        bpe = shared.value if shared is not None else ByteBPE.load(name, folder)
         return lambda texts: [bpe.count(t) for t in texts]
     if os.path.exists(os.path.join(folder, f"{name}.model")):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, f"{name}.model"))
-        return lambda texts: [len(sp.encode(t, num_threads=1)) if t else 0 for t in texts]
+        return lambda texts: list(map(len, sp.encode([t or "" for t in texts], num_threads=1)))
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
