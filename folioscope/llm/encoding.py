@@ -1,11 +1,14 @@
 """Text that was decoded with the wrong character encoding: finding the records and restoring the text.
 
-Clean sample texts are garbled by every chain of a right and a wrong encoding, and a multinomial classifier over
+Clean words are garbled by every chain of a right and a wrong encoding, and a multinomial classifier over
 hashed byte bigrams learns to tell the chains and clean text apart. Words with characters beyond ASCII are classified; the
-chain that is predicted is inverted strictly: each character must have a byte in the wrong encoding, the bytes must
-decode in the right one, and garbling the result again must give the word. A word that can't be inverted counts as damaged only
+chains are taken as the classifier ranks them, down to a floor, and the first that can be inverted strictly is the word's: each character must have a byte in the wrong encoding, the bytes must
+decode in the right one, garbling the result again must give the word, and the result must be likelier as clean text. A word that can't be inverted counts as damaged only
 where its score is beyond doubt or a character stands for undecodable bytes.
 
+The clean words are those of the language samples and of a whole table of texts; the bigrams of clean text are counted over all its words, and
+of the words those are garbled that make up at least RATE of a million, at most PER / RATE.
+
 Null, empty and plain ASCII texts are no case and never reach Python. A text is affected if one of its words is;
 restoring changes only words whose inversion is exact. Repeated rows give repeated results.
 """
@@ -13,17 +16,22 @@ restoring changes only words whose inversion is exact. Repeated rows give repeat
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, spread
+from .common import map_rows, slices, spread
 
-#: Sample rows the classifier may be fitted on, and log-odds a word must reach: with an exact inversion, and without.
-FIT_ROWS, SURE, BEYOND_DOUBT = 2000, 2.0, 12.0
+#: Words that are garbled to fit the classifier make up so many of PER words or more.
+PER, RATE = 1_000_000, 100
+#: Log-odds a word must reach: with an exact inversion, and without.
+SURE, BEYOND_DOUBT = 2.0, 12.0
 #: How much likelier as clean text the restored word must be.
 GAIN, MUCH = 2.5, 9.0
 #: Log-odds that are enough where the inversion yields valid UTF-8, which chance hardly does.
@@ -49,7 +57,7 @@ CHAINS = (
     + [("gbk", x) for x in ("cp1252", "big5", "cp932", "mac-roman", "cp1251", "euc-kr", "cp437")]
     + [("big5", x) for x in ("cp1252", "gbk", "cp932")]
 )
-VALID = [k for k, (right, _) in enumerate(CHAINS) if right in ("utf-8", "twice")]
+VALID = frozenset(k for k, (right, _) in enumerate(CHAINS) if right in ("utf-8", "twice"))
 WORD = re.compile(r"[^ \t\n\r]*[^\x00-\x7f][^ \t\n\r]*")
 #: Signs that ordinary text holds in any place. The model is shown each beside letters, figures and alone.
 SIGNS = "“”„‘’«»‹›…–—·•§°±½¼¾²³€£¥©®™×÷№ªº¿¡¬\xad‐‑†‡"
@@ -150,7 +158,7 @@ class Chains:
         for base in range(0, len(new), 4000):
             part = new[base : base + 4000]
             odds = self.odds(part)
-            order = np.argsort(-odds[:, : len(CHAINS)], axis=1)[:, :6]
+            order = np.argsort(-odds, axis=1, kind="stable")
             for i, w in enumerate(part):
                 self.known[w] = self._judge(w, odds[i], order[i])
 
@@ -159,10 +167,13 @@ class Chains:
             return True, None
         top = float(odds[order[0]])
         calm = plausible(word)
-        for k in [*order, *VALID]:
+        for k in order:
+            if odds[k] < EVEN:
+                break
             right, wrong = CHAINS[k]
+            # Chance hardly makes valid UTF-8: that an inversion into it exists is evidence by itself.
             utf8 = k in VALID
-            if odds[k] < (EVEN if utf8 else max(SURE, top - 25.0)):
+            if not utf8 and odds[k] < max(SURE, top - 25.0):
                 continue
             out = invert(word, right, wrong)
             if out is None or any("\x7f" <= c < "\xa0" for c in out):
@@ -228,36 +239,77 @@ def everyday() -> list[str]:
     return [w for s in SIGNS for c in letters for w in (s, s + c, c + s, c + s + c, s + "C", s + ",", c + s + ".", c + s + ",")]
 
 
-def fit(clean: list[str], blur: float = 0.02) -> Chains:
-    """clean: sample texts of all languages. Garbles each in every way and fits the multinomial model. Every class keeps
-    the same share of its mass for bigrams it hasn't seen, so that these speak for none."""
+def tally(words: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+    """How often each bigram stands in the words."""
+    if not words:
+        return np.zeros(1 << 16)
+    h, own = bigrams(words)
+    return np.bincount(h, None if weights is None else weights[own], minlength=1 << 16).astype(np.float64)
+
 
-    def share(words: list[str]) -> np.ndarray:
-        n = np.bincount(bigrams(words)[0], minlength=1 << 16).astype(np.float64) if words else np.zeros(1 << 16)
+def fit(words: dict[str, int], grams: np.ndarray | None = None, blur: float = 0.02) -> Chains:
+    """words: clean ones and how often they occur; grams: counts of the bigrams of clean text, if they are known better. Garbles each word in every way and fits
+    the multinomial model. Every class keeps the same share of its mass for bigrams it hasn't seen, so that these speak for none."""
+
+    def share(n: np.ndarray) -> np.ndarray:
         return n / max(1.0, n.sum())
 
-    even = blur / (1 << 16)
-    words = [w for t in clean for w in WORD.findall(t)]
-    upper = [w for t in dict.fromkeys(clean) for w in WORD.findall(t.upper())]
-    log_clean = np.log((0.8 - blur) * share(words) + 0.1 * share(upper) + 0.1 * share(everyday()) + even)
-    whole = list(dict.fromkeys(words))
+    even, whole = blur / (1 << 16), list(words)
+    upper = [w for x in whole for w in WORD.findall(x.upper())]
+    seen = tally(whole, np.array(list(words.values()), float)) if grams is None else grams
+    log_clean = np.log((0.8 - blur) * share(seen) + 0.1 * share(tally(upper)) + 0.1 * share(tally(everyday())) + even)
     rows = []
     for right, wrong in CHAINS:
         made = [g for w in whole if (g := garble(w, right, wrong)) and g != w and LOST not in g]
-        rows.append(np.log((1 - blur) * share([x for g in made for x in WORD.findall(g)]) + even) - log_clean)
+        rows.append(np.log((1 - blur) * share(tally([x for g in made for x in WORD.findall(g)])) + even) - log_clean)
     return Chains(np.array(rows, np.float32).T.copy(), log_clean, np.full(len(CHAINS), -4.0, np.float32))
 
 
 def training(samples: DataFrame, more: DataFrame) -> Chains:
-    """Fit on the language samples and at most FIT_ROWS texts of a table (id, text), in the order of their ids' hash.
-    Words that the first fit takes for garbled are left out of the second."""
+    """Fit on the language samples, then on these and all clean words of a table (id, text): words that the first fit takes for garbled are left out.
+    What reaches the driver are the counts of at most 2^16 bigrams and PER / RATE words."""
     texts = [r[0] for r in samples.select("text").collect() if r[0]]  # 210 rows, fixed
-    first = fit(texts)
-    key, text = more.columns
-    rows = more.filter(F.col(text).rlike(r"[^\x00-\x7F]")).orderBy(F.xxhash64(key), key).select(F.substring(text, 1, 400)).limit(FIT_ROWS).collect()
-    words = [w for r in rows for w in WORD.findall(r[0])]
-    first.judge(words)
-    return fit(texts + [w for w in words if LOST not in w and first.known[w][1] is None])
+    own = Counter(w for t in texts for w in WORD.findall(t))
+    first = more.sparkSession.sparkContext.broadcast(fit(own))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words, grams = first.value, Counter(), np.zeros(1 << 16)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal grams
+            keys, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+            grams += tally(keys, n)
+            at = np.flatnonzero(grams)
+            cols = [pa.array([*keys, *[None] * len(at)], pa.string()), pa.array([*[None] * len(keys), *at.tolist()], pa.int32()), pa.array([*n.tolist(), *grams[at].astype(np.int64).tolist()], pa.int64())]
+            words.clear()
+            grams = np.zeros(1 << 16)
+            return pa.RecordBatch.from_arrays(cols, names=["word", "gram", "n"])
+
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[0]):
+                found = [w for t in part.column(0).to_pylist() for w in WORD.findall(t)]
+                model.judge(found)
+                words.update(w for w in found if LOST not in w and model.known[w][1] is None)
+            if len(words) > 300_000:
+                yield flush()
+        if words:
+            yield flush()
+
+    _, text = more.columns
+    wide = spread(more.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(text))
+    sums = wide.mapInArrow(count, "word string, gram int, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    try:
+        total = sums.filter("word is not null").agg(F.sum("n")).first()[0] or 0
+        rows = sums.filter(F.col("gram").isNotNull() | (F.col("n") >= RATE * total / PER)).toArrow().to_pylist()
+    finally:
+        sums.unpersist()
+    grams = tally(list(own), np.array(list(own.values()), float))
+    for r in rows:
+        if r["gram"] is None:
+            own[r["word"]] += r["n"]
+        else:
+            grams[r["gram"]] += r["n"]
+    return fit(own, grams)
 
 
 def damaged_words(text: str, words: list[str], model: Chains) -> list[str]:
