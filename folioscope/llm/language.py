@@ -26,17 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, spread
+from .common import map_rows, slices, spread
 from .sentences import sentences
 
 #: Hash bits of an n-gram, longest n-gram, ridge, and what a change of language costs against a score difference of 1.
 BITS, LONGEST, RIDGE, SHARP, CHANGE = 16, 3, 0.01, 7.0, 2.4
-#: Labelled rows of each table the classifier may be fitted on, in the order of a hash of their ids, and landmarks a language.
-FIT_ROWS, LANDMARKS = 3000, 160
+#: Labelled rows of each table the classifier may be fitted on, those with the least hashes of their ids; sentences of each, spread over its whole
+#: text, and characters of each sentence; landmarks a language.
+FIT_ROWS, FIT_PARTS, FIT_CHARS, LANDMARKS = 3000, 8, 400, 160
+#: Rows are let through by their hash, so that about so many times FIT_ROWS are ordered however many there are.
+SLACK = 1.5
 #: The share of the first fit's best score that a row's own label must reach; short titles need some room.
 DOUBT = 0.5
-#: Letters from which a sentence's own vote counts in the first look.
-VOTE = 8
+#: Letters from which a sentence's own vote counts in the first look, and up to which it gains weight there.
+VOTE, MOST_LETTERS = 8, 200
+#: Signs of a phrase between quotation marks that is left out of its sentence, at most; a longer one is text of its own. A parameter.
+LONGEST_PHRASE = 80
 ATOM = re.compile(r"[.!?…।॥؟][\"”’»“)\]]*\s+|[。！？][”」』）]*\s*|\n+|(?<=[฀-๿”])[ \t]+(?=[^฀-๿ \t])|(?<=[^฀-๿\s])[ \t]+(?=[฀-๿])")
 MULT = np.array([1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -200,7 +205,7 @@ def atoms(text: str) -> list[str]:
     return out
 
 
-QUOTED = re.compile("“[^“”]{2,80}”|«[^«»]{2,80}»|„[^„“]{2,80}“|”[^”]{2,80}”|「[^「」]{2,80}」|\"[^\"]{2,80}\"")
+QUOTED = re.compile("“[^“”]{2,N}”|«[^«»]{2,N}»|„[^„“]{2,N}“|”[^”]{2,N}”|「[^「」]{2,N}」|\"[^\"]{2,N}\"".replace("N", str(LONGEST_PHRASE)))
 
 
 def unquoted(sentence: str) -> str:
@@ -240,11 +245,11 @@ def segment(texts: list[str | None], model: Model) -> list[list[tuple[int, int,
     scores, letters = model.score(flat)
     counts = np.fromiter(map(len, cut), np.int64, len(cut))
     starts = np.concatenate([[0], np.cumsum(counts)])
-    weighted = scores * np.minimum(letters, 200)[:, None]
+    weighted = scores * np.minimum(letters, MOST_LETTERS)[:, None]
     total = np.zeros((len(texts), len(model.langs)))
     np.add.at(total, np.repeat(np.arange(len(texts)), counts), weighted)
     words = np.zeros(len(texts))
-    np.add.at(words, np.repeat(np.arange(len(texts)), counts), np.minimum(letters, 200))
+    np.add.at(words, np.repeat(np.arange(len(texts)), counts), np.minimum(letters, MOST_LETTERS))
     main = total.argmax(axis=1)
     vote = scores.argmax(axis=1)
     split = (vote != np.repeat(main, counts)) & (letters >= VOTE)
@@ -283,18 +288,42 @@ def segment(texts: list[str | None], model: Model) -> list[list[tuple[int, int,
     return out
 
 
+def parts_of(text: str) -> list[str]:
+    """Up to FIT_PARTS sentences of a text, spread over the whole of it, each of at most FIT_CHARS characters."""
+    own = atoms(text)[:-1] or [text]  # what follows the last mark may be cut off
+    step = max(1.0, len(own) / FIT_PARTS)
+    return [own[int(k * step)][:FIT_CHARS] for k in range(min(FIT_PARTS, len(own)))]
+
+
+def labelled_parts(df: DataFrame) -> list:
+    """label and sentences of at most FIT_ROWS rows of a table (id, label, text): those with the least hashes of their ids. Sentences are cut where the
+    rows lie, and rows beyond a hash that lets through SLACK times FIT_ROWS don't leave it, so what reaches the driver is bounded."""
+    a, b, c = df.columns
+    top = 1 << 31
+    n = df.count()
+    share = min(1.0, SLACK * FIT_ROWS / max(n, 1))
+    place = F.pmod(F.xxhash64(a), F.lit(top))
+    some = df.filter(F.col(b).isNotNull() & F.col(c).isNotNull() & (F.length(c) > 3) & (place < int(share * top))).select(place.alias("place"), F.col(a).cast("string").alias("own"), b, c)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for own in slices(batch, c):
+                parts = pa.array([parts_of(t) for t in own.column(3).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), parts], names=["place", "own", "label", "parts"])
+
+    return some.mapInArrow(run, "place long, own string, label string, parts array<string>").orderBy("place", "own").limit(FIT_ROWS).collect()
+
+
 def training(spark: SparkSession, samples: DataFrame, languages: DataFrame, labelled: list[DataFrame]) -> Model:
-    """Fit on the samples, then on the sentences of at most FIT_ROWS rows of each labelled table (id, label, text) whose
-    own label the first fit confirms. Ids are taken in the order of their hash, so the rows are the same in every run."""
+    """Fit on the samples, then on sentences of at most FIT_ROWS rows of each labelled table (id, label, text) whose
+    own label the first fit confirms. The rows are the same in every run."""
     names = label_names([tuple(r) for r in languages.select("lang", "iso3", "lang_name").collect()])  # 14 rows, fixed
     langs = sorted(set(names.values()))
     rows = [(r[0], r[1]) for r in samples.select("lang", "text").collect() if r[0] in langs and r[1]]  # 210 rows, fixed
     first = fit([t for _, t in rows], [x for x, _ in rows], langs)
     texts, labels = [t for _, t in rows], [x for x, _ in rows]
     for df in labelled:
-        a, b, c = df.columns
-        some = df.filter(F.col(b).isNotNull() & F.col(c).isNotNull() & (F.length(c) > 3)).orderBy(F.xxhash64(a), a).select(b, F.substring(c, 1, 600)).limit(FIT_ROWS).collect()
-        parts = [(x, p) for label, t in some if (x := label_lang(label, names)) for p in atoms(t)[:-1] or [t]]
+        parts = [(x, p) for r in labelled_parts(df) if (x := label_lang(r.label, names)) for p in r.parts]
         if not parts:
             continue
         s, n = first.score([p for _, p in parts])
