@@ -1,17 +1,20 @@
 """One consistent form for text that looks the same.
 
-A text is exploded to positioned code points; a broadcast join brings each one's decomposition, its combining class
-and its look-alike; marks are ordered by class behind their base; the string is rebuilt and recomposed.
+A text holds units that may change: a character that has another form, or one with the marks and joining characters behind it.
+No unit acts on its neighbours, so each distinct unit of the corpus is worked out once: it is exploded to positioned code points;
+a broadcast join brings each one's decomposition, its combining class
+and its look-alike; marks are ordered by class behind their base; the unit is rebuilt and recomposed. Units that come out changed are put back
+into the texts that hold them; the others, and all between them, stay.
 Full-width and half-width forms, presentation forms, ligatures, radicals, zero-width characters, blanks of any width
 and look-alike letters of Greek and Cyrillic come to one form. Letter case, accents, raised signs, words and line breaks stay.
 
-Texts that hold none of the characters concerned are in this form already and stay as they are; a regular
-expression over the same table tells them. Null stays null; a blank text becomes the empty string.
+Null stays null; a blank text becomes the empty string.
 Repeated rows keep their results; rows are told apart by a given key, whose repetitions must carry the same text.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -66,16 +69,32 @@ def mapping() -> list[tuple[str, str, int]]:
     return out
 
 
-def active(rows: list[tuple[str, str, int]], least: int = 8) -> str:
-    """A character class of what may change a text: all but the longer ranges free of mapped characters whose
-    recomposed form differs, of marks, and of characters that compose with one before them. Short classes match fast;
-    a harmless character outside these ranges only costs time."""
-    cps = {ord(ch) for ch, new, ccc in rows if ccc or unicodedata.normalize("NFC", new) != ch}
-    cps |= {0x0BBE, 0x0BD7, 0x09BE, 0x09D7, 0x0B3E, 0x0B57, 0x0CC2, 0x0CD5, 0x0CD6, 0x0D3E, 0x0D57, 0x0DCF, 0x0DDF, 0x102E, *range(0x1100, 0x1200)}
+#: Characters of class 0 that compose with one before them, besides those that mapping() leads to.
+BEHIND = {0x0BBE, 0x0BD7, 0x09BE, 0x09D7, 0x0B3E, 0x0B57, 0x0CC2, 0x0CD5, 0x0CD6, 0x0D3E, 0x0D57, 0x0DCF, 0x0DDF, 0x102E, *range(0x1160, 0x1200)}
+
+
+def unit_pattern(rows: list[tuple[str, str, int]], least: int = 8) -> str:
+    """A regular expression for a unit, over a mapping.
+
+    Characters go on if they belong to what stands before them: marks, what vanishes, and what composes backwards. The class of
+    what may change leaves out only the longer ranges of plain characters; a harmless character in it only costs time."""
+
+    def spelled(ranges: list[tuple[int, int]]) -> str:
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+    going = {ord(ch) for ch, new, ccc in rows if ccc or not new or unicodedata.combining(new[0]) or ord(new[0]) in BEHIND} | BEHIND
+    cps = {ord(ch) for ch, new, ccc in rows if ccc or unicodedata.normalize("NFC", new) != ch} | going | set(range(0x1100, 0x1200))
     cps -= {0x20, 0x0A}
-    edges = [*sorted(cps), 0x10000]
-    calm = [(0x0A, 0x0A), (0x20, 0x7E)] + [(a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a > least and a >= 0x7F]
-    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in calm if b <= 0xFFFF) + "]| {2}|^ | $| \\n|\\n "
+    edges = [*sorted(c for c in cps if c < 0x10000), 0x10000]
+    calm = [(0x0A, 0x0A), (0x20, 0x7E)] + [(x + 1, y - 1) for x, y in zip(edges, edges[1:]) if y - x > least and x >= 0x7F]
+    run: list[list[int]] = []
+    for cp in sorted(going):
+        if run and cp == run[-1][1] + 1:
+            run[-1][1] = cp
+        else:
+            run.append([cp, cp])
+    on = spelled(run)
+    return f"(?s:[^{on}][{on}]+|[{on}]+|[^{spelled(calm)}])"
 
 
 @F.pandas_udf(T.StringType())
@@ -83,45 +102,103 @@ def recompose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def tidy(text):
-    """Runs of blanks become one blank; none stays at the ends of a line."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), " {2,}", " "), "^ +| +$|(?<=\n) +| +(?=\n)", "")
+BLANKS = re.compile(" {2,}")
+
+
+def tidy(text: str) -> str:
+    """Runs of blanks become one blank; none stays at the ends of a line; line ends are of one kind."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "  " in text:
+        text = BLANKS.sub(" ", text)
+    return "\n".join(line.strip(" ") for line in text.split("\n"))
+
+
+#: Up to so many changed units (a few MB) are broadcast; more are joined by key.
+SMALL = 200_000
+
+
+def unit_forms(units: DataFrame, rows: list[tuple[str, str, int]]) -> DataFrame:
+    """unit and new of each of some distinct units that changes. Units stay where distinct() put them."""
+    spark: SparkSession = units.sparkSession
+    table = F.broadcast(spark.createDataFrame([(c, n) for c, n, _ in rows], "ch string, new string"))  # fixed by Unicode
+    classes = F.broadcast(spark.createDataFrame([(c, k) for c, _, k in rows if k], "part string, ccc int"))
+    points = units.select("unit", F.posexplode(F.split("unit", "")).alias("pos", "ch"))
+    mapped = points.join(table, "ch", "left").select("unit", "pos", F.coalesce("new", "ch").alias("new"))
+    parts = mapped.select("unit", "pos", F.posexplode(F.split("new", "")).alias("sub", "part"))
+    parts = parts.join(classes, "part", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
+    order = W.partitionBy("unit").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
+    # A part that is mapped to nothing stays as an empty string: it separates no marks, and a unit of such parts isn't lost.
+    parts = parts.withColumn("base", F.count(F.when((F.col("ccc") == 0) & (F.col("part") != ""), 1)).over(order))
+    built = parts.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("base", "ccc", "pos", "sub", "part"))).alias("_p"))
+    return built.select("unit", recompose(F.array_join(F.col("_p.part"), "")).alias("new")).filter("new <> unit")
 
 
 def canonical(df: DataFrame, key: list[str], text: str, out: str = "canonical") -> DataFrame:
-    """The key and the consistent form of each row. Exploded rows never move: texts are distributed by their key
-    beforehand, and the rebuilding groups by the same key."""
-    spark: SparkSession = df.sparkSession
+    """The key and the consistent form of each row. Texts are read twice where they lie: for their units, and to put in the forms of those that change. Up to SMALL
+    of these forms are broadcast and no text moves; more are brought to their texts by key."""
+    shared_folder(df.sparkSession)
     rows = mapping()
-    table = F.broadcast(spark.createDataFrame([(c, n) for c, n, _ in rows], "ch string, new string"))
-    marks = [(c, k) for c, _, k in rows if k]
-    classes = F.broadcast(spark.createDataFrame(marks, "part string, ccc int"))  # a few hundred rows, fixed by Unicode
-    has = F.col(text).rlike(active(rows))
+    pattern = unit_pattern(rows)
+
+    @F.pandas_udf("array<string>")
+    def units_of(s: pd.Series) -> pd.Series:
+        find = re.compile(pattern).findall
+        return s.map(lambda t: list(dict.fromkeys(find(t))) if t else [])
+
     base = df.select(*key, F.col(text).alias("_t"))
-    plain = base.filter(~has | F.col("_t").isNull()).select(*key, tidy(F.col("_t")).alias(out))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    todo = df.filter(has).select(*key, F.col(text).alias("_t")).repartition(n, *key)
-    points = todo.select(*key, F.posexplode(F.split("_t", "")).alias("pos", "ch"))
-    mapped = points.join(table, "ch", "left").select(*key, "pos", F.coalesce("new", "ch").alias("new"))
-    parts = mapped.select(*key, "pos", F.posexplode(F.split("new", "")).alias("sub", "part"))
-    parts = parts.join(classes, "part", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
-    order = W.partitionBy(*key).orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
-    # A part that is mapped to nothing stays as an empty string: it separates no marks, and a row of such parts isn't lost.
-    parts = parts.withColumn("base", F.count(F.when((F.col("ccc") == 0) & (F.col("part") != ""), 1)).over(order))
-    built = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("base", "ccc", "pos", "sub", "part"))).alias("_p"))
-    return plain.unionByName(built.select(*key, tidy(recompose(F.array_join(F.col("_p.part"), ""))).alias(out)))
+    forms = unit_forms(base.select(F.explode(units_of("_t")).alias("unit")).distinct(), rows).checkpoint()
+    if forms.count() <= SMALL:
+        shared = df.sparkSession.sparkContext.broadcast({r.unit: r.new for r in forms.collect()})  # counted just now
+
+        @F.pandas_udf("string")
+        def rebuilt(s: pd.Series) -> pd.Series:
+            sub, new = re.compile(pattern).sub, shared.value.get
+            return s.map(lambda t: tidy(sub(lambda m: new(m.group(), m.group()), t)), na_action="ignore")
+
+        return base.select(*key, rebuilt("_t").alias(out))
+
+    @F.pandas_udf("string")
+    def rebuilt_by(s: pd.Series, maps: pd.Series) -> pd.Series:
+        sub = re.compile(pattern).sub
+
+        def one(t, pairs):
+            new = dict(pairs) if pairs is not None else {}
+            return None if t is None else tidy(sub(lambda m: new.get(m.group(), m.group()), t) if new else t)
+
+        return pd.Series([one(t, m) for t, m in zip(s, maps)], dtype=object)
+
+    hashed = base.withColumn("_h", F.md5("_t"))
+    held = hashed.select("_h", F.explode(units_of("_t")).alias("unit"))
+    maps = held.join(forms, "unit").groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct("unit", "new"))).alias("_m"))
+    return hashed.join(maps, "_h", "left").select(*key, rebuilt_by("_t", "_m").alias(out))
+
+
+def alike_classes(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """_k, _g, own and form of each row with a text that isn't blank: digests of its own characters and of its form."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.md5(text).alias("own"), F.col(text).alias("_x"))
+    return canonical(rows, ["_k", "_g", "own"], "_x").filter("canonical <> ''").select("_k", "_g", "own", F.md5("canonical").alias("form")).distinct()
 
 
 def alike_pairs(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     """id_a < id_b within a group whose texts come to one form but hold different characters. Blank texts are no case.
 
-    Rows meet by a digest of the form; only groups with at least two different texts are joined at all."""
-    shared_folder(df.sparkSession)
-    ids = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.md5(text).alias("own"), F.col(text).alias("_x"))
-    forms = canonical(ids.select("own", "_x").dropDuplicates(["own"]), ["own"], "_x").filter(F.col("canonical") != "").select("own", F.md5("canonical").alias("form"))
-    # Digests and ids only, read three times below: written once to the shared folder.
-    hashed = ids.select("_k", "_g", "own").distinct().join(forms, "own").checkpoint()
-    several = hashed.groupBy("_g", "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("_g", "form")
-    few = hashed.join(several, ["_g", "form"])
-    a, b = (few.select("_g", "form", F.col("_k").alias(f"id_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    return a.join(b, ["_g", "form"]).filter("id_a < id_b and own_a <> own_b").select("id_a", "id_b").distinct()
+    Different texts of one form meet first, each once however many rows hold it; the rows are put to them by group, form and text, so
+    that a form that many rows share spreads over its texts."""
+    # Digests and ids only, read several times below: written once to the shared folder.
+    hashed = alike_classes(df, key, group, text).checkpoint()
+    texts = hashed.select("_g", "form", "own").distinct()
+    several = texts.groupBy("_g", "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("_g", "form")
+    few = texts.join(several, ["_g", "form"])
+    pairs = few.select("_g", "form", F.col("own").alias("own_a")).join(few.select("_g", "form", F.col("own").alias("own_b")), ["_g", "form"]).filter("own_a < own_b")
+    a, b = (hashed.select("_g", "form", F.col("own").alias(f"own_{x}"), F.col("_k").alias(f"k_{x}")) for x in "ab")
+    both = pairs.join(a, ["_g", "form", "own_a"]).join(b, ["_g", "form", "own_b"]).filter("k_a <> k_b")
+    return both.select(F.least("k_a", "k_b").alias("id_a"), F.greatest("k_a", "k_b").alias("id_b")).distinct()
+
+
+def alike_report(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """Of each row whose form is shared by different texts: its class (the least key with the form in its group), and how many
+    different texts and rows the class has."""
+    hashed = alike_classes(df, key, group, text).checkpoint()
+    classes = hashed.groupBy("_g", "form").agg(F.min("_k").alias("class_id"), F.countDistinct("own").alias("n_texts"), F.countDistinct("_k").alias("n_rows")).filter("n_texts > 1")
+    return hashed.join(classes, ["_g", "form"]).select(F.col("_k").alias(key), F.col("_g").alias(group), "class_id", "n_texts", "n_rows").distinct()
