@@ -14,10 +14,13 @@ SLICE_CHARS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: in the folder the cluster names, else in one of our own (tests on one machine)."""
+    """Make checkpoint() usable: in the folder the cluster names; where none is named, in one of our own on a single machine, never on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioscope-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "folioscope-checkpoints"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give each core work: one file is one task however large its row group is. Rows move only where files are fewer than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores * per_core) if files < cores * per_core else df
+    """Give each core work where a table is so small that its splits are fewer than that. Large files are cut at spark.sql.files.maxPartitionBytes by the
+    engine, so rows of large tables stay where they lie. df must be a scan with filters and columns."""
+    least = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(least) if df._jdf.queryExecution().toRdd().getNumPartitions() < least else df
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -81,7 +81,7 @@ def test_kernel_equals_sets_of_ngrams():
 
 
 def test_wrong_encodings_come_back():
-    m = encoding.fit([t for ts in LANGS.values() for t in ts] * 3)
+    m = encoding.fit({w: 3 for ts in LANGS.values() for t in ts for w in encoding.WORD.findall(t)})
     for text, right, wrong in (("Fährmann öffnete", "utf-8", "cp1252"), ("Никто в нижнем городе", "cp1251", "cp1252"), ("zählte", "twice", "cp1252"), ("“Who”", "utf-8", "mac-roman")):
         bad = encoding.garble(text, right, wrong)
         assert encoding.invert(bad, right, wrong) == text
@@ -141,3 +141,22 @@ def test_a_sentence_may_hold_any_number_of_ends():
     speech = "– Vänta " + "och vänta " * 60 + "nu! Klockan ringer – sade färjkarlen."
     assert sentences.quotations(speech) == [(0, speech.index("–", 1) + 1, "—")]
     assert len(cut_of(". " * 400)) == 1
+
+
+def test_long_quotations_and_words_far_back():
+    inner = "It rang and rang again. "
+    for size, parts in ((sentences.LONG_QUOTE - 200, 1), (sentences.LONG_QUOTE + 200, 2)):
+        half = inner * (size // 2 // len(inner))
+        assert len(cut_of("“" + half.strip() + "\n\n" + half.strip() + "”")) in (parts, parts * (size // len(inner)) if parts > 1 else parts)
+    assert cut_of("x" * sentences.WORD_BACK + " Dr. Low came.") == ["x" * sentences.WORD_BACK + " Dr. Low came."]
+    many = "“It rang. He left.” said the old man. " * 2000
+    assert len(cut_of(many)) == 2000
+
+
+def test_phrases_within_quotation_marks_and_parts_for_the_fit():
+    for size, want in ((language.LONGEST_PHRASE, False), (language.LONGEST_PHRASE + 1, True)):
+        assert ("x" * size in language.unquoted("The label on the box read “" + "x" * size + "” and no more.")) is want
+    text = "".join(f"Sentence number {i}. " for i in range(100)) + "rest"
+    got = language.parts_of(text)
+    assert len(got) == language.FIT_PARTS and "number 0." in got[0] and "number 87." in got[-1]
+    assert language.parts_of("x" * 5000) == ["x" * language.FIT_CHARS]

@@ -34,6 +34,29 @@ def test_packing_keeps_everything_and_the_capacity(spark):
     assert packing.pack_corpus(spark.createDataFrame([], DOCS), specs).count() == 0
 
 
+def test_packing_folds_windows_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 3)
+    monkeypatch.setattr(packing, "OPEN", 2)
+    rows = [(None if i % 50 == 0 else i, "word " * (i % 37) if i % 11 else "", None, None) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS).repartition(20)
+    monkeypatch.setattr(packing, "spread", lambda d: d)
+    got = packing.pack_corpus(df, [("k", "byte_bpe_50k", 64)]).collect()
+    used = {}
+    for r in got:
+        used[r.bin_id] = used.get(r.bin_id, 0) + r.n_tokens
+    assert len(got) == 900 and max(used.values()) <= 64 and sum(used.values()) / (64 * len(used)) > 0.85
+    empty = packing.pack_corpus(spark.createDataFrame([(i, None, None, None) for i in range(300)], DOCS), [("k", "byte_bpe_50k", 64)]).collect()
+    assert len(empty) == 300 and all(r.bin_id and r.n_tokens == 0 for r in empty)
+
+
+def test_classes_of_what_looks_the_same(spark):
+    texts = ["café", "cafe\u0301", "cafe\u0301", "other", "cаfé", "", None]
+    df = spark.createDataFrame([(i, 1, t, "x") for i, t in enumerate(texts)], "row_id long, book_id long, text string, form string")
+    got = {tuple(r) for r in lookalike.alike_report(df, "row_id", "book_id", "text").collect()}
+    assert got == {(i, 1, 0, 3, 4) for i in (0, 1, 2, 4)}
+    assert {tuple(r) for r in lookalike.alike_pairs(df, "row_id", "book_id", "text").collect()} == {(0, 1), (0, 2), (0, 4), (1, 4), (2, 4)}
+
+
 def test_same_form_for_what_looks_the_same(spark):
     texts = ["café", "café", "cаfé", "ｃａｆé", "ca​fé", "CAFÉ", "cafe", " café ", "x y", "x y", "x\ny", None, "", "  ", "x³", "x3", "ﬁn", "fin", "​"]
     df = spark.createDataFrame([(i, 1 if i < 18 else 2, t) for i, t in enumerate(texts)], "row_id long, book_id long, text string")
@@ -46,6 +69,15 @@ def test_same_form_for_what_looks_the_same(spark):
     assert lookalike.alike_pairs(df.limit(0), "row_id", "book_id", "text").count() == 0
 
 
+def test_forms_by_key_equal_broadcast_forms(spark, monkeypatch):
+    texts = ["cafe\u0301 ｃ", "cа\u200bfé", None, "", "x\u00a0y \r\n z ", "ｶﾞ ガ", "각 \u1100\u1161\u11a8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    once = {r.row_id: r.canonical for r in lookalike.canonical(df, ["row_id"], "text").collect()}
+    monkeypatch.setattr(lookalike, "SMALL", 0)
+    assert once == {r.row_id: r.canonical for r in lookalike.canonical(df, ["row_id"], "text").collect()}
+    assert once == {0: "café c", 1: "café", 2: None, 3: "", 4: "x y\nz", 5: "ガ ガ", 6: "각 각"}
+
+
 def test_form_equals_normalisation_of_random_marks(spark):
     import random
 
