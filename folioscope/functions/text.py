@@ -114,3 +114,149 @@ def path_of(href: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.trim(href), "#.*$", ""), r"\\", "/")
     step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when((x == ".") | (x == ""), acc).otherwise(F.concat(acc, F.array(x)))
     return F.array_join(F.aggregate(F.split(plain, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+
+
+def clamp01(x: Column) -> Column:
+    """Between 0 and 1; 0 for what is no number."""
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(0.0)).otherwise(F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0)))
+
+
+def byte_length(s: Column) -> Column:
+    """Length in UTF-8."""
+    return F.coalesce(F.octet_length(s), F.lit(0))
+
+
+def unescape_all(s: Column) -> Column:
+    """The named entities in their order, then decimal and hexadecimal ones; numbers that name no character stay."""
+    s = unescape_html(s)
+
+    def one(acc: Column, e: Column) -> Column:
+        digits = F.regexp_extract(e, "(?i)^&#(x?)([0-9a-f]+);$", 2)
+        n = F.conv(digits, 16, 10).cast("long")
+        n = F.when(F.regexp_extract(e, "(?i)^&#(x?)", 1) != "", n).otherwise(digits.cast("long"))
+        ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        # UTF-16: one unit, or two for what lies beyond the basic plane.
+        rest = n - 0x10000
+        units = F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(F.concat(F.hex(F.lit(0xD800) + F.floor(rest / 0x400)), F.hex(F.lit(0xDC00) + rest % 0x400)))
+        return F.when(ok, F.replace(acc, e, F.decode(F.unhex(units), "UTF-16BE"))).otherwise(acc)
+
+    found = F.array_distinct(F.regexp_extract_all(s, F.lit("(?i)(&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});)"), F.lit(1)))
+    return F.aggregate(found, s, one)
+
+
+def css_escape(s: Column) -> Column:
+    return F.regexp_replace(s, r"([^\w-])", r"\\$1")
+
+
+def regex_escape(s: Column) -> Column:
+    return F.regexp_replace(s, r"([-/\\^$*+?.()|\[\]{}])", r"\\$1")
+
+
+#: Extensions and types of images.
+IMAGE_TYPES = ((".jpg", "image/jpeg"), (".png", "image/png"), (".gif", "image/gif"), (".webp", "image/webp"), (".svg", "image/svg+xml"), (".avif", "image/avif"), (".bmp", "image/bmp"))
+
+
+def extension_of(path: Column) -> Column:
+    """Lower-case extension of an image path without query and fragment; null for others."""
+    ext = F.lower(F.regexp_extract(F.regexp_replace(path, "[?#].*$", ""), r"(?i)\.(jpe?g|png|gif|webp|svg|avif|bmp)$", 1))
+    return F.when(ext != "", F.concat(F.lit("."), F.when(ext == "jpeg", "jpg").otherwise(ext)))
+
+
+def mime_of(path: Column) -> Column:
+    ext, out = extension_of(path), F.lit("application/octet-stream")
+    for e, m in IMAGE_TYPES:
+        out = F.when(ext == e, m).otherwise(out)
+    return out
+
+
+def extension_for(mime: Column, path: Column) -> Column:
+    """Extension for a type, or else the path's, or .bin."""
+    out = F.coalesce(extension_of(path), F.lit(".bin"))
+    for e, m in IMAGE_TYPES[:-1]:
+        out = F.when(mime == m, e).otherwise(out)
+    return out
+
+
+def is_external(url: Column) -> Column:
+    """Whether a reference names a scheme other than blob, or a host."""
+    return F.coalesce(url.rlike(r"(?i)^(?!blob)\w+:") | url.startswith("//"), F.lit(False))
+
+
+def data_uri(mime: Column, content: Column) -> Column:
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+
+
+def data_bytes(uri: Column) -> Column:
+    """Bytes of a base64 data URI; null for others."""
+    return F.when(uri.rlike(r"(?is)^data:[^,]*;base64,"), F.unbase64(F.regexp_replace(F.regexp_replace(uri, r"(?is)^data:[^,]*,", ""), r"\s", "")))
+
+
+def identifier(title: Column, at: Column) -> Column:
+    """An identifier of a title and a point of time, which the caller gives, so that it is the same in every run."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit("book"))), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+    return F.concat(F.lit("urn:book:"), slug, F.lit(":"), F.unix_millis(at).cast("string"))
+
+
+def affine(a: Column, b: Column) -> Column:
+    """The matrix that applies a after b; both arrays of six numbers, columns first."""
+    x, y = (lambda k: a[k]), (lambda k: b[k])
+    return F.array(
+        x(0) * y(0) + x(2) * y(1), x(1) * y(0) + x(3) * y(1), x(0) * y(2) + x(2) * y(3), x(1) * y(2) + x(3) * y(3),
+        x(0) * y(4) + x(2) * y(5) + x(4), x(1) * y(4) + x(3) * y(5) + x(5),
+    )
+
+
+def moved(m: Column, x: Column, y: Column) -> Column:
+    """A point after a matrix."""
+    return F.struct((m[0] * x + m[2] * y + m[4]).alias("x"), (m[1] * x + m[3] * y + m[5]).alias("y"))
+
+
+def bounds(m: Column, width: Column, height: Column) -> Column:
+    """Least rectangle around a transformed rectangle at the origin: left, top, right, bottom."""
+    corners = F.array(*[moved(m, F.lit(i) * width, F.lit(j) * height) for i in (0, 1) for j in (0, 1)])
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("top"), F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom"))
+
+
+def viewport(width: Column, height: Column, rotation: Column, scale: float = 1.0, ratio: float = 1.0) -> Column:
+    """Size of a rotated page in CSS and device pixels, and the matrix that brings the page into it. Rotations other than quarter turns
+    and sizes that aren't positive give null."""
+    turned = rotation.isin(90, 270)
+    css_w, css_h = F.when(turned, height).otherwise(width) * scale, F.when(turned, width).otherwise(height) * scale
+    pixels = lambda x: F.greatest(F.lit(1), F.floor(x * ratio + 0.5)).cast("int")
+    z, s = F.lit(0.0), F.lit(float(scale))
+    matrix = (
+        F.when(rotation == 90, F.array(z, s, -s, z, height * scale, z)).when(rotation == 180, F.array(-s, z, z, -s, width * scale, height * scale))
+        .when(rotation == 270, F.array(z, -s, s, z, z, width * scale)).otherwise(F.array(s, z, z, s, z, z))
+    )
+    ok = rotation.isin(0, 90, 180, 270) & (width > 0) & (height > 0)
+    return F.when(ok, F.struct(css_w.alias("css_width"), css_h.alias("css_height"), pixels(css_w).alias("pixel_width"), pixels(css_h).alias("pixel_height"), matrix.alias("transform")))
+
+
+def fitted(width: Column, height: Column, box_width: float, box_height: float, fit: str = "page") -> Column:
+    """Scale at which a page fits the width of a box, or all of it."""
+    across = F.lit(float(box_width)) / width
+    return across if fit == "width" else F.least(across, F.lit(float(box_height)) / height)
+
+
+def spread_of(index: Column, first_alone: bool = True) -> Column:
+    """Number of the two-page spread a page lies on; the first page may stand alone."""
+    return F.floor((index + (1 if first_alone else 0)) / 2).cast("int")
+
+
+def speakable(s: Column) -> Column:
+    """Whether something is left to speak once blanks and marks are gone."""
+    return F.coalesce(F.length(F.regexp_replace(s, "[\\s\"'“”‘’「」『』()\\[\\]{}<>《》。，、？！：；,.!?;:\\-—–…]+", "")) > 0, F.lit(False))
+
+
+def without_references(s: Column) -> Column:
+    """Text without bracketed numbers and raised figures, which point to notes. Both are found in the text as it stands."""
+    return F.regexp_replace(s, r"[\s\x{A0}]*[\[［]\s*\d{1,4}\s*[\]］]|[\s\x{A0}]*[¹²³⁴⁵⁶⁷⁸⁹⁰]+", "")
+
+
+def trimmed_edges(s: Column, speech: bool = False) -> Column:
+    """Offsets of a text without silent edges: blanks and quotation marks; before speech, marks of punctuation too."""
+    quiet = "\\s\"'“”‘’「」『』"
+    head = F.length(s) - F.length(F.regexp_replace(s, f"^[{quiet}{',，、。.!！?？;；:：—–…-' if speech else ''}]+", ""))
+    tail = F.length(F.regexp_replace(s, f"[{quiet}]+$", ""))
+    return F.struct(F.least(head, F.length(s)).alias("start"), F.greatest(F.least(head, F.length(s)), tail).alias("end"))

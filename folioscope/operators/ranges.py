@@ -67,3 +67,12 @@ def quality(segments: DataFrame, blocks: DataFrame, tiny: int = 6) -> DataFrame:
         flag((F.col("start_offset") < 0) | (F.col("end_offset") > F.col("size"))).alias("out_of_range"), flag(F.col("start_offset") < F.col("reached")).alias("overlaps"),
         flag(F.col("start_offset") > F.coalesce("reached", F.lit(0))).alias("gaps"), flag((F.col("end_offset") - F.col("start_offset")).between(1, tiny - 1)).alias("tiny"),
     )
+
+
+def cut_at(segments: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Segments cut wherever a range of their block begins or ends inside them: segment_uid, start_offset, end_offset of each part, in any number."""
+    own = segments.select("segment_uid", F.explode(F.array("start_offset", "end_offset")).alias("at"))
+    marks = segments.select("segment_uid", *BLOCK, "start_offset", "end_offset").join(ranges.select(*BLOCK, "r_start", "r_end"), BLOCK).filter("start_offset < r_end and r_start < end_offset")
+    inside = marks.select("segment_uid", "start_offset", "end_offset", F.explode(F.array("r_start", "r_end")).alias("at")).filter("at between start_offset and end_offset")
+    cuts = own.unionByName(inside.select("segment_uid", "at")).distinct()
+    return cuts.select("segment_uid", F.col("at").alias("start_offset"), F.lead("at").over(W.partitionBy("segment_uid").orderBy("at")).alias("end_offset")).filter("end_offset is not null")

@@ -293,13 +293,6 @@ def trial_toc_access(spark, d):
     return progress.trial_access(table(spark, d, "sections"), 0.2).select("book_id", "section_index", "toc_label", "disabled")
 
 
-@query(f"""WITH {BLOCKS_SQL}, t AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY unit_index, block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM blocks WHERE unit_index BETWEEN 2 AND 4 AND text IS NOT NULL)
-SELECT book_id, unit_index, block_index, CASE WHEN length(text) > 2000 - spent THEN rtrim(substring(text, 1, CAST(2000 - spent AS BIGINT))) ELSE text END AS clipped FROM t WHERE spent < 2000""")
-def context_window(spark, d):
-    near = _slim(spark, d).filter(F.col("unit_index").between(2, 4) & F.col("text").isNotNull())
-    return progress.clip(near, ["book_id"], ["unit_index", "block_index"], 2000).select("book_id", "unit_index", "block_index", "clipped")
-
-
 # ---------------------------------------------------------------- contents
 
 TOC_SQL = "toc AS (SELECT book_id, section_index AS toc_index, toc_label AS label, href FROM sections WHERE toc_label IS NOT NULL)"
@@ -567,6 +560,9 @@ def export_epub(spark, d):
     return export_rows(table(spark, d, "books"), rows).select("book_id", "file_name", F.octet_length("content").alias("size"))
 
 
+from . import reading  # noqa: E402, F401  its queries register themselves
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
