@@ -73,28 +73,38 @@ def mapping() -> list[tuple[str, str, int]]:
 BEHIND = {0x0BBE, 0x0BD7, 0x09BE, 0x09D7, 0x0B3E, 0x0B57, 0x0CC2, 0x0CD5, 0x0CD6, 0x0D3E, 0x0D57, 0x0DCF, 0x0DDF, 0x102E, *range(0x1160, 0x1200)}
 
 
-def unit_pattern(rows: list[tuple[str, str, int]], least: int = 8) -> str:
-    """A regular expression for a unit, over a mapping.
-
-    Characters go on if they belong to what stands before them: marks, what vanishes, and what composes backwards. The class of
-    what may change leaves out only the longer ranges of plain characters; a harmless character in it only costs time."""
-
-    def spelled(ranges: list[tuple[int, int]]) -> str:
-        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-
-    going = {ord(ch) for ch, new, ccc in rows if ccc or not new or unicodedata.combining(new[0]) or ord(new[0]) in BEHIND} | BEHIND
-    cps = {ord(ch) for ch, new, ccc in rows if ccc or unicodedata.normalize("NFC", new) != ch} | going | set(range(0x1100, 0x1200))
-    cps -= {0x20, 0x0A}
-    edges = [*sorted(c for c in cps if c < 0x10000), 0x10000]
-    calm = [(0x0A, 0x0A), (0x20, 0x7E)] + [(x + 1, y - 1) for x, y in zip(edges, edges[1:]) if y - x > least and x >= 0x7F]
-    run: list[list[int]] = []
-    for cp in sorted(going):
-        if run and cp == run[-1][1] + 1:
-            run[-1][1] = cp
-        else:
-            run.append([cp, cp])
-    on = spelled(run)
-    return f"(?s:[^{on}][{on}]+|[{on}]+|[^{spelled(calm)}])"
+class Units:
+    """Finds the units of texts and puts in other forms, over a mapping.
+
+    Characters go on if they belong to what stands before them: marks, what vanishes, and what composes backwards. A unit is a
+    character with those that go on behind it, or a single one that has another form."""
+
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        going = {ord(ch) for ch, new, ccc in rows if ccc or not new or unicodedata.combining(new[0]) or ord(new[0]) in BEHIND} | BEHIND
+        run: list[list[int]] = []
+        for cp in sorted(going):
+            if run and cp == run[-1][1] + 1:
+                run[-1][1] = cp
+            else:
+                run.append([cp, cp])
+        on = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in run)
+        self.pattern = f"(?s:[^{on}][{on}]+|[{on}]+)"
+        self.single = frozenset(ch for ch, new, _ in rows if ord(ch) not in going and unicodedata.normalize("NFC", new) != ch)
+
+    def find(self, text: str) -> set[str]:
+        if text.isascii():
+            return self.single.intersection(text)
+        return self.single.intersection(text).union(re.compile(self.pattern).findall(text))
+
+    def replace(self, text: str, forms: dict[str, str]) -> str:
+        """The text with other forms in place of units. Longer units come first: what they become holds no unit that changes."""
+        if not text.isascii():
+            new = forms.get
+            text = re.compile(self.pattern).sub(lambda m: new(m.group(), m.group()), text)
+        for ch in self.single.intersection(text):
+            if ch in forms:
+                text = text.replace(ch, forms[ch])
+        return text
 
 
 @F.pandas_udf(T.StringType())
@@ -139,12 +149,11 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "canonical")
     of these forms are broadcast and no text moves; more are brought to their texts by key."""
     shared_folder(df.sparkSession)
     rows = mapping()
-    pattern = unit_pattern(rows)
+    units = Units(rows)
 
     @F.pandas_udf("array<string>")
     def units_of(s: pd.Series) -> pd.Series:
-        find = re.compile(pattern).findall
-        return s.map(lambda t: list(dict.fromkeys(find(t))) if t else [])
+        return s.map(lambda t: list(units.find(t)) if t else [])
 
     base = df.select(*key, F.col(text).alias("_t"))
     forms = unit_forms(base.select(F.explode(units_of("_t")).alias("unit")).distinct(), rows).checkpoint()
@@ -153,18 +162,15 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "canonical")
 
         @F.pandas_udf("string")
         def rebuilt(s: pd.Series) -> pd.Series:
-            sub, new = re.compile(pattern).sub, shared.value.get
-            return s.map(lambda t: tidy(sub(lambda m: new(m.group(), m.group()), t)), na_action="ignore")
+            forms = shared.value
+            return s.map(lambda t: tidy(units.replace(t, forms)), na_action="ignore")
 
         return base.select(*key, rebuilt("_t").alias(out))
 
     @F.pandas_udf("string")
     def rebuilt_by(s: pd.Series, maps: pd.Series) -> pd.Series:
-        sub = re.compile(pattern).sub
-
         def one(t, pairs):
-            new = dict(pairs) if pairs is not None else {}
-            return None if t is None else tidy(sub(lambda m: new.get(m.group(), m.group()), t) if new else t)
+            return None if t is None else tidy(units.replace(t, dict(pairs)) if pairs is not None and len(pairs) else t)
 
         return pd.Series([one(t, m) for t, m in zip(s, maps)], dtype=object)
 
