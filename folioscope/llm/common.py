@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Give each core work where a table is so small that its splits are fewer than that. Large files are cut at spark.sql.files.maxPartitionBytes by the
     engine, so rows of large tables stay where they lie. df must be a scan with filters and columns."""
     least = df.sparkSession.sparkContext.defaultParallelism * per_core
