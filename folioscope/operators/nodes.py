@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import html as H
+from ..functions import inline as I
 
 
 def _mapped(df: DataFrame, key: list[str], content: str, schema: str, arrow: pa.Schema, rows) -> DataFrame:
@@ -45,6 +46,27 @@ def html_blocks(df: DataFrame, key: list[str], content: str) -> DataFrame:
     return _mapped(df, key, content, "block_index int, block_id string, block_type string, depth int, text string", arrow, rows)
 
 
+def html_segments(df: DataFrame, key: list[str], content: str) -> DataFrame:
+    """key, segment_index, block, text, style, source, role: styled text in reading order."""
+
+    def rows(t):
+        return [{"segment_index": i, "block": s["block"], "text": s["text"], "style": sorted(s["style"].items()), "source": s["source"], "role": s["role"]} for i, s in enumerate(I.document_segments(t))]
+
+    arrow = pa.schema([("segment_index", pa.int32()), ("block", pa.int32()), ("text", pa.string()), ("style", pa.map_(pa.string(), pa.string())), ("source", pa.string()), ("role", pa.string())])
+    return _mapped(df, key, content, "segment_index int, block int, text string, style map<string, string>, source string, role string", arrow, rows)
+
+
+def html_tables(df: DataFrame, key: list[str], content: str) -> DataFrame:
+    """key, table_index, column_count, weights and rows of each table."""
+    cell = pa.struct([("text", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("header", pa.bool_())])
+
+    def rows(t):
+        return [{"table_index": i, "column_count": x["column_count"], "weights": x["weights"], "rows": [[{k: c[k] for k in ("text", "colspan", "rowspan", "header")} for c in r] for r in x["rows"]]} for i, x in enumerate(I.tables(t))]
+
+    arrow = pa.schema([("table_index", pa.int32()), ("column_count", pa.int32()), ("weights", pa.list_(pa.float64())), ("rows", pa.list_(pa.list_(cell)))])
+    return _mapped(df, key, content, "table_index int, column_count int, weights array<double>, rows array<array<struct<text: string, colspan: int, rowspan: int, header: boolean>>>", arrow, rows)
+
+
 def select(nodes: DataFrame, tag: str | None = None, cls: str | None = None, id: str | None = None, has: str | None = None) -> DataFrame:
     """Nodes by tag, class, id or an attribute that isn't empty."""
     ok = F.lit(True)

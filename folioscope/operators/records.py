@@ -80,7 +80,7 @@ def rewrites(payloads: DataFrame) -> DataFrame:
     item = "array<struct<blockId:string,text:string>>"
     options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
     clean = F.regexp_replace(F.trim("payload"), r",\s*([\]}])", "$1")
-    listed = F.coalesce(F.from_json(clean, item, options), F.from_json(clean, f"struct<rewrites:{item}>", options)["rewrites"])
+    listed = F.when(F.startswith(clean, F.lit("{")), F.from_json(clean, f"struct<rewrites:{item}>", options)["rewrites"]).otherwise(F.from_json(clean, item, options))
     rows = payloads.select("request_id", F.inline(listed))
     return rows.filter((F.trim("blockId") != "") & (F.trim("text") != "")).select("request_id", F.trim("blockId").alias("block_id"), "text")
 

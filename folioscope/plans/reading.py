@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import content, records, reports, search, toc, trial
+from ..operators import content, layout, nodes, records, reports, search, toc, trial
 from . import registry as R
 from .registry import BLOCKS_SQL, FRACTIONS_SQL, SEGS_SQL, TOC_SQL, VALID_SQL, query
 
@@ -279,3 +279,29 @@ def run_bounds(spark, d):
     r = R.once(R.table(spark, d, "text_runs").filter("size(transform_matrix) = 6 and width is not null and height is not null").select("run_uid", "transform_matrix", "width", "height"), "run_uid")
     b = T.bounds(F.col("transform_matrix"), F.col("width"), F.col("height"))
     return r.withColumn("b", b).select("run_uid", F.round("b.left", 6).alias("bound_left"), F.round("b.bottom", 6).alias("bound_bottom"))
+
+
+# ---------------------------------------------------------------- segments, tables, layout
+
+
+@query(f"""WITH {BLOCKS_SQL}, t AS (SELECT book_id, unit_index, block_index, block_uid, regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g') AS t, row_number() OVER (PARTITION BY book_id, unit_index ORDER BY block_index, block_uid) - 1 AS k FROM blocks WHERE text IS NOT NULL AND regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g') <> '')
+SELECT book_id, unit_index, CAST(row_number() OVER (PARTITION BY book_id, unit_index ORDER BY block_index, block_uid) - 1 AS INTEGER) AS block, t AS text FROM t""")
+def html_segments(spark, d):
+    """Segments of the sections' HTML: one for each block with text, as no block holds elements."""
+    return nodes.html_segments(R._pages(spark, d), ["book_id", "unit_index"], "html").select("book_id", "unit_index", "block", "text")
+
+
+@query()
+def layout_lines(spark, d):
+    """Every unit laid out as lines on pages of one size."""
+    return layout.lines(R.blocks(spark, d))
+
+
+@query()
+def lines_in_view(spark, d):
+    return layout.visible(layout_lines(spark, d), 300.0, 676.0).select("book_id", "unit_index", "line_index", "block_index")
+
+
+@query()
+def unit_page_fractions(spark, d):
+    return layout.page_fractions(layout_lines(spark, d), 676.0)
