@@ -14,12 +14,30 @@ MOST = 1 << 30
 
 def inflate(raw: bytes) -> bytes:
     d = zlib.decompressobj(-15)
-    return d.decompress(raw, MOST)
+    out = d.decompress(raw, MOST)
+    if d.unconsumed_tail:
+        raise ValueError(f"an entry unpacks to more than {MOST} bytes")
+    return out
+
+
+def is_zip(head: bytes) -> bool:
+    """Whether the first bytes are those of an archive, also of an empty or split one."""
+    return head[:4] in (LOCAL, b"PK\x05\x06", b"PK\x07\x08")
+
+
+def unpacked(body: bytes, how: int) -> bytes | ValueError:
+    """An entry's content, or what stands in its way."""
+    if how not in (0, 8):
+        return ValueError(f"unknown compression {how}")
+    try:
+        return inflate(body) if how else body
+    except ValueError as e:
+        return e
 
 
-def scan(data: bytes) -> dict[str, bytes]:
-    """Entries found by their local headers alone; those that can't be read are left out."""
-    out: dict[str, bytes] = {}
+def scan(data: bytes) -> dict[str, bytes | ValueError]:
+    """Entries found by their local headers alone; damaged ones are left out, those too large or of an unknown compression hold the error."""
+    out: dict[str, bytes | ValueError] = {}
     at = data.find(LOCAL)
     while at >= 0:
         nxt = data.find(LOCAL, at + 4)
@@ -30,7 +48,7 @@ def scan(data: bytes) -> dict[str, bytes]:
             end = begin + packed if packed and not flags & 8 else (nxt if nxt >= 0 else len(data))
             body = data[begin:end]
             if name and not name.endswith("/"):
-                out.setdefault(name, inflate(body) if how == 8 else body if how == 0 else b"")
+                out.setdefault(name, unpacked(body, how))
         except (struct.error, UnicodeDecodeError, zlib.error):
             pass
         at = nxt
@@ -53,12 +71,17 @@ class Archive:
     def read(self, name: str) -> bytes | None:
         if self.zip is not None and self.found is None:
             try:
+                if self.zip.getinfo(name).file_size > MOST:
+                    raise ValueError(f"{name} unpacks to more than {MOST} bytes")
                 return self.zip.read(name)
             except KeyError:
                 return None
             except (zipfile.BadZipFile, zlib.error, NotImplementedError, OSError, EOFError):
                 self.found = scan(self.data)
-        return self.found.get(name) if self.found is not None else None
+        content = self.found.get(name) if self.found is not None else None
+        if isinstance(content, ValueError):
+            raise ValueError(f"{name}: {content}")
+        return content
 
     def text(self, name: str) -> str | None:
         raw = self.read(name)

@@ -8,11 +8,13 @@ import posixpath
 import re
 import struct
 import zlib
+from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
-from .archive import Archive, decoded
+from .archive import Archive, decoded, is_zip
 
 
 @dataclass
@@ -27,6 +29,11 @@ class Book:
     pages: list[tuple[str, str]] = field(default_factory=list)
     #: (id, href, media type, size)
     resources: list[tuple[str, str, str, int]] = field(default_factory=list)
+    #: (label, href)
+    landmarks: list[tuple[str, str]] = field(default_factory=list)
+    #: Text runs of fixed pages: (page, text, matrix of six numbers, width, font size, whether a line ends), and links: (page, target).
+    runs: list[tuple[int, str, list[float], float, float, bool]] = field(default_factory=list)
+    links: list[tuple[int, str]] = field(default_factory=list)
     #: What of the file couldn't be read, where the rest could.
     error: str | None = None
 
@@ -55,7 +62,8 @@ def under(base: str, href: str) -> str:
     """A reference of a file in an archive, as a name in it."""
     path, mark, fragment = href.partition("#")
     full = posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(path.replace("\\", "/")))) if path else base
-    return full.lstrip("./") + mark + fragment
+    steps = [x for x in full.split("/") if x not in ("", ".", "..")]  # nothing lies above the root
+    return "/".join(steps) + mark + fragment
 
 
 # ---------------------------------------------------------------- EPUB
@@ -101,23 +109,16 @@ def epub(data: bytes) -> Book:
             entries = outline(block.group(2), nav)
             if kind and kind.group(1) == "page-list":
                 book.pages += [(label, href) for _, label, href in entries]
+            elif kind and kind.group(1) == "landmarks":
+                book.landmarks += [(label, href) for _, label, href in entries]
             elif not kind or kind.group(1) == "toc":
                 book.toc += entries
     if not book.toc:
         ncx = next((h for h, k, _ in items.values() if k == "application/x-dtbncx+xml"), None)
         if ncx and (text := z.text(ncx)):
-            tree = ET.fromstring(text)
-
-            def walk(el: ET.Element, depth: int) -> None:
-                for p in (x for x in el if local(x.tag) == "navPoint"):
-                    label = next((words(t) for n in p if local(n.tag) == "navLabel" for t in find(n, "text")), "")
-                    href = next((attr(c, "src") or "" for c in p if local(c.tag) == "content"), "")
-                    book.toc.append((depth, label, under(ncx, href)))
-                    walk(p, depth + 1)
-
-            for m in find(tree, "navMap"):
-                walk(m, 0)
-            book.pages += [(words(next(find(p, "text"), p)), under(ncx, next((attr(c, "src") or "" for c in find(p, "content")), ""))) for p in find(tree, "pageTarget")]
+            points, targets = ncx_entries(text)
+            book.toc += [(depth, label, under(ncx, href)) for depth, label, href in points]
+            book.pages += [(label, under(ncx, href)) for label, href in targets]
     cover = next((h for h, _, p in items.values() if "cover-image" in p.split()), None)
     named = book.metadata.get("cover", [None])[0]
     cover = cover or (items[named][0] if named in items else None) or next((h for i, (h, k, _) in items.items() if i == "cover" and k.startswith("image/")), None)
@@ -126,6 +127,37 @@ def epub(data: bytes) -> Book:
     return book
 
 
+def ncx_entries(text: str) -> tuple[list[tuple[int, str, str]], list[tuple[str, str]]]:
+    """Contents and page targets of an NCX file, read by its marks alone, so that damaged XML gives what can be read."""
+    points: list[list] = []
+    targets: list[list] = []
+    open_points: list[list] = []
+    label, into = "", None
+    for m in re.finditer(r"(?is)<(/?)(?:\w+:)?(navPoint|pageTarget|text|content)\b([^>]*?)(/?)>([^<]*)", text):
+        closing, name, attrs, _, tail = m.groups()
+        if name.lower() == "navpoint":
+            if closing:
+                open_points = open_points[:-1]
+                into = open_points[-1] if open_points else None
+            else:
+                into = [len(open_points), "", ""]
+                points.append(into)
+                open_points.append(into)
+        elif name.lower() == "pagetarget":
+            into = None if closing else ["", ""]
+            if into is not None:
+                targets.append(into)
+        elif closing or into is None:
+            continue
+        elif name.lower() == "text":
+            label = " ".join(html.unescape(tail).split())
+            into[-2] = into[-2] or label
+        else:
+            src = re.search(r"src\s*=\s*[\"']([^\"']*)", attrs)
+            into[-1] = into[-1] or html.unescape(src.group(1) if src else "")
+    return [tuple(p) for p in points], [tuple(t) for t in targets]
+
+
 def outline(text: str, base: str) -> list[tuple[int, str, str]]:
     """Nested lists of links, flattened in order."""
     out, depth = [], -1
@@ -505,16 +537,26 @@ def mobi(data: bytes) -> Book:
         kf8(book, raw, rec, head, code)
         return book
     if version >= 8:
-        parts = re.split(rb"(?=<html\b)", raw)
-        parts = [p for p in parts if p.strip() and not NAVIGATION.fullmatch(p)]
+        begins = [m.start() for m in re.finditer(rb"<html\b", raw)] or [0]
+        spans = list(zip(begins, [*begins[1:], len(raw)]))
     else:
-        parts = re.split(rb"(?i)<\s*(?:mbp:)?pagebreak[^>]*>", raw)
-    for k, p in enumerate(p for p in parts if p.strip()):
-        book.sections.append((str(k), None, "text/html", p.decode(code, "replace")))
-    places = [len(b"".join(parts[:k])) for k in range(len(parts) + 1)]
-    for m in re.finditer(rb"(?is)<a\b[^>]*filepos\s*=\s*[\"']?0*(\d+)[^>]*>(.*?)</a>", raw):
-        k = max(i for i, x in enumerate(places) if x <= int(m.group(1)) or not i)
-        book.toc.append((0, " ".join(re.sub("<[^>]*>", "", m.group(2).decode(code, "replace")).split()), f"{min(k, max(0, len(book.sections) - 1))}#filepos{int(m.group(1))}"))
+        breaks = [m.span() for m in re.finditer(rb"(?i)<\s*(?:mbp:)?pagebreak[^>]*>", raw)]
+        spans = list(zip([0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(raw)]))
+    starts: list[int] = []  # where each section begins in the text as it is stored
+    for a, b in spans:
+        part = raw[a:b]
+        if part.strip() and not (version >= 8 and NAVIGATION.fullmatch(part)):
+            book.sections.append((str(len(starts)), None, "text/html", part.decode(code, "replace")))
+            starts.append(a)
+    depth = 0
+    for m in re.finditer(rb"(?is)<(/?)(?:blockquote|ul|ol)\b[^>]*>|<a\b[^>]*filepos\s*=\s*[\"']?0*(\d+)[^>]*>(.*?)</a>", raw):
+        if m.group(2) is None:
+            depth = max(0, depth - 1) if m.group(1) else depth + 1
+            continue
+        k = max(0, bisect_right(starts, int(m.group(2))) - 1)
+        book.toc.append((depth, " ".join(re.sub("<[^>]*>", "", m.group(3).decode(code, "replace")).split()), f"{k}#filepos{int(m.group(2))}"))
+    top = min((d for d, _, _ in book.toc), default=0)
+    book.toc = [(d - top, label, href) for d, label, href in book.toc]
     return book
 
 
@@ -554,6 +596,14 @@ def pdf(data: bytes) -> Book:
             found[name] = known[font]
         return found
 
+    def media(num: int) -> list[float]:
+        """The page's box; it may stand in a node above."""
+        body, up = objects[num], 0
+        while up < 64 and not entry(body, b"MediaBox") and ref(body, b"Parent"):
+            body, up = objects.get(ref(body, b"Parent")[0], b""), up + 1
+        box = [float(x) for x in re.findall(rb"[-+]?\d*\.?\d+", at(entry(body, b"MediaBox")))][:4]
+        return box if len(box) == 4 else [0.0, 0.0, 612.0, 792.0]
+
     known: dict[bytes, Font] = {}
     problems: list[str] = []
 
@@ -593,7 +643,10 @@ def pdf(data: bytes) -> Book:
     for k, num in enumerate(order):
         try:
             own = fonts(num)
-            text = "\n".join(page_text(stream(objects.get(c, b"")), own) for c in ref(objects[num], b"Contents"))
+            contents = [stream(objects.get(c, b"")) for c in ref(objects[num], b"Contents")]
+            text = "\n".join(page_text(c, own) for c in contents)
+            height = media(num)[3]
+            book.runs += [(k, *r) for r in merged_runs(page_runs(b"\n".join(contents), own, height))]
             if any(f.lost for f in own.values()):
                 problems.append(f"page {k}: a font has no map to characters for its codes")
         except (ValueError, zlib.error) as e:
@@ -603,15 +656,67 @@ def pdf(data: bytes) -> Book:
             f.lost = False
         book.sections.append((f"page:{k}", None, "page", text))
         book.pages.append((labels[k], f"page:{k}"))
-    for b in objects.values():
-        m = re.search(rb"/Title\s*(\((?:\\.|[^\\)])*\)|<[0-9A-Fa-f\s]*>)", b)
-        if m and b"/Parent" in b:
-            to = ref(b, b"Dest")
-            book.toc.append((0, pdf_string(m.group(1)), f"page:{order.index(to[0])}" if to and to[0] in order else ""))
+    named = destinations(root, at)
+    page_no = {num: k for k, num in enumerate(order)}
+
+    def target(value: bytes) -> str:
+        """Page of a destination: a list that begins with it, a dictionary that holds one, or a name for one."""
+        value = at(value)
+        for _ in range(4):
+            if value.lstrip()[:2] == b"<<":
+                value = at(entry(value, b"D"))
+            elif value.lstrip()[:1] == b"[":
+                m = re.match(rb"\s*\[\s*(\d+)\s+\d+\s+R", value)
+                return f"page:{page_no[int(m.group(1))]}" if m and int(m.group(1)) in page_no else ""
+            else:
+                value = at(named.get(name_of(value), b""))
+        return ""
+
+    def where(item: bytes) -> str:
+        action = at(entry(item, b"A"))
+        return target(entry(item, b"Dest") or entry(action, b"D")) or pdf_string(at(entry(action, b"URI")).strip() or b"()")
+
+    def follow(num: int | None, depth: int, seen: set[int]) -> None:
+        while num is not None and num not in seen and depth < 64:
+            seen.add(num)
+            item = objects.get(num, b"")
+            title = at(entry(item, b"Title")).strip()
+            if title:
+                book.toc.append((depth, pdf_string(title), where(item)))
+            follow(next(iter(ref(item, b"First")), None), depth + 1, seen)
+            num = next(iter(ref(item, b"Next")), None)
+
+    follow(next(iter(ref(at(entry(root, b"Outlines")), b"First")), None), 0, set())
+    for k, num in enumerate(order):
+        for a in re.findall(rb"(\d+)\s+\d+\s+R", at(entry(objects[num], b"Annots"))):
+            note = objects.get(int(a), b"")
+            if re.search(rb"/Subtype\s*/Link\b", note) and (to := where(note)):
+                book.links.append((k, to))
     book.error = "; ".join(problems)[:500] or None
     return book
 
 
+def name_of(value: bytes) -> str:
+    value = value.strip()
+    return value[1:].decode("latin-1") if value[:1] == b"/" else pdf_string(value) if value[:1] in b"(<" and value else ""
+
+
+def destinations(root: bytes, at) -> dict[str, bytes]:
+    """Named destinations, of the old dictionary and of the name tree."""
+    out = {k.decode("latin-1"): v for k, v in pairs(at(entry(root, b"Dests")))}
+
+    def walk(node: bytes, depth: int) -> None:
+        names = parts(at(entry(node, b"Names")))
+        for k, v in zip(names[::2], names[1::2]):
+            out[name_of(k)] = v
+        if depth < 32:
+            for kid in parts(at(entry(node, b"Kids"))):
+                walk(at(kid), depth + 1)
+
+    walk(at(entry(at(entry(root, b"Names")), b"Dests")), 0)
+    return out
+
+
 PDF_PART = re.compile(rb"(?s)\((?:\\.|[^\\)])*\)|<<|>>|<[0-9A-Fa-f\s]*>|[\[\]]|/[^\s/\[\]()<>]*|\d+\s+\d+\s+R\b|[^\s/\[\]()<>]+")
 
 
@@ -784,7 +889,11 @@ def pdf_decode(b: bytes) -> str:
         return b[2:].decode("utf-16-be", "replace")
     if b[:3] == b"\xef\xbb\xbf":
         return b[3:].decode("utf-8", "replace")
-    return b.decode("latin-1")
+    return b.decode("latin-1").translate(PDF_SIGNS)
+
+
+#: What codes 0x80 to 0x9E and 0xA0 are in strings of the format.
+PDF_SIGNS = dict(zip(range(0x80, 0x9F), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž")) | {0xA0: "€"}
 
 
 def page_text(content: bytes, fonts: dict[bytes, Font]) -> str:
@@ -819,6 +928,106 @@ def page_text(content: bytes, fonts: dict[bytes, Font]) -> str:
     return "".join(out).strip()
 
 
+def times(a: list[float], b: list[float]) -> list[float]:
+    """The matrix that applies a first, then b."""
+    return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
+
+
+NUMBERS = re.compile(rb"[-+]?\d*\.?\d+")
+RUN_TOKEN = re.compile(rb"(?s)\((?:\\.|[^\\)])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\)])*\)|<[^>]*>|[^\]])*\]|[-+]?\d*\.?\d+|/[^\s/\[\]()<>]+|[A-Za-z'\"*]+")
+#: Widths aren't read from the fonts: a sign counts as half the type size.
+SIGN = 0.5
+
+
+def page_runs(content: bytes, fonts: dict[bytes, Font], height: float) -> list[tuple[str, list[float], float, float]]:
+    """Shown strings with their matrix (y grows downwards), estimated width and type size, in order."""
+    out: list[tuple[str, list[float], float, float]] = []
+    unit = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    ctm, saved, text, line = unit, [], unit, unit
+    font, size, lead, rise, stretch, gap = Font(b"", False), 1.0, 0.0, 0.0, 1.0, 0.0
+    stack: list[bytes] = []
+
+    def number(k: int) -> float:
+        return float(stack[k]) if len(stack) >= -k and NUMBERS.fullmatch(stack[k]) else 0.0
+
+    def six() -> list[float]:
+        return [number(k) for k in range(-6, 0)]
+
+    def show(raw: bytes) -> None:
+        nonlocal text
+        s = font.decode(pdf_bytes(raw))
+        wide = len(s) * (size * SIGN + gap) * stretch
+        if s:
+            m = times([size * stretch, 0.0, 0.0, size, 0.0, rise], times(text, ctm))
+            out.append((s, [m[0], m[1], m[2], m[3], m[4], height - m[5]], wide, size))
+        text = times([1.0, 0.0, 0.0, 1.0, wide, 0.0], text)
+
+    def move(x: float, y: float) -> None:
+        nonlocal text, line
+        line = times([1.0, 0.0, 0.0, 1.0, x, y], line)
+        text = line
+
+    for m in RUN_TOKEN.finditer(content):
+        t = m.group()
+        if t[:1] in b"(<[/+-.0123456789":
+            stack.append(t)
+            continue
+        if t == b"q":
+            saved.append((ctm, font, size, lead, rise, stretch, gap))
+        elif t == b"Q" and saved:
+            ctm, font, size, lead, rise, stretch, gap = saved.pop()
+        elif t == b"cm":
+            ctm = times(six(), ctm)
+        elif t == b"BT":
+            text = line = unit
+        elif t == b"Tm":
+            text = line = six()
+        elif t in (b"Td", b"TD"):
+            lead = -number(-1) if t == b"TD" else lead
+            move(number(-2), number(-1))
+        elif t == b"T*":
+            move(0.0, -lead)
+        elif t == b"TL":
+            lead = number(-1)
+        elif t == b"Ts":
+            rise = number(-1)
+        elif t == b"Tz":
+            stretch = number(-1) / 100.0
+        elif t == b"Tc":
+            gap = number(-1)
+        elif t == b"Tf" and len(stack) > 1:
+            font, size = fonts.get(stack[-2]) or Font(b"", False), number(-1) or 1.0
+        elif t in (b"Tj", b"'", b'"') and stack:
+            if t != b"Tj":
+                move(0.0, -lead)
+            show(stack[-1])
+        elif t == b"TJ" and stack:
+            for p in re.finditer(rb"(?s)\((?:\\.|[^\\)])*\)|<[0-9A-Fa-f\s]*>|[-+]?\d*\.?\d+", stack[-1]):
+                if p.group()[:1] in b"(<":
+                    show(p.group())
+                else:
+                    text = times([1.0, 0.0, 0.0, 1.0, -float(p.group()) / 1000.0 * size * stretch, 0.0], text)
+        stack = []
+    return out
+
+
+def merged_runs(runs: list[tuple[str, list[float], float, float]]) -> list[tuple[str, list[float], float, float, bool]]:
+    """Neighbours of one line and size become one run, with a blank where a gap is as wide as a third of the type; the last of a line ends it."""
+    out: list[list] = []
+    for s, m, wide, size in runs:
+        if out:
+            last = out[-1]
+            same = abs(last[1][5] - m[5]) < 0.3 * max(size, 1.0) and abs(last[3] - size) < 0.1
+            gap = m[4] - (last[1][4] + last[2])
+            if same and -size < gap < 2.0 * size:
+                last[0] += (" " if gap > size / 3.0 and not last[0].endswith(" ") and not s.startswith(" ") else "") + s
+                last[2] = m[4] + wide - last[1][4]
+                continue
+            last[4] = abs(last[1][5] - m[5]) >= 0.3 * max(size, 1.0)
+        out.append([s, m, wide, size, True])
+    return [tuple(r) for r in out if r[0].strip()]
+
+
 def page_labels(root: bytes, n: int) -> list[str]:
     """Labels by the last rule at or before a page; decimal from 1 where no rule says otherwise."""
     m = re.search(rb"(?s)/PageLabels.*?/Nums\s*\[(.*?)\]\s*>>", root)
@@ -849,27 +1058,39 @@ def numeral(n: int, style: str) -> str:
 
 # ---------------------------------------------------------------- registry
 
-READERS = {"epub": epub, "mobi": mobi, "fb2": fb2, "cbz": cbz, "pdf": pdf}
+#: Readers by format: priority, whether a name or the first bytes are theirs, and the reader. A higher priority is asked first, of equals the earlier.
+READERS: dict[str, tuple[int, Callable[[str, bytes], bool], Callable[[bytes], Book]]] = {}
+
+
+def register(name: str, reader: Callable[[bytes], Book], can_read: Callable[[str, bytes], bool], priority: int = 0) -> None:
+    """Add a reader, or put it in the place of one of its name."""
+    READERS[name] = (priority, can_read, reader)
+
+
+def unregister(name: str) -> bool:
+    return READERS.pop(name, None) is not None
+
+
+def registered() -> list[str]:
+    """Names in the order they are asked."""
+    return sorted(READERS, key=lambda n: -READERS[n][0])
+
+
+register("pdf", pdf, lambda low, head: head[:5] == b"%PDF-" or low.endswith(".pdf"), 20)
+register("epub", epub, lambda low, head: is_zip(head) and b"mimetypeapplication/epub+zip" in head[:120] or low.endswith(".epub"), 10)
+register("mobi", mobi, lambda low, head: head[60:68] in (b"BOOKMOBI", b"TEXtREAd") or bool(re.search(r"\.(?:mobi|azw3?|prc)$", low)), 5)
+register("fb2", fb2, lambda low, head: b"<FictionBook" in head[:600] or bool(re.search(r"\.(?:fb2|fbz|fb2\.zip)$", low)), 5)
+register("cbz", cbz, lambda low, head: low.endswith(".cbz"), 0)
 
 
 def detect(name: str, head: bytes) -> str | None:
     """Format by first bytes and name, the surest first."""
     low = name.lower()
-    if head[:5] == b"%PDF-" or low.endswith(".pdf"):
-        return "pdf"
-    if head[:4] == b"PK\x03\x04" and b"mimetypeapplication/epub+zip" in head[:120] or low.endswith(".epub"):
-        return "epub"
-    if head[60:68] in (b"BOOKMOBI", b"TEXtREAd") or re.search(r"\.(?:mobi|azw3?|prc)$", low):
-        return "mobi"
-    if b"<FictionBook" in head[:600] or re.search(r"\.(?:fb2|fbz|fb2\.zip)$", low):
-        return "fb2"
-    if low.endswith(".cbz"):
-        return "cbz"
-    return None
+    return next((n for n in registered() if READERS[n][1](low, head)), None)
 
 
 def parse(name: str, data: bytes) -> Book:
     kind = detect(name, data[:1024])
     if kind is None:
         raise ValueError("unsupported format")
-    return READERS[kind](data)
+    return READERS[kind][2](data)

@@ -221,3 +221,66 @@ def test_what_of_a_pdf_cannot_be_read_is_an_error():
     for name, content in ((b"/Crypt", b"x"), (b"/FlateDecode", b"damaged"), (b"/LZWDecode", b"\xff\xff\xff")):
         r = books.row("x.pdf", pdf_page(b"/Filter " + name, content, b"/Subtype /Type1"))
         assert r["error"] and r["sections"][0]["content"] == "", name
+
+
+def test_references_stay_inside_the_archive():
+    assert formats.under("OEBPS/a.opf", "./b.x#f") == "OEBPS/b.x#f" and formats.under("a.opf", ".well/x") == ".well/x" and formats.under("a/b.opf", "../../.hidden/x") == ".hidden/x"
+
+
+def test_archives_say_what_they_cannot_unpack(monkeypatch):
+    import pytest
+
+    z = archive.Archive(zipped({"a.txt": "hello " * 50})[:-30])
+    assert z.read("a.txt") and archive.is_zip(b"PK\x03\x04") and not archive.is_zip(b"%PDF")
+    monkeypatch.setattr(archive, "MOST", 20)
+    for data in (zipped({"a.txt": "hello " * 50}), zipped({"a.txt": "hello " * 50})[:-30]):
+        with pytest.raises(ValueError):
+            archive.Archive(data).read("a.txt")
+    assert isinstance(archive.unpacked(b"", 12), ValueError)
+
+
+def test_readers_are_asked_by_priority():
+    assert formats.registered() == ["pdf", "epub", "mobi", "fb2", "cbz"]
+    formats.register("txt", lambda data: formats.Book("txt"), lambda low, head: low.endswith(".pdf"), 30)
+    try:
+        assert formats.detect("x.pdf", b"") == "txt" and formats.parse("x.pdf", b"").format == "txt"
+    finally:
+        assert formats.unregister("txt") and not formats.unregister("txt")
+    assert formats.detect("x.pdf", b"") == "pdf"
+
+
+def test_mobi_links_lead_to_their_sections():
+    sections = [b"<p>section %d</p>" % k for k in range(40)]
+    page = b"<mbp:pagebreak/>"
+    toc = b"<blockquote>" + b"".join(b"<a filepos=%010d>S%d</a>" % (0, k) for k in range(40)) + b"</blockquote>"
+    head = len(toc) + len(page) * 2  # an empty section follows the contents
+    at, links = head, []
+    for k, s in enumerate(sections):
+        links.append(b"<a filepos=%010d>S%d</a>" % (at, k))
+        at += len(s) + len(page)
+    text = b"<blockquote>" + b"".join(links) + b"</blockquote>" + page + page + page.join(sections)
+    b = formats.parse("x.mobi", mobi_bytes(text, text, 1))
+    assert len(b.sections) == 41 and [(d, label, href.split("#")[0]) for d, label, href in b.toc] == [(0, f"S{k}", str(k + 1)) for k in range(40)]
+
+
+def test_damaged_ncx_and_landmarks():
+    ncx = "<ncx><navMap><navPoint><navLabel><text>One &amp; all</text></navLabel><content src='a.x'/><navPoint><navLabel><text>Sub</text></navLabel><content src='a.x#s'/></navPoint></navPoint><navPoint><navLabel><text>Two</text></navLabel><content src='b.x'></navMap><pageList><pageTarget><navLabel><text>iv</text></navLabel><content src='a.x#p'/></pageTarget>"
+    assert formats.ncx_entries(ncx) == ([(0, "One & all", "a.x"), (1, "Sub", "a.x#s"), (0, "Two", "b.x")], [("iv", "a.x#p")])
+    opf = '<package xmlns="http://x"><metadata/><manifest><item id="n" href="n.x" media-type="a" properties="nav"/></manifest><spine/></package>'
+    nav = '<nav epub:type="toc"><ol><li><a href="a.x">A</a></li></ol></nav><nav epub:type="landmarks"><ol><li><a href="c.x">Cover</a></li></ol></nav>'
+    b = formats.epub(zipped({"p.opf": opf, "n.x": nav}))
+    assert b.landmarks == [("Cover", "c.x")] and [t[1] for t in b.toc] == ["A"]
+
+
+def test_pdf_outline_runs_and_links(spark, tmp_path):
+    content = b"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Hello) Tj ( there) Tj 0 -14 Td (Next) Tj ET q 2 0 0 2 0 0 cm BT /F1 5 Tf 20 100 Td (Big) Tj ET Q"
+    body = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R /Outlines 6 0 R /Names << /Dests 9 0 R >> >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 10 0 R] /Count 2 /MediaBox [0 0 600 800] >> endobj\n"
+    body += b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Annots [11 0 R 12 0 R] >> endobj\n4 0 obj << /Length %d >> stream\n%s\nendstream endobj\n10 0 obj << /Type /Page /Parent 2 0 R >> endobj\n" % (len(content), content)
+    body += b"6 0 obj << /First 8 0 R /Last 7 0 R >> endobj\n7 0 obj << /Title (B) /Parent 6 0 R /Prev 8 0 R /A << /S /GoTo /D (there) >> >> endobj\n8 0 obj << /Title (A\x85) /Parent 6 0 R /Next 7 0 R /First 13 0 R /Dest [3 0 R /Fit] >> endobj\n"
+    body += b"9 0 obj << /Names [(there) [10 0 R /Fit]] >> endobj\n11 0 obj << /Subtype /Link /A << /S /URI /URI (http://x.example) >> >> endobj\n12 0 obj << /Subtype /Link /Dest (there) >> endobj\n13 0 obj << /Title (Sub) /Parent 8 0 R /Dest [10 0 R /Fit] >> endobj\n"
+    b = formats.parse("x.pdf", body)
+    assert b.toc == [(0, "A–", "page:0"), (1, "Sub", "page:1"), (0, "B", "page:1")] and b.links == [(0, "http://x.example"), (0, "page:1")]
+    assert [(r[1], r[2], r[4], r[5]) for r in b.runs] == [("Hello there", [10.0, 0.0, 0.0, 10.0, 50.0, 100.0], 10.0, True), ("Next", [10.0, 0.0, 0.0, 10.0, 50.0, 114.0], 10.0, True), ("Big", [10.0, 0.0, 0.0, 10.0, 40.0, 600.0], 5.0, True)]
+    (tmp_path / "x.pdf").write_bytes(body)
+    rows = books.runs_of(books.read_books(spark, str(tmp_path))).orderBy("run_index").collect()
+    assert [r.text for r in rows] == ["Hello there", "Next", "Big"] and rows[0].transform_matrix[5] == 100.0
