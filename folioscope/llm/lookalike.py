@@ -81,26 +81,42 @@ class Units:
 
     def __init__(self, rows: list[tuple[str, str, int]]):
         going = {ord(ch) for ch, new, ccc in rows if ccc or not new or unicodedata.combining(new[0]) or ord(new[0]) in BEHIND} | BEHIND
+        # Characters beyond the basic plane make a class slow; it is used only for texts that hold some.
+        self.near, self.wide = (self.spelled(sorted(cp for cp in going if cp <= top)) for top in (0xFFFF, 0x10FFFF))
+        self.single = frozenset(ch for ch, new, _ in rows if ord(ch) not in going and unicodedata.normalize("NFC", new) != ch)
+
+    @staticmethod
+    def spelled(cps: list[int]) -> str:
         run: list[list[int]] = []
-        for cp in sorted(going):
+        for cp in cps:
             if run and cp == run[-1][1] + 1:
                 run[-1][1] = cp
             else:
                 run.append([cp, cp])
-        on = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in run)
-        self.pattern = f"(?s:[^{on}][{on}]+|[{on}]+)"
-        self.single = frozenset(ch for ch, new, _ in rows if ord(ch) not in going and unicodedata.normalize("NFC", new) != ch)
+        return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in run) + "]+"
 
-    def find(self, text: str) -> set[str]:
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where characters that go on stand, with the one before them."""
         if text.isascii():
-            return self.single.intersection(text)
-        return self.single.intersection(text).union(re.compile(self.pattern).findall(text))
+            return []
+        out, end = [], 0
+        for m in re.compile(self.near if max(text) <= "\uffff" else self.wide).finditer(text):
+            a, b = m.span()
+            out.append((a - 1 if a > end else a, b))
+            end = b
+        return out
+
+    def find(self, text: str) -> set[str]:
+        return self.single.intersection(text).union(text[a:b] for a, b in self.spans(text))
 
     def replace(self, text: str, forms: dict[str, str]) -> str:
         """The text with other forms in place of units. Longer units come first: what they become holds no unit that changes."""
-        if not text.isascii():
-            new = forms.get
-            text = re.compile(self.pattern).sub(lambda m: new(m.group(), m.group()), text)
+        out, at = [], 0
+        for a, b in self.spans(text):
+            if (new := forms.get(text[a:b])) is not None:
+                out += [text[at:a], new]
+                at = b
+        text = "".join(out) + text[at:] if out else text
         for ch in self.single.intersection(text):
             if ch in forms:
                 text = text.replace(ch, forms[ch])
