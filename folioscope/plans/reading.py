@@ -305,3 +305,31 @@ def lines_in_view(spark, d):
 @query()
 def unit_page_fractions(spark, d):
     return layout.page_fractions(layout_lines(spark, d), 676.0)
+
+
+# ---------------------------------------------------------------- export
+
+_BODY = "t AS (SELECT book_id, unit_index, string_agg(text, chr(10) ORDER BY block_index, block_uid) AS body FROM blocks WHERE text IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""WITH {BLOCKS_SQL}, {_BODY} SELECT s.book_id, s.section_index, repeat('-', 60) || chr(10) || coalesce(toc_label, title, section_id) || chr(10) || coalesce(body, '') AS exported FROM sections s LEFT JOIN t ON s.book_id = t.book_id AND section_index = unit_index WHERE linear IS NULL OR linear <> 'no'""")
+def export_txt_sections(spark, d):
+    from ..sinks.text import section_texts
+
+    return section_texts(R.table(spark, d, "sections"), R.blocks(spark, d))
+
+
+@query(f"""WITH {BLOCKS_SQL}, b AS (SELECT book_id, unit_index, sum(len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '{R._SP}', '', 'g')) > 0))) AS n FROM blocks WHERE text IS NOT NULL GROUP BY ALL),
+l AS (SELECT s.book_id, s.section_index, row_number() OVER (PARTITION BY s.book_id ORDER BY section_index) - 1 AS place, coalesce(toc_label, s.title, section_id) AS label, coalesce(n, 0) AS n FROM sections s JOIN books USING (book_id) LEFT JOIN b ON s.book_id = b.book_id AND section_index = unit_index WHERE linear IS NULL OR linear <> 'no')
+SELECT book_id, CAST(place AS INTEGER) AS place, trim(regexp_replace(label, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS label, CAST(n AS BIGINT) AS paragraphs FROM l""")
+def epub_round_trip(spark, d):
+    """Every book written as a package and read again: contents labels and paragraphs of each section as they come back."""
+    from ..sinks.files import export_rows
+    from ..sinks.text import section_bodies
+    from ..sources import books as source
+
+    s = R.table(spark, d, "sections")
+    rows = s.select("book_id", "section_index", "linear", F.coalesce("toc_label", "title", "section_id").alias("label")).join(section_bodies(R.blocks(spark, d)), ["book_id", "section_index"], "left")
+    files = export_rows(R.table(spark, d, "books"), rows).select("file_name", "content").withColumnRenamed("file_name", "path")
+    back = source.parsed(files).select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("long").alias("book_id"), F.posexplode(F.arrays_zip("sections", "toc")).alias("place", "x"))
+    return back.select("book_id", "place", F.col("x.toc.label").alias("label"), F.regexp_count("x.sections.content", F.lit("<p>")).cast("long").alias("paragraphs"))

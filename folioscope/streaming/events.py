@@ -22,14 +22,40 @@ def latest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     return top.select(*key, "r.*")
 
 
-def upsert(folder: str, key: list[str], version: str):
-    """A function for foreachBatch: chapters are kept as one table a batch; a batch that is repeated replaces itself."""
+def _folders(spark, folder: str) -> dict[str, int]:
+    """Finished parts of a store by name, and the last batch each holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName(): s.getPath() for s in system.listStatus(path)} if system.exists(path) else {}
+    done = {n for n, p in found.items() if "=" in n and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+    return {n: int(n.partition("=")[2]) for n in done}
+
+
+def _current(spark, folder: str, upto: int | None = None) -> list[str]:
+    """Parts that make up the store: the newest base and the batches behind it."""
+    parts = {n: k for n, k in _folders(spark, folder).items() if upto is None or k <= upto}
+    base = max((k for n, k in parts.items() if n.startswith("base=")), default=-1)
+    return [f"{folder}/{n}" for n, k in sorted(parts.items()) if n == f"base={base}" or n.startswith("batch=") and k > base]
+
+
+def upsert(folder: str, key: list[str], version: str, every: int = 16):
+    """A function for foreachBatch: each batch is a part of its own; a batch that is repeated replaces itself. Every so many batches all parts become one new base,
+    and those before the base before it are removed, so that reading stays bounded and a reader of the last base isn't disturbed."""
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         latest(batch, key, version).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if number % every != every - 1:
+            return
+        latest(spark.read.parquet(*_current(spark, folder, number)), key, version).write.mode("overwrite").parquet(f"{folder}/base={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for name, k in _folders(spark, folder).items():
+            if k <= number - every:
+                system.delete(path(f"{folder}/{name}"), True)
 
     return write
 
 
 def upserted(spark, folder: str, key: list[str], version: str) -> DataFrame:
-    return latest(spark.read.parquet(folder).drop("batch"), key, version)
+    return latest(spark.read.parquet(*_current(spark, folder)), key, version)

@@ -284,3 +284,57 @@ def test_pdf_outline_runs_and_links(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(body)
     rows = books.runs_of(books.read_books(spark, str(tmp_path))).orderBy("run_index").collect()
     assert [r.text for r in rows] == ["Hello there", "Next", "Big"] and rows[0].transform_matrix[5] == 100.0
+
+
+PNG = "data:image/png;base64,iVBORw0KGgo="
+
+
+def test_packages_hold_each_image_once_and_nested_contents():
+    body = f'<html><head><title>x</title></head><body><p>a <img src="{PNG}"/><img src="{PNG}"/><a href="http://x">l</a><img src="data:image/gif;base64,R0lG"/></p></body></html>'
+    data = files.epub_bytes("i", "T", "en", [("One", body), ("Two", "plain"), ("Three", "x")], [(0, "One", 0), (1, "Dropped", None), (2, "Two", 1), (0, "Gone", None), (1, "Three", 2)])
+    z = archive.Archive(data)
+    assert [n for n in z.names if "images/" in n] == ["OEBPS/images/resource-1.png", "OEBPS/images/resource-2.gif"] and z.read("OEBPS/images/resource-2.gif") == b"GIF"
+    first = z.text("OEBPS/s0000.xhtml")
+    assert first.count('src="images/resource-1.png"') == 2 and 'href="http://x"' in first and "<title>x" not in first
+    assert formats.parse("x.epub", data).toc == [(0, "One", "OEBPS/s0000.xhtml"), (1, "Two", "OEBPS/s0001.xhtml"), (0, "Three", "OEBPS/s0002.xhtml")]
+    c = archive.Archive(files.cbz_bytes("i", "T", "en", [("One", body), ("Two", "plain")]))
+    assert c.names == ["ComicInfo.xml", "page0001-img01.png", "page0001-img02.png", "page0001-img03.gif", "0002.txt"]
+    assert files.txt_bytes("i", "T", "en", [("One", body), ("Two", "plain")]).decode().startswith("T\n----")
+    assert files.rewritten("<a href='x&amp;y' data=\"z\">", lambda u, a: u + "!" if a == "href" else None) == '<a href="x&amp;y!" data="z">'
+    assert files.projected([]) == [] and files.nested([]) == "<ol></ol>" and files.data_image("data:image/png;base64,?") is None
+    assert b"#s1" in files.html_text("i", "T", "en", [("A", "x"), ("B", "y")], [(0, "B", 1)])
+
+
+def test_writers_are_registered(spark, tmp_path):
+    files.register("none", lambda *a: b"x")
+    try:
+        b = spark.createDataFrame([(1, "i", "T", "en")], "book_id long, identifier string, title string, lang string")
+        s = spark.createDataFrame([(1, 0, None, "One", "text")], "book_id long, section_index int, linear string, label string, body string")
+        rows = files.export_rows(b, s, "none")
+        assert bytes(rows.first().content) == b"x"
+        files.write_files(rows, str(tmp_path / "out"))
+        assert (tmp_path / "out" / "1.none").read_bytes() == b"x"
+    finally:
+        assert files.unregister("none")
+    uses = spark.createDataFrame([(1, "b", 3), (1, "a", 1), (1, "b", 0)], "book_id int, url string, position int")
+    assert {(r.url, r.number) for r in files.numbered_resources(uses).collect()} == {("b", 1), ("a", 2)}
+
+
+def test_upserts_are_brought_together(spark, tmp_path):
+    put = events.upsert(str(tmp_path / "s"), ["k"], "v", every=3)
+    for n in range(8):
+        put(spark.createDataFrame([(n % 2, n, f"t{n}")], "k int, v int, text string"), n)
+    put(spark.createDataFrame([(1, 7, "t7")], "k int, v int, text string"), 7)
+    assert {(r.k, r.v) for r in events.upserted(spark, str(tmp_path / "s"), ["k"], "v").collect()} == {(0, 6), (1, 7)}
+    names = {p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")}
+    assert names == {"batch=3", "batch=4", "batch=5", "base=5", "batch=6", "batch=7"} or names == {"base=2", "batch=3", "batch=4", "batch=5", "base=5", "batch=6", "batch=7"}
+
+
+def test_texts_are_written_by_section(spark, tmp_path):
+    from folioscope.sinks import text
+
+    s = spark.createDataFrame([(1, 0, None, "A", None, "a"), (1, 1, None, None, "B", "b"), (2, 0, "no", "C", None, "c")], "book_id long, section_index int, linear string, toc_label string, title string, section_id string")
+    b = spark.createDataFrame([(1, 1, 0, 0, "x"), (2, 1, 1, 0, "y")], "block_uid long, book_id long, unit_index int, block_index int, text string")
+    text.write_texts(s, b, str(tmp_path / "t"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "t" / "book_id=1").glob("*.txt")))
+    assert whole == f"{text.DIVIDER}\nA\nx\n{text.DIVIDER}\nB\ny\n"
