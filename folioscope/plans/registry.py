@@ -335,10 +335,11 @@ def content_unit_clamped(spark, d):
 SELECT page_uid, coalesce(label, 'Page ' || (page_index + 1)) AS title, CASE WHEN count(*) OVER (PARTITION BY book_id) > 1 THEN page_index / (count(*) OVER (PARTITION BY book_id) - 1) ELSE 0.0 END AS fraction,
  last_value(label IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY page_index, page_uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label_so_far FROM p""")
 def page_units(spark, d):
-    p = table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label").distinct()
-    n = F.count("*").over(W.partitionBy("book_id"))
-    so_far = F.last("label", True).over(W.partitionBy("book_id").orderBy("page_index", "page_uid").rowsBetween(W.unboundedPreceding, 0))
-    return p.select("page_uid", F.coalesce("label", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string"))).alias("title"), F.when(n > 1, F.col("page_index") / (n - 1)).otherwise(F.lit(0.0)).alias("fraction"), so_far.alias("label_so_far"))
+    p = once(table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label"), "page_uid")
+    n = p.groupBy("book_id").agg(F.count("*").alias("n"))
+    rows = lookup.filled(p, ["book_id"], "page_index", ["page_index", "page_uid"], "label", "label_so_far").join(n, "book_id")
+    title = F.coalesce("label", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string")))
+    return rows.select("page_uid", title.alias("title"), F.when(F.col("n") > 1, F.col("page_index") / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("fraction"), "label_so_far")
 
 
 @query("SELECT book_id, title FROM books WHERE list_has_all(coalesce(genres, []), ['essay']) AND (contains(lower(coalesce(title, '')), 'e') OR contains(lower(coalesce(author, '')), 'e'))")
@@ -425,10 +426,19 @@ def unknown_block_segments(spark, d):
 # ---------------------------------------------------------------- folds, edits
 
 
-_SENT = "list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?；;]+[。！？.!?；;]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIPPED = f"regexp_replace(@, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, k AS (SELECT block_uid, book_id, unit_index, block_index, coalesce(text, '') AS text FROM blocks WHERE block_type IN ('paragraph', 'heading', 'listItem', 'blockquote', 'pre', 'table')),
+s AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?；;]+[。！？.!?；;]*'), lambda x: {_STRIPPED.replace('@', 'x')}), lambda x: x <> '') AS parts FROM k),
+f AS (SELECT block_uid, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS piece_index, parts[1] AS piece FROM s WHERE len(parts) > 0
+ UNION ALL SELECT f.block_uid, f.i + 1, CASE WHEN length(piece) + 1 + length(parts[f.i + 1]) <= 100 THEN piece_index ELSE piece_index + 1 END, CASE WHEN length(piece) + 1 + length(parts[f.i + 1]) <= 100 THEN piece || ' ' || parts[f.i + 1] ELSE parts[f.i + 1] END
+ FROM f JOIN s ON s.block_uid = f.block_uid WHERE f.i < len(parts)),
+done AS (SELECT block_uid, piece_index, arg_max(piece, i) AS piece FROM f GROUP BY ALL),
+bare AS (SELECT block_uid, {_STRIPPED.replace('@', 'text')} AS t FROM s WHERE len(parts) = 0),
+cut AS (SELECT block_uid, unnest(range(0, CAST(ceil(length(t) / 100.0) AS BIGINT))) AS piece_index, t FROM bare WHERE t <> '')
+SELECT book_id, unit_index, block_index, CAST(piece_index AS INTEGER) AS piece_index, piece FROM (SELECT * FROM done UNION ALL SELECT block_uid, piece_index, substring(t, piece_index * 100 + 1, 100) FROM cut) JOIN k USING (block_uid)""")
 def split_sentences(spark, d):
     return folds.narration(blocks(spark, d))
 
@@ -522,7 +532,7 @@ def longest_block(spark, d):
 @query("""WITH p AS (SELECT DISTINCT page_uid, book_id, page_index, label FROM fixed_pages), t AS (SELECT book_id, page_index, label FROM p WHERE label IS NOT NULL)
 SELECT page_uid, book_id, page_index, (SELECT max_by(label, (t.page_index, label)) FROM t WHERE t.book_id = p.book_id AND t.page_index <= p.page_index) AS label FROM p""")
 def toc_at_page(spark, d):
-    p = table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label").distinct()
+    p = once(table(spark, d, "fixed_pages").select("page_uid", "book_id", "page_index", "label"), "page_uid")
     entries = p.filter("label is not null").select("book_id", F.col("page_index").alias("toc_index"), "label", "page_index")
     return lookup.entry_at_page(entries, p)
 
@@ -545,7 +555,10 @@ def node_query(spark, d):
     return nodes.select(html_nodes(spark, d), tag="h2").groupBy("book_id", "unit_index").agg(F.count("*").alias("headings"))
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, b AS (SELECT *, CASE block_type WHEN 'heading' THEN 'heading' WHEN 'blockquote' THEN 'blockquote' WHEN 'pre' THEN 'pre' ELSE 'paragraph' END AS kind FROM blocks WHERE text IS NOT NULL),
+t AS (SELECT *, CASE WHEN kind = 'pre' THEN regexp_replace(text, '^\n+|\n+$', '', 'g') ELSE trim(regexp_replace(text, '{_WS}+', ' ', 'g')) END AS shown FROM b WHERE length(regexp_replace(text, '{_WS}', '', 'g')) > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, unit_index ORDER BY t.block_index, block_uid) - 1 AS place FROM t)
+SELECT book_id, unit_index, CAST(place AS INTEGER) AS block_index, coalesce(nullif(block_id, ''), kind || '-' || place) AS block_id, kind AS block_type, CASE WHEN kind = 'heading' THEN 2 ELSE 0 END AS depth, shown AS text FROM n""")
 def html_blocks(spark, d):
     return nodes.html_blocks(_pages(spark, d), ["book_id", "unit_index"], "html")
 
