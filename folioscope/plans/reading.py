@@ -333,3 +333,23 @@ def epub_round_trip(spark, d):
     files = export_rows(R.table(spark, d, "books"), rows).select("file_name", "content").withColumnRenamed("file_name", "path")
     back = source.parsed(files).select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("long").alias("book_id"), F.posexplode(F.arrays_zip("sections", "toc")).alias("place", "x"))
     return back.select("book_id", "place", F.col("x.toc.label").alias("label"), F.regexp_count("x.sections.content", F.lit("<p>")).cast("long").alias("paragraphs"))
+
+
+_JOIN = "CASE WHEN regexp_matches(f.text, '[A-Za-z0-9]$') AND regexp_matches(o.text, '^[A-Za-z0-9]') THEN f.text || ' ' || o.text ELSE f.text || o.text END"
+_CAN = f"(o.block_index = f.block_index AND o.speaker IS NOT DISTINCT FROM f.speaker AND o.start_offset - f.end_offset BETWEEN 0 AND 8 AND length({_JOIN}) <= 200)"
+
+
+@query(f"""WITH RECURSIVE {VALID_SQL}, o AS (SELECT v.segment_uid, book_id, unit_index, block_index, start_offset, end_offset, speaker, substring(b.text, start_offset + 1, end_offset - start_offset) AS text, row_number() OVER (PARTITION BY book_id, unit_index ORDER BY block_index, start_offset, end_offset, v.segment_uid) AS k
+  FROM valid v JOIN (SELECT book_id, unit_index, block_index, max(text) AS text FROM blocks GROUP BY ALL) b USING (book_id, unit_index, block_index)),
+f AS (SELECT book_id, unit_index, k, segment_uid AS head, block_index, speaker, end_offset, text, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1
+ UNION ALL SELECT o.book_id, o.unit_index, o.k, CASE WHEN {_CAN} THEN f.head ELSE o.segment_uid END, o.block_index, o.speaker, o.end_offset, CASE WHEN {_CAN} THEN {_JOIN} ELSE o.text END, CASE WHEN {_CAN} THEN f.n + 1 ELSE 1 END
+ FROM f JOIN o ON o.book_id = f.book_id AND o.unit_index = f.unit_index AND o.k = f.k + 1)
+SELECT head AS segment_uid, CAST(arg_max(end_offset, k) AS INTEGER) AS end_offset, arg_max(text, k) AS text, CAST(max(n) AS INTEGER) AS n_merged FROM f GROUP BY head""")
+def merged_narration(spark, d):
+    """Neighbouring segments of one speaker put together up to a length."""
+    from ..operators import narration, ranges
+
+    texts = R.raw(spark, d).filter("text is not null").groupBy(*ranges.BLOCK).agg(F.max("text").alias("whole"))
+    part = F.substring("whole", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
+    rows = R.valid_segments(spark, d).join(texts, ranges.BLOCK).withColumn("text", part)
+    return narration.merged_segments(rows, ["speaker"], 200).select("segment_uid", "end_offset", "text", "n_merged")

@@ -154,3 +154,17 @@ def test_reports_on_small_rows(spark):
     r = reports.prepared(segs, blocks).first()
     assert (r.segments, r.unknown_blocks, r.tiny, r.adjacent, r.adjacent_same) == (4, 1, 2, 2, 1)
     assert one(spark, F.array(*[reports.classified(F.lit(u), [("voices", "/voices$"), ("speech", "/speech")]) for u in ("/v1/speech/voices", "/v1/speech", "/x")])) == ["voices", "speech", "other"]
+
+
+def test_narration_texts_and_offsets():
+    from folioscope.operators import narration as N
+
+    text = "  The\n tide [12]  rose² high. "
+    out, at = N.collapsed(text)
+    assert out == "The tide [12] rose² high." and [text[i] for i in at if not text[i].isspace()] == [c for c in out if c != " "]
+    plain, at = N.readable(text)
+    assert plain == "The tide rose high." and text[slice(*N.source_range(at, 9, 13))] == "rose" and N.source_range([], 0, 5) == (0, 0)
+    assert N.is_mixed("“Go!” he said.") and not N.is_mixed("“Go!”") and not N.is_mixed("He went.") and not N.is_mixed("“…” —")
+    assert [N.selection("One two. Three, four.", k, u) for k, u in ((4, "word"), (9, "sentence"), (0, "paragraph"), (3, "word"), (99, "sentence"))] == [(4, 7), (9, 21), (0, 21), (3, 3), (9, 21)]
+    assert N.selection("", 0, "word") == (0, 0) and N.selection("潮水", 1, "word") == (1, 2)
+    assert N.joined("a", "b") == "a b" and N.joined("a ", "b") == "a b" and N.joined("潮", "b") == "潮b" and N.joined("", "b") == "b"
