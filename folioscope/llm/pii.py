@@ -200,6 +200,10 @@ SELF = regex.compile(r"(?:^|[\n.!?”\"»“] ?)(?:I|Ich|Moi|Je|Yo|Eu|Io|Ja|Jag|
 COLON = regex.compile(r":[ \n]$")
 GIVEN_TO = regex.compile(r"(?<!\p{L})(?:to|for|by|reach|an|für|von|à|pour|par|a|para|por|per|da|till|för|av|dla|przez|для)\s$")
 TITLE = regex.compile(r"(?<!\p{L})(?:(?:Dr|Mrs?|Ms|Prof|Sig)\.|Mme|Mlle|Frau|Herrn?|señora?|senhora?|signora?|pani|pana?|fru|herr|belongs to|reach|contact)\s$")
+#: Verbs of saying before the one who speaks.
+SAID = regex.compile(r"(?<!\p{L})(?:said|asked|replied|cried|answered|whispered|wrote|sagte|fragte|rief|antwortete|schrieb|dit|demanda|répondit|cria|écrivit|dijo|preguntó|respondió|gritó|escribió|disse|chiese|rispose|scrisse|perguntou|respondeu|escreveu|powiedział|powiedziała|zapytał|zapytała|napisał|napisała|sade|frågade|svarade|skrev|сказал|сказала|спросил|спросила|ответил|ответила|написал|написала)\s$")
+#: What follows the one a sentence begins with.
+GOES_ON = regex.compile(r" \p{Ll}")
 NEAR = regex.compile(r"[^.!?\n\x00]{0,12}[,;:(]?[ \n]?\x00")
 #: Words before which a given name names a ship or house.
 SHIP = regex.compile(r"(?i)(?:ferry|ship|inn|house|schooner|brig|boat|village|port) $")
@@ -457,7 +461,7 @@ def placed(s: str, keys: dict, found: list[tuple[int, int]]) -> list[tuple[int,
             continue
         before, score = s[max(0, a - 24) : a], 1.0
         line, behind = a == 0 or s[a - 1] == "\n", BEHIND.match(s, b)
-        score += 2.0 * bool(NEAR.match(s, b)) + 2.0 * bool(SELF.search(before)) + bool(COLON.search(before)) + bool(GIVEN_TO.search(before)) + 3.0 * bool(TITLE.search(before))
+        score += 2.0 * bool(SAID.search(before) or GOES_ON.match(s, b) and (not a or OPENING.search(before))) + 2.0 * bool(NEAR.match(s, b)) + 2.0 * bool(SELF.search(before)) + bool(COLON.search(before)) + bool(GIVEN_TO.search(before)) + 3.0 * bool(TITLE.search(before))
         if line and behind:
             above = ends_line(s, a)
             score += 1.5 + 0.5 * (above.isalpha() or above == ",")
