@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ SIGNS = {"‐": "-", "‑": "-", "ʼ": "’", "ı": "i", "ɡ": "g", "ɑ": "a", "
 SAME = {"<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>"}
 
 
+@cache
 def mapping() -> list[tuple[str, str, int]]:
     """Each code point that the form changes or that combines: itself, its replacement, its own class."""
     looks = CYRILLIC | GREEK | SIGNS
@@ -196,31 +198,39 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "canonical")
     return hashed.join(maps, "_h", "left").select(*key, rebuilt_by("_t", "_m").alias(out))
 
 
-def alike_classes(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """_k, _g, own and form of each row with a text that isn't blank: digests of its own characters and of its form."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.md5(text).alias("own"), F.col(text).alias("_x"))
-    return canonical(rows, ["_k", "_g", "own"], "_x").filter("canonical <> ''").select("_k", "_g", "own", F.md5("canonical").alias("form")).distinct()
+def alike_classes(df: DataFrame, key: str, group: list[str], text: str) -> tuple[DataFrame, list[str]]:
+    """_k, the group's columns, own and form of each row with a text that isn't blank: digests of its own characters and of its form. And the names of the group's columns."""
+    names = [f"_g{i}" for i in range(len(group))]
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), *[F.col(g).alias(n) for g, n in zip(group, names)], F.md5(text).alias("own"), F.col(text).alias("_x"))
+    forms = canonical(rows, ["_k", *names, "own"], "_x").filter("canonical <> ''").select("_k", *names, "own", F.md5("canonical").alias("form"))
+    return forms.distinct(), names
 
 
-def alike_pairs(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """id_a < id_b within a group whose texts come to one form but hold different characters. Blank texts are no case.
+def alike_pairs(df: DataFrame, key: str, group: str | list[str], text: str) -> DataFrame:
+    """id_a < id_b within a group whose texts come to one form but hold different characters, with the group's columns if there are several. Blank texts are no case.
 
     Different texts of one form meet first, each once however many rows hold it; the rows are put to them by group, form and text, so
     that a form that many rows share spreads over its texts."""
+    several_groups = not isinstance(group, str)
+    group = list(group) if several_groups else [group]
     # Digests and ids only, read several times below: written once to the shared folder.
-    hashed = alike_classes(df, key, group, text).checkpoint()
-    texts = hashed.select("_g", "form", "own").distinct()
-    several = texts.groupBy("_g", "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("_g", "form")
-    few = texts.join(several, ["_g", "form"])
-    pairs = few.select("_g", "form", F.col("own").alias("own_a")).join(few.select("_g", "form", F.col("own").alias("own_b")), ["_g", "form"]).filter("own_a < own_b")
-    a, b = (hashed.select("_g", "form", F.col("own").alias(f"own_{x}"), F.col("_k").alias(f"k_{x}")) for x in "ab")
-    both = pairs.join(a, ["_g", "form", "own_a"]).join(b, ["_g", "form", "own_b"]).filter("k_a <> k_b")
-    return both.select(F.least("k_a", "k_b").alias("id_a"), F.greatest("k_a", "k_b").alias("id_b")).distinct()
-
-
-def alike_report(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    hashed, g = alike_classes(df, key, group, text)
+    hashed = hashed.checkpoint()
+    texts = hashed.select(*g, "form", "own").distinct()
+    several = texts.groupBy(*g, "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select(*g, "form")
+    few = texts.join(several, [*g, "form"])
+    pairs = few.select(*g, "form", F.col("own").alias("own_a")).join(few.select(*g, "form", F.col("own").alias("own_b")), [*g, "form"]).filter("own_a < own_b")
+    a, b = (hashed.select(*g, "form", F.col("own").alias(f"own_{x}"), F.col("_k").alias(f"k_{x}")) for x in "ab")
+    both = pairs.join(a, [*g, "form", "own_a"]).join(b, [*g, "form", "own_b"]).filter("k_a <> k_b")
+    named = [F.col(n).alias(c) for n, c in zip(g, group)] if several_groups else []
+    return both.select(*named, F.least("k_a", "k_b").alias("id_a"), F.greatest("k_a", "k_b").alias("id_b")).distinct()
+
+
+def alike_report(df: DataFrame, key: str, group: str | list[str], text: str) -> DataFrame:
     """Of each row whose form is shared by different texts: its class (the least key with the form in its group), and how many
     different texts and rows the class has."""
-    hashed = alike_classes(df, key, group, text).checkpoint()
-    classes = hashed.groupBy("_g", "form").agg(F.min("_k").alias("class_id"), F.countDistinct("own").alias("n_texts"), F.countDistinct("_k").alias("n_rows")).filter("n_texts > 1")
-    return hashed.join(classes, ["_g", "form"]).select(F.col("_k").alias(key), F.col("_g").alias(group), "class_id", "n_texts", "n_rows").distinct()
+    group = [group] if isinstance(group, str) else list(group)
+    hashed, g = alike_classes(df, key, group, text)
+    hashed = hashed.checkpoint()
+    classes = hashed.groupBy(*g, "form").agg(F.min("_k").alias("class_id"), F.countDistinct("own").alias("n_texts"), F.countDistinct("_k").alias("n_rows")).filter("n_texts > 1")
+    return hashed.join(classes, [*g, "form"]).select(F.col("_k").alias(key), *[F.col(n).alias(c) for n, c in zip(g, group)], "class_id", "n_texts", "n_rows").distinct()

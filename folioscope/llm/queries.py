@@ -99,25 +99,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.distinct()
 
 
-def _alike(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
-    blocks = table(spark, sf_dir, "unit_texts").select(F.col("block_uid").alias("row_id"), "book_id", "text")
-    hits = table(spark, sf_dir, "search_results").select(F.col("result_id").alias("row_id"), "book_id", F.col("match_text").alias("text"))
-    return [("unit_texts", blocks), ("search_results", hits)]
+def _alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "unit_texts").select(F.lit("unit_texts").alias("src"), F.col("block_uid").alias("row_id"), "book_id", "text")
+    hits = table(spark, sf_dir, "search_results").select(F.lit("search_results").alias("src"), F.col("result_id").alias("row_id"), "book_id", F.col("match_text").alias("text"))
+    return blocks.unionByName(hits)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lookalike import alike_pairs
 
-    pairs = [alike_pairs(df, "row_id", "book_id", "text").select(F.lit(src).alias("src"), "id_a", "id_b") for src, df in _alike(spark, sf_dir)]
-    return pairs[0].unionByName(pairs[1])
+    return alike_pairs(_alike(spark, sf_dir), "row_id", ["src", "book_id"], "text").select("src", "id_a", "id_b")
 
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row whose text looks like another one of its book, with its class."""
     from .lookalike import alike_report
 
-    rows = [alike_report(df, "row_id", "book_id", "text").select(F.lit(src).alias("src"), "*") for src, df in _alike(spark, sf_dir)]
-    return rows[0].unionByName(rows[1])
+    return alike_report(_alike(spark, sf_dir), "row_id", ["src", "book_id"], "text")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
