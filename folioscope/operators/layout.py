@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -32,26 +33,38 @@ def preset(kind: str | None, size: float, lead: float, depth: int | None = None)
 
 def is_dense(text: str) -> bool:
     """Whether lines may break between signs: four or more, and at least 35 of a hundred of them Han, kana or hangul."""
-    solid = [c for c in text if not c.isspace()]
-    return len(solid) >= 4 and sum(bool(CJK.match(c)) for c in solid) >= 0.35 * len(solid)
+    if text.isascii():
+        return False
+    solid = len(text) - sum(map(str.isspace, text))
+    return solid >= 4 and len(CJK.findall(text)) >= 0.35 * solid
+
+
+@lru_cache(100_000)
+def word_width(word: str) -> float:
+    return text_width(word)
 
 
 def broken(text: str, room: float, size: float) -> list[str]:
     """Lines of a text in a column. Dense text is cut where the running width passes the room, at the last place where it may break; a sign wider than the column stands alone."""
     out: list[str] = []
+    blank = text_width(" ", size)
     for part in text.split("\n"):
         if not is_dense(part):
-            line = ""
+            line, used = "", 0.0
             for w in part.split():
-                if line and text_width(line + " " + w, size) > room:
+                wide = word_width(w) * size
+                if line and used + blank + wide > room:
                     out.append(line)
-                    line = w
-                else:
-                    line = f"{line} {w}" if line else w
-                while text_width(line, size) > room and len(line) > 1:  # a word wider than the column
-                    fit = max(1, bisect_right([text_width(line[:k], size) for k in range(1, len(line) + 1)], room))
-                    out.append(line[:fit])
-                    line = line[fit:]
+                    line, used = "", 0.0
+                line, used = (f"{line} {w}", used + blank + wide) if line else (w, wide)
+                if used > room and line == w:  # a word wider than the column
+                    run = [0.0, *accumulate(text_width(c, size) for c in w)]
+                    at = 0
+                    while run[-1] - run[at] > room and len(w) - at > 1:
+                        end = max(at + 1, bisect_right(run, run[at] + room + 1e-9) - 1)
+                        out.append(w[at:end])
+                        at = end
+                    line, used = w[at:], run[-1] - run[at]
             if line or not part.strip():
                 out.append(line)
             continue
