@@ -260,3 +260,59 @@ def trimmed_edges(s: Column, speech: bool = False) -> Column:
     head = F.length(s) - F.length(F.regexp_replace(s, f"^[{quiet}{',，、。.!！?？;；:：—–…-' if speech else ''}]+", ""))
     tail = F.length(F.regexp_replace(s, f"[{quiet}]+$", ""))
     return F.struct(F.least(head, F.length(s)).alias("start"), F.greatest(F.least(head, F.length(s)), tail).alias("end"))
+
+
+def body_of(html: Column) -> Column:
+    """What stands in the body of a document, or the text without its head and shell where no body is marked."""
+    found = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1)
+    shell = F.regexp_replace(html, r"(?is)<\?xml[^>]*>|<!doctype[^>]*>|<head\b.*?</head\s*>|</?(?:html|body)\b[^>]*>", "")
+    return F.when(html.rlike(r"(?is)<body\b[^>]*>.*</body\s*>"), found).otherwise(shell)
+
+
+def heading_of(html: Column) -> Column:
+    """Text of the title element or else of the first heading; null where neither holds any."""
+    text = lambda pattern: F.nullif(readable_text(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    return F.coalesce(text(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), text(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"))
+
+
+def section_title(label: Column, html: Column, own: Column, index: Column) -> Column:
+    """Title of a section: its contents label, even an empty one, what its document is headed, its id, its number."""
+    return F.coalesce(label, heading_of(html), own, F.concat(F.lit("Section "), (index + 1).cast("string")))
+
+
+def unit_text(blocks: Column, segments: Column, html: Column, kind: Column) -> Column:
+    """Text of a unit: its blocks' texts by line, its segments', or its HTML made readable; images have none. blocks and segments: arrays of texts."""
+    some = lambda a, by: F.nullif(F.array_join(F.filter(a, lambda x: F.length(x) > 0), by), F.lit(""))
+    return F.when(kind == "image", "").otherwise(F.coalesce(some(blocks, "\n"), some(segments, ""), readable_text(html), F.lit("")))
+
+
+def block_text(kind: Column, segments: Column, alt: Column, title: Column, cells: Column) -> Column:
+    """Text of a block: an image's description, a table's cells parted by blanks, or its segments but for those of images. segments: array<struct<text, source>>; cells: array<array<string>>."""
+    own = F.array_join(F.transform(F.filter(segments, lambda s: s["source"] != "img"), lambda s: s["text"]), "")
+    return F.when(kind == "image", F.coalesce(F.nullif(alt, F.lit("")), title, F.lit(""))).when(kind == "table", F.array_join(F.flatten(cells), " ")).otherwise(F.coalesce(own, F.lit("")))
+
+
+def of_language(texts: Column, wanted: str | None = None) -> Column:
+    """One text of a map by language: the wanted one or the first; null of an empty map."""
+    first = F.get(F.map_values(texts), F.lit(0))
+    return F.coalesce(texts[wanted], first) if wanted else first
+
+
+def language_tag(lang: Column) -> Column:
+    """A language as one tag: und where there is none."""
+    return F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("und"))
+
+
+def contributor_names(people: Column) -> Column:
+    """Names of contributors in order, those without a name left out. people: array<struct<name>>."""
+    return F.array_join(F.filter(F.transform(people, lambda p: F.trim(p["name"])), lambda n: F.length(n) > 0), ", ")
+
+
+def subject_list(subjects: Column) -> Column:
+    """Subjects without empty ones."""
+    return F.filter(subjects, lambda s: F.length(F.trim(s)) > 0)
+
+
+def export_title(title: Column, subtitle: Column) -> Column:
+    """Title and subtitle of a file."""
+    return F.concat_ws(": ", F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("Untitled")), F.nullif(F.trim(subtitle), F.lit("")))

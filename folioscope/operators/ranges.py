@@ -76,3 +76,26 @@ def cut_at(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = marks.select("segment_uid", "start_offset", "end_offset", F.explode(F.array("r_start", "r_end")).alias("at")).filter("at between start_offset and end_offset")
     cuts = own.unionByName(inside.select("segment_uid", "at")).distinct()
     return cuts.select("segment_uid", F.col("at").alias("start_offset"), F.lead("at").over(W.partitionBy("segment_uid").orderBy("at")).alias("end_offset")).filter("end_offset is not null")
+
+
+def marks_in_ranges(marks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pairs of a mark and a range that match. marks: mark_id, book_id, start_unit, end_unit, start_block, end_block (ids, nullable), start_offset, end_offset (nullable); ranges: range_id, book_id, unit_index,
+    block_id, start_offset, end_offset (nullable), reliable.
+
+    A mark over several units matches every range of them. One in a unit matches by its block, if it names one, and by half-open offsets; a mark of no width is a point; a mark without offsets,
+    and a range with unreliable or empty ones, match by block alone; a mark whose ends lie in two blocks matches by either end. Marks are joined by each unit they touch."""
+    far = F.col("start_unit") != F.col("end_unit")
+    m = marks.withColumn("unit_index", F.explode(F.sequence(F.least("start_unit", "end_unit"), F.greatest("start_unit", "end_unit"))))
+    r = ranges.select("range_id", "book_id", "unit_index", F.col("block_id").alias("_b"), F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e"), "reliable")
+    low, high = F.coalesce("_s", F.lit(-(1 << 31))), F.coalesce("_e", F.lit((1 << 31) - 1))
+
+    def matches(block, start, end):
+        in_block = block.isNull() | F.coalesce(F.col("_b") == block, F.lit(False))
+        a, z = F.coalesce(start, F.lit(-(1 << 31))), F.coalesce(end, F.lit((1 << 31) - 1))
+        by_offset = F.when(a == z, (low <= a) & (a < high)).otherwise((low < z) & (high > a))
+        return in_block & ((start.isNull() & end.isNull()) | ~F.col("reliable") | (high <= low) | by_offset)
+
+    start, end = F.col("start_offset"), F.col("end_offset")
+    one_block = F.coalesce(F.col("start_block") == F.col("end_block"), F.lit(False))
+    near = F.when(one_block, matches(F.col("start_block"), start, end)).otherwise(matches(F.col("start_block"), start, start) | matches(F.col("end_block"), end, end))
+    return m.join(r, ["book_id", "unit_index"]).filter(far | near).select("mark_id", "range_id").distinct()

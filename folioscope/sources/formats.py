@@ -490,6 +490,16 @@ def kf8(book: Book, raw: bytes, rec, head: bytes, code: str) -> None:
             walk(k, 0)
 
 
+def font(record: bytes) -> bytes:
+    """A font as it was before it was disguised: its first kilobyte mixed with a key, the whole perhaps compressed."""
+    _, flags, begin, n_key, at_key = struct.unpack_from(">IIIII", record, 4)
+    data, key = bytearray(record[begin:]), record[at_key : at_key + n_key]
+    if flags & 2 and key:
+        n = min(len(data), 1024 if n_key == 16 else 1040)
+        data[:n] = bytes(c ^ key[i % n_key] for i, c in enumerate(data[:n]))
+    return zlib.decompress(bytes(data)) if flags & 1 else bytes(data)
+
+
 def base32(n: int) -> str:
     out = ""
     while n or not out:

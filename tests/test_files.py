@@ -338,3 +338,11 @@ def test_texts_are_written_by_section(spark, tmp_path):
     text.write_texts(s, b, str(tmp_path / "t"))
     whole = "".join(p.read_text() for p in sorted((tmp_path / "t" / "book_id=1").glob("*.txt")))
     assert whole == f"{text.DIVIDER}\nA\nx\n{text.DIVIDER}\nB\ny\n"
+
+
+def test_disguised_fonts():
+    plain, key = zlib.compress(b"OTTO" * 900), b"0123456789abcdefghij"
+    mixed = bytes(c ^ key[i % 20] if i < 1040 else c for i, c in enumerate(plain))
+    record = b"FONT" + struct.pack(">IIIII", 3600, 3, 44, 20, 24) + key + mixed
+    assert formats.font(record) == b"OTTO" * 900
+    assert formats.font(b"FONT" + struct.pack(">IIIII", 4, 0, 24, 0, 24) + b"OTTO") == b"OTTO"

@@ -168,3 +168,33 @@ def test_narration_texts_and_offsets():
     assert [N.selection("One two. Three, four.", k, u) for k, u in ((4, "word"), (9, "sentence"), (0, "paragraph"), (3, "word"), (99, "sentence"))] == [(4, 7), (9, 21), (0, 21), (3, 3), (9, 21)]
     assert N.selection("", 0, "word") == (0, 0) and N.selection("潮水", 1, "word") == (1, 2)
     assert N.joined("a", "b") == "a b" and N.joined("a ", "b") == "a b" and N.joined("潮", "b") == "潮b" and N.joined("", "b") == "b"
+
+
+def test_texts_and_titles(spark):
+    doc = "<?xml version='1.0'?><html><head><title> A &amp; B </title></head><body class='x'><h1>Head</h1><p>t</p></body></html>"
+    assert one(spark, T.body_of(F.lit(doc))) == "<h1>Head</h1><p>t</p>" and one(spark, T.body_of(F.lit("<html><head>x</head><p>t</p>"))) == "<p>t</p>"
+    title = lambda label, html, own: one(spark, T.section_title(F.lit(label).cast("string"), F.lit(html).cast("string"), F.lit(own).cast("string"), F.lit(4)))
+    assert [title(None, doc, "i"), title("", doc, "i"), title(None, "<h2>H</h2>", "i"), title(None, "<p>x</p>", "i"), title(None, None, None)] == ["A & B", "", "H", "i", "Section 5"]
+    texts = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    unit = lambda b, s, h, k=None: one(spark, T.unit_text(b, s, F.lit(h).cast("string"), F.lit(k).cast("string")))
+    assert [unit(texts("a", "", "b"), texts("x"), None), unit(texts(), texts("x", "y"), None), unit(texts(), texts(), "<p>z</p>"), unit(texts("a"), texts(), None, "image"), unit(texts(), texts(), None)] == ["a\nb", "xy", "z", "", ""]
+    seg = F.array(F.struct(F.lit("a").alias("text"), F.lit("text").alias("source")), F.struct(F.lit("*").alias("text"), F.lit("img").alias("source")))
+    cells = F.array(F.array(F.lit("1"), F.lit("2")), F.array(F.lit("3")))
+    assert [one(spark, T.block_text(F.lit(k), seg, F.lit(""), F.lit("t"), cells)) for k in ("image", "table", "paragraph")] == ["t", "1 2 3", "a"]
+    m = F.create_map(F.lit("en"), F.lit("E"), F.lit("de"), F.lit("D"))
+    assert one(spark, F.array(T.of_language(m), T.of_language(m, "de"), T.of_language(m, "xx"), T.language_tag(F.lit(" ")), T.export_title(F.lit("T"), F.lit("S")), T.export_title(F.lit(""), F.lit(None).cast("string")))) == ["E", "D", "E", "und", "T: S", "Untitled"]
+    people = F.array(F.struct(F.lit(" A ").alias("name")), F.struct(F.lit("").alias("name")), F.struct(F.lit("B").alias("name")))
+    assert one(spark, T.contributor_names(people)) == "A, B" and one(spark, T.subject_list(F.array(F.lit("x"), F.lit(" ")))) == ["x"]
+
+
+def test_marks_in_ranges(spark):
+    from folioscope.operators import ranges
+
+    marks = [("over", 1, 0, 2, "a", "b", 1, 2), ("same", 1, 1, 1, "p", "p", 5, 9), ("point", 1, 1, 1, "p", "p", 9, 9), ("loose", 1, 1, 1, "p", "p", None, None), ("two", 1, 1, 1, "p", "q", 50, 3), ("other", 2, 1, 1, "p", "p", 5, 9)]
+    rng = [("r0", 1, 0, "z", 0, 1, True), ("r1", 1, 1, "p", 9, 12, True), ("r2", 1, 1, "p", 0, 6, True), ("r3", 1, 1, "p", 100, 101, False), ("r4", 1, 1, "q", 0, 10, True), ("r5", 1, 1, "p", 7, 7, True)]
+    m = spark.createDataFrame(marks, "mark_id string, book_id int, start_unit int, end_unit int, start_block string, end_block string, start_offset int, end_offset int")
+    r = spark.createDataFrame(rng, "range_id string, book_id int, unit_index int, block_id string, start_offset int, end_offset int, reliable boolean")
+    got = {}
+    for x in ranges.marks_in_ranges(m, r).collect():
+        got.setdefault(x.mark_id, set()).add(x.range_id)
+    assert got == {"over": {"r0", "r1", "r2", "r3", "r4", "r5"}, "same": {"r2", "r3", "r5"}, "point": {"r1", "r3", "r5"}, "loose": {"r1", "r2", "r3", "r5"}, "two": {"r3", "r4", "r5"}}
