@@ -52,7 +52,6 @@ for _a, _b in CONFUSIONS:
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}!|’']+(?:-[\p{L}\p{M}]+)*")
 PIECE = regex.compile(r"\p{L}")
 CUT = "-¬\xad‐‑"
-END_CUT = regex.compile(r"([\p{L}\p{M}0-9!|’']*\p{L}[\p{L}\p{M}0-9!|’']*)[-¬\xad‐‑]\s*$")
 NUMBER = regex.compile(r"^[\s\p{P}\p{S}]*(?:(?:p|pp|page|pag|pág|стр|с|s|S|str)\.?\s*)?[\s\p{P}\p{S}]*(?:[0-9OolISsZBg|]{1,4}|(?:[0-9OolI]\s){1,3}[0-9OolI]|[ivxlcIVXLC1]{1,9}|(?:[ivxlc]\s){1,6}[ivxlc])[\s\p{P}\p{S}]*$")
 #: Words before which a hyphen is left hanging (Hafen- und Zollbücher).
 HANGING = frozenset("und oder bzw et ou and or och eller y o e i oraz lub и или".split())
@@ -117,7 +116,8 @@ def lexicon(df: DataFrame, text: str = "text") -> Lexicon:
 
         def flush() -> pa.RecordBatch:
             sums: Counter = Counter()
-            for w, n in total.items():
+            for token, n in total.items():
+                w = token.strip("!’'|")
                 sums[w] += n
                 head, dash, _ = w.partition("-")
                 if dash:
@@ -129,7 +129,7 @@ def lexicon(df: DataFrame, text: str = "text") -> Lexicon:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total.update(w.strip("!’'|") for w in TOKEN.findall(t.lower()))
+                total.update(TOKEN.findall(t.lower()))
             if len(total) > 500_000:
                 yield flush()
         if total:
@@ -261,16 +261,16 @@ class Reader:
     def join(self, left: str, right: str) -> float:
         """What one word gains against two pieces without a hyphen over a line's end: seldom said apart by what is said of them as one."""
         a, b = left.lower(), right.lower()
-        if len(a) < 2 or len(b) < 2 or UNSPACED.search(a + b):
+        if len(a) < 2 or len(b) < 2:
             return -1.0
-        return self.bits(a + b) - max(self.bits(a), self.bits(b)) - self.JOIN + 1e-9
+        gain = self.bits(a + b) - max(self.bits(a), self.bits(b)) - self.JOIN + 1e-9
+        return -1.0 if gain >= 0 and UNSPACED.search(a + b) else gain
 
     def merge(self, left: str, right: str) -> float:
         """What one word gains against two with a blank between them."""
         a, b = left.lower(), right.lower()
-        if not (a + b).isalpha() or UNSPACED.search(a + b):
-            return -1.0
-        return self.bits(a + b) - self.bits(a) - self.bits(b) - self.MERGE
+        gain = self.bits(a + b) - self.bits(a) - self.bits(b) - self.MERGE
+        return -1.0 if gain > 0 and (not (a + b).isalpha() or UNSPACED.search(a + b)) else gain
 
     def split(self, word: str) -> tuple[tuple[str, str] | None, float]:
         """Two words that were run together, and what they gain."""
@@ -346,9 +346,10 @@ class Stream:
             self.line += [k] * len(own)
             self.link += [BLANK] * (len(own) - 1)
             ending = text.rstrip()
-            if last and ending[-1:] in CUT and (end := END_CUT.search(text)):
+            piece = own[-1].rpartition("-")[2] if last and ending[-1:] in CUT and ending.endswith(own[-1], 0, -1) else ""
+            if PIECE.search(piece):
                 self.link.append(HYPHEN)
-                self.piece[len(self.tokens) - 1] = end.group(1)
+                self.piece[len(self.tokens) - 1] = piece
             else:
                 self.link.append(END if last and ending[-1:].isalpha() else APART)
         self.first.append(len(self.tokens))
@@ -358,7 +359,8 @@ def decode(stream: Stream, reader: Reader) -> list[tuple]:
     """The arcs of the best path, from left to right: (first token, token behind it, kind, reading). Kinds: word with its
     verdict, join or cut with (the word or None if it stands, where its edit lies), pairs with whether each hyphen cuts, merge."""
     tokens, link, n = stream.tokens, stream.link, len(stream.tokens)
-    verdicts = [reader.verdict(w) for w in tokens]
+    known = reader.verdicts.get
+    verdicts = [known(w) or reader.verdict(w) for w in tokens]
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
     lines, most = stream.line, reader.most - reader.MERGE
 
