@@ -480,27 +480,33 @@ def repaired(body: list[tuple], stream: Stream, whole: dict, repairs: dict, size
         if cut:
             fixed = fixed.rstrip(CUT)
         hyphen = own >= stream.first[k] and stream.link[own] == HYPHEN
-        no_blank = hyphen or not closed or NO_BLANK.search(fixed)
+        no_blank = hyphen or not closed or NO_BLANK.match(fixed[-1:])
         last = stream.last[k]
         glue = ("" if no_blank else " ") if last else (" " if text[-1:].isspace() else "")
         lines.append({"text": fixed, "glue": glue, "x": r[X], "y": r[Y], "size": r[SIZE] or size, "last": last, "wide": len(text)})
     return lines
 
 
-NO_BLANK = re.compile("[぀-ヿ㐀-鿿฀-๿]$")
+NO_BLANK = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 
 
 def case_like(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() else new
 
 
-ENDS = re.compile(r"[.!?…。！？।][\"”’»“)\]」』]*\s*$")
+def ends(text: str) -> bool:
+    """Whether a sentence ends at a text's end, closing marks apart."""
+    return text.rstrip().rstrip("\"”’»“)]」』")[-1:] in ENDS
+
+
+#: Signs that end a sentence.
+ENDS = frozenset(".!?…。！？।")
 
 
 def left_open(text: str) -> int:
     """Whether a text goes on behind its end: 2 surely, as no sentence ends; 1 if it does where small letters follow, as the full stop may
     be that of an abbreviation or ordinal; 0 not."""
-    if not ENDS.search(text):
+    if not ends(text):
         return 2
     word = re.split(r"[\s(\[]+", text.rstrip())[-1].casefold()
     bare = word[:-1]
@@ -531,8 +537,8 @@ def paragraphs(lines: list[dict]) -> list[list[dict]]:
         a, b = whole[i - 1], whole[i]
         text, nxt = "".join(p["text"] for p in a), b[0]["text"].lstrip()
         g = -2.0
-        g += 1.6 if ENDS.search(text) else -2.5
-        first = next((c for c in nxt if c.isalnum()), "")
+        g += 1.6 if ends(text) else -2.5
+        first = nxt[:1] if nxt[:1].isalnum() else next((c for c in nxt if c.isalnum()), "")
         g += -3.0 if first.islower() else 0.2
         g += 1.8 if widths[i - 1] < 0.72 * full else -0.6
         if gaps[i - 1] is not None and usual:
