@@ -291,6 +291,15 @@ def html_segments(spark, d):
     return nodes.html_segments(R._pages(spark, d), ["book_id", "unit_index"], "html").select("book_id", "unit_index", "block", "text")
 
 
+@query(f"""WITH {BLOCKS_SQL}, t AS (SELECT book_id, unit_index, text, CASE block_type WHEN 'heading' THEN 'h2' WHEN 'blockquote' THEN 'blockquote' WHEN 'pre' THEN 'pre' ELSE 'p' END AS tag, coalesce(block_id, '') AS own,
+  row_number() OVER w - 1 AS k, coalesce(sum(1 + CAST(text <> '' AS INTEGER)) OVER (PARTITION BY book_id, unit_index ORDER BY block_index, block_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_node FROM blocks WHERE text IS NOT NULL WINDOW w AS (PARTITION BY book_id, unit_index ORDER BY block_index, block_uid))
+SELECT book_id, unit_index, CAST(first_node AS INTEGER) AS node_index, CAST(k AS VARCHAR) AS place, tag AS type, own AS element_id, NULL::VARCHAR AS text FROM t UNION ALL SELECT book_id, unit_index, CAST(first_node + 1 AS INTEGER), k || '.0', '#text', NULL, text FROM t WHERE text <> ''""")
+def html_node_rows(spark, d):
+    """Every node of the sections' HTML with its place in the tree."""
+    n = R.html_nodes(spark, d)
+    return n.select("book_id", "unit_index", "node_index", F.array_join("node_path", ".").alias("place"), "type", F.col("attrs")["id"].alias("element_id"), "text")
+
+
 @query()
 def layout_lines(spark, d):
     """Every unit laid out as lines on pages of one size."""
