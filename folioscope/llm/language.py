@@ -36,8 +36,10 @@ BITS, LONGEST, RIDGE, SHARP, CHANGE = 16, 3, 0.01, 7.0, 2.4
 FIT_ROWS, FIT_PARTS, FIT_CHARS, LANDMARKS = 3000, 8, 400, 160
 #: Rows are let through by their hash, so that about so many times FIT_ROWS are ordered however many there are.
 SLACK = 1.5
-#: The share of the first fit's best score that a row's own label must reach; short titles need some room.
-DOUBT = 0.5
+#: The share of a fit's best score that a sentence's label must reach; short titles need some room. The share of a row's letters whose sentences
+#: speak for its label from which its other sentences are believed too, and the share of the best score they must reach, so that those in another script aren't. How often
+#: sentences are chosen, each time by the fit before.
+DOUBT, BELIEF, TRUST, ROUNDS = 0.5, 0.8, 0.1, 2
 #: Letters from which a sentence's own vote counts in the first look, and up to which it gains weight there.
 VOTE, MOST_LETTERS = 8, 200
 #: Signs of a phrase between quotation marks that is left out of its sentence, at most; a longer one is text of its own. A parameter.
@@ -314,23 +316,34 @@ def labelled_parts(df: DataFrame) -> list:
     return some.mapInArrow(run, "place long, own string, label string, parts array<string>").orderBy("place", "own").limit(FIT_ROWS).collect()
 
 
+def confirmed(rows: list[tuple[str, list[str]]], model: Model) -> tuple[list[str], list[str]]:
+    """Sentences of labelled rows, and their labels: those whose label a model confirms by itself or by the rest of their row."""
+    texts, labels = [], []
+    scores, letters = model.score([p for _, parts in rows for p in parts])
+    at = 0
+    for lang, parts in rows:
+        s, n = scores[at : at + len(parts)], letters[at : at + len(parts)]
+        at += len(parts)
+        c = model.langs.index(lang)
+        whole = (n * (s.argmax(axis=1) == c)).sum() >= BELIEF * max(1, n.sum()) if parts else False
+        for p, own, k in zip(parts, s, n):
+            if k >= 6 and own[c] >= own.max() * (TRUST if whole else DOUBT):
+                texts.append(p), labels.append(lang)
+    return texts, labels
+
+
 def training(spark: SparkSession, samples: DataFrame, languages: DataFrame, labelled: list[DataFrame]) -> Model:
-    """Fit on the samples, then on sentences of at most FIT_ROWS rows of each labelled table (id, label, text) whose
-    own label the first fit confirms. The rows are the same in every run."""
+    """Fit on the samples, then on these and sentences of at most FIT_ROWS rows of each labelled table (id, label, text) whose
+    label the fit before confirms, ROUNDS times. The rows are the same in every run."""
     names = label_names([tuple(r) for r in languages.select("lang", "iso3", "lang_name").collect()])  # 14 rows, fixed
     langs = sorted(set(names.values()))
     rows = [(r[0], r[1]) for r in samples.select("lang", "text").collect() if r[0] in langs and r[1]]  # 210 rows, fixed
-    first = fit([t for _, t in rows], [x for x, _ in rows], langs)
-    texts, labels = [t for _, t in rows], [x for x, _ in rows]
-    for df in labelled:
-        parts = [(x, p) for r in labelled_parts(df) if (x := label_lang(r.label, names)) for p in r.parts]
-        if not parts:
-            continue
-        s, n = first.score([p for _, p in parts])
-        for (x, p), row, k in zip(parts, s, n):
-            if k >= 6 and row[langs.index(x)] >= row.max() * DOUBT:
-                texts.append(p), labels.append(x)
-    return fit(texts, labels, langs)
+    model = fit([t for _, t in rows], [x for x, _ in rows], langs)
+    found = [(x, r.parts) for df in labelled for r in labelled_parts(df) if (x := label_lang(r.label, names))]
+    for _ in range(ROUNDS if found else 0):
+        texts, labels = confirmed(found, model)
+        model = fit([t for _, t in rows] + texts, [x for x, _ in rows] + labels, langs)
+    return model
 
 
 def language_segments(df: DataFrame, src: str, key: str, label: str, text: str, model: Model, names: dict[str, str]) -> DataFrame:
